@@ -1,0 +1,103 @@
+"""Exact quantiles that never sort or collect the whole column in one task.
+
+A mergeable sketch brackets every wanted rank (its rank error is at most n / ACCURACY), one
+counting pass reduces everything outside the brackets to a handful of counters, and only
+values inside a bracket - pre-aggregated to (value, count) - are ordered exactly.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+ACCURACY = 20_000
+
+
+def _probes(probs: Sequence[float]) -> list[float]:
+    slack = 2.0 / ACCURACY
+    out: list[float] = []
+    for p in probs:
+        out += [max(0.0, p - slack), min(1.0, p + slack)]
+    return out
+
+
+def exact_quantiles(
+    df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = ()
+) -> DataFrame:
+    """Linear-interpolated quantiles of `value`: one row per group with an array `quantiles`
+    (in the order of `probs`) and the count `n`. Groups are meant to be few (bins, segments)."""
+    by = list(by)
+    probs = list(probs)
+    probes = _probes(probs)
+    data = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
+    sketch_aggs = [
+        F.percentile_approx("_v", probes, ACCURACY).alias("_cuts"),
+        F.min("_v").alias("_min"),
+        F.max("_v").alias("_max"),
+        F.count("_v").alias("_n"),
+    ]
+    sketch = data.groupBy(*by).agg(*sketch_aggs) if by else data.agg(*sketch_aggs)
+    bounds = []
+    for i, _ in enumerate(probs):
+        lo, hi = probes[2 * i], probes[2 * i + 1]
+        bounds.append(
+            F.struct(
+                (F.col("_min") if lo <= 0 else F.col("_cuts")[2 * i]).alias("lo"),
+                (F.col("_max") if hi >= 1 else F.col("_cuts")[2 * i + 1]).alias("hi"),
+            )
+        )
+    sketch = sketch.select(*by, F.struct(F.array(*bounds).alias("b"), F.col("_n").alias("n")).alias("_s"))
+    if by:
+        keyed = data.join(sketch, by)
+        s = F.col("_s")
+    else:
+        keyed = data
+        s = sketch.scalar()
+    # _gap = brackets wholly below the value; a value outside every bracket keeps only that number
+    def total(parts):
+        acc = parts[0]
+        for p in parts[1:]:
+            acc = acc + p
+        return acc
+
+    def any_of(parts):
+        acc = parts[0]
+        for p in parts[1:]:
+            acc = acc | p
+        return acc
+
+    b = s["b"]
+    gap = total([(F.col("_v") > b[i]["hi"]).cast("int") for i in range(len(probs))])
+    inside = any_of(
+        [(F.col("_v") >= b[i]["lo"]) & (F.col("_v") <= b[i]["hi"]) for i in range(len(probs))]
+    )
+    counted = (
+        keyed.select(*by, gap.alias("_gap"), F.when(inside, F.col("_v")).alias("_x"))
+        .groupBy(*by, "_gap", "_x")
+        .agg(F.count(F.lit(1)).alias("_c"))
+    )
+    # order: gap counter first (NULL value), then the bracket's own values
+    order = Window.partitionBy(*by).orderBy("_gap", F.col("_x").asc_nulls_first())
+    ranked = counted.withColumn(
+        "_cum", F.sum("_c").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    )
+    if by:
+        ranked = ranked.join(sketch, by)
+        n = F.col("_s")["n"]
+    else:
+        n = s["n"]
+    picks = []
+    for i, p in enumerate(probs):
+        h = F.lit(float(p)) * (n - 1)
+        picks.append(F.min(F.when(F.col("_cum") > F.floor(h), F.col("_x"))).alias(f"_lo{i}"))
+        picks.append(F.min(F.when(F.col("_cum") > F.ceil(h), F.col("_x"))).alias(f"_hi{i}"))
+    size = F.sum("_c").alias("n")
+    picked = ranked.groupBy(*by).agg(size, *picks) if by else ranked.agg(size, *picks)
+    values = []
+    for i, p in enumerate(probs):
+        h = F.lit(float(p)) * (F.col("n") - 1)
+        lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
+        values.append(lo + (hi - lo) * (h - F.floor(h)))
+    return picked.select(*by, "n", F.array(*values).alias("quantiles"))

@@ -1,0 +1,33 @@
+"""Joining a fact to a per-key table whose size is not known in advance."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+MAX_BROADCAST_ROWS = 200_000
+SALTS = 32
+
+
+def size_checked_join(
+    fact: DataFrame,
+    dim: DataFrame,
+    on: Sequence[str],
+    how: str = "left",
+    max_rows: int = MAX_BROADCAST_ROWS,
+) -> DataFrame:
+    """Left or inner join of `fact` with a table that has one row per key. The table is computed
+    once and counted: up to `max_rows` it is broadcast, so the fact is not shuffled; beyond
+    that both sides are shuffled on key + salt, so that one hot key spreads over many tasks."""
+    on = list(on)
+    dim = dim.persist(StorageLevel.MEMORY_AND_DISK)
+    if dim.count() <= max_rows:
+        return fact.join(F.broadcast(dim), on, how)
+    spread = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = fact.withColumn(
+        "_salt", F.pmod(F.xxhash64(*fact.columns), F.lit(SALTS)).cast("int")
+    )
+    return salted.join(spread, on + ["_salt"], how).drop("_salt")
