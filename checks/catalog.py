@@ -1,4 +1,4 @@
 """Imports every module that registers queries."""
 
-from checks import etl, features  # noqa: F401
+from checks import etl, features, inventory  # noqa: F401
 from checks.base import ORACLE, QUERIES  # noqa: F401
