@@ -238,7 +238,7 @@ def top_risks(risk: DataFrame, n: int = 5) -> DataFrame:
     )
 
 
-def recommendations(savings_pct: Column, annual: Column, accuracy: Column, high_risk: Column) -> Column:
+def recommendations(annual: Column, accuracy: Column, high_risk: Column) -> Column:
     """Array of advice (priority, action, impact) whose rule holds."""
 
     def advice(priority: str, action: Column, impact: Column) -> Column:
@@ -325,7 +325,6 @@ def executive_summary(saved: DataFrame, risk: DataFrame, inventory: DataFrame) -
             F.col("_top").alias("top_risk_segments"),
         ).alias("risk_summary"),
         recommendations(
-            F.col("savings_pct"),
             F.col("annualized_savings_estimate"),
             F.col("accuracy_improvement_pct"),
             F.col("_counts.high_risk_segments"),

@@ -2,21 +2,26 @@
 
 A mergeable sketch brackets every wanted rank (its rank error is at most n / ACCURACY), one
 counting pass reduces everything outside the brackets to a handful of counters, and only
-values inside a bracket - pre-aggregated to (value, count) - are ordered exactly.
+values inside a bracket (about 6 / ACCURACY of the rows per quantile), pre-aggregated to
+(value, count), are ordered exactly.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import add, or_
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfcast.operators.lookup import size_checked_join
+
 ACCURACY = 20_000
 
 
 def _probes(probs: Sequence[float]) -> list[float]:
-    slack = 2.0 / ACCURACY
+    slack = 3.0 / ACCURACY
     out: list[float] = []
     for p in probs:
         out += [max(0.0, p - slack), min(1.0, p + slack)]
@@ -39,40 +44,28 @@ def exact_quantiles(
         F.count("_v").alias("_n"),
     ]
     sketch = data.groupBy(*by).agg(*sketch_aggs) if by else data.agg(*sketch_aggs)
+    few = F.col("_n") <= ACCURACY  # then one rank outweighs the slack: order all values
     bounds = []
     for i, _ in enumerate(probs):
         lo, hi = probes[2 * i], probes[2 * i + 1]
         bounds.append(
             F.struct(
-                (F.col("_min") if lo <= 0 else F.col("_cuts")[2 * i]).alias("lo"),
-                (F.col("_max") if hi >= 1 else F.col("_cuts")[2 * i + 1]).alias("hi"),
+                F.when(few | (F.lit(lo) <= 0), F.col("_min")).otherwise(F.col("_cuts")[2 * i]).alias("lo"),
+                F.when(few | (F.lit(hi) >= 1), F.col("_max")).otherwise(F.col("_cuts")[2 * i + 1]).alias("hi"),
             )
         )
     sketch = sketch.select(*by, F.struct(F.array(*bounds).alias("b"), F.col("_n").alias("n")).alias("_s"))
     if by:
-        keyed = data.join(sketch, by)
+        keyed = size_checked_join(data, sketch, by, "inner")
         s = F.col("_s")
     else:
         keyed = data
         s = sketch.scalar()
     # _gap = brackets wholly below the value; a value outside every bracket keeps only that number
-    def total(parts):
-        acc = parts[0]
-        for p in parts[1:]:
-            acc = acc + p
-        return acc
-
-    def any_of(parts):
-        acc = parts[0]
-        for p in parts[1:]:
-            acc = acc | p
-        return acc
-
     b = s["b"]
-    gap = total([(F.col("_v") > b[i]["hi"]).cast("int") for i in range(len(probs))])
-    inside = any_of(
-        [(F.col("_v") >= b[i]["lo"]) & (F.col("_v") <= b[i]["hi"]) for i in range(len(probs))]
-    )
+    each = range(len(probs))
+    gap = reduce(add, [(F.col("_v") > b[i]["hi"]).cast("int") for i in each])
+    inside = reduce(or_, [(F.col("_v") >= b[i]["lo"]) & (F.col("_v") <= b[i]["hi"]) for i in each])
     counted = (
         keyed.select(*by, gap.alias("_gap"), F.when(inside, F.col("_v")).alias("_x"))
         .groupBy(*by, "_gap", "_x")
