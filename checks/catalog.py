@@ -1,4 +1,4 @@
 """Imports every module that registers queries."""
 
-from checks import ensembles, etl, evaluation, features, inventory, serving  # noqa: F401
+from checks import ensembles, etl, evaluation, features, inventory, learned, serving  # noqa: F401
 from checks.base import ORACLE, QUERIES  # noqa: F401

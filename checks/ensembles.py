@@ -164,7 +164,7 @@ SELECT SUM(forecast_ensemble) AS total_forecasted_sales, AVG(forecast_ensemble)
        MIN(forecast_ensemble) AS min_daily_sales, STDDEV_POP(forecast_ensemble) AS std_daily_sales, COUNT(*) AS forecast_count FROM forecasts""",
        {"total_forecasted_sales": 3, "avg_daily_sales": 6, "median_daily_sales": 6, "max_daily_sales": 6, "min_daily_sales": 6, "std_daily_sales": 6}, ("forecasts",))
 def _(t: Tables):
-    return ens.summary_stats(t.forecasts, "forecast_ensemble")
+    return ens.summary_stats(stage(t.forecasts, "forecasts"), "forecast_ensemble")
 
 
 _WEEK = "CAST(date + CAST((7 - isodow(date)) AS INT) AS DATE)"

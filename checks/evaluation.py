@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from checks.base import VIEWS, Tables, check
 from shelfcast.operators import diagnostics as dg
 from shelfcast.operators import metrics as m
+from shelfcast.sources.storage import stage
 
 KEYS = ["date", "store_nbr", "family"]
 
@@ -65,7 +66,7 @@ EVALUATION.update({"total_over_forecast": 3, "total_under_forecast": 3})
 
 @check("met3_evaluation", "SELECT * FROM evaluation", EVALUATION, ("evaluation",))
 def _(t: Tables):
-    return m.evaluate(t.forecasts)
+    return m.evaluate(stage(t.forecasts, "forecasts"))
 
 
 @check("win12_directional_accuracy", "SELECT directional_accuracy FROM evaluation", {"directional_accuracy": 6}, ("evaluation",))
@@ -109,12 +110,12 @@ def _(t: Tables):
 @check("agg20_error_by_magnitude", """
 WITH d AS (SELECT sales AS actual, ABS(sales - forecast_ensemble) AS error FROM forecasts WHERE sales > 0),
 q AS (SELECT list_sort(list_distinct(quantile_cont(actual, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1]))) AS e, COUNT(*) AS n FROM d),
-b AS (SELECT d.*, q.e, CAST(len(list_filter(e[2:len(e)-1], x -> x < actual)) AS INT) AS bin FROM d, q WHERE q.n >= 100)
+b AS (SELECT d.*, q.e, CAST(len(list_filter(e[2:len(e)-1], lambda x: x < actual)) AS INT) AS bin FROM d, q WHERE q.n >= 100)
 SELECT bin, e[bin + 1] AS lower_edge, e[bin + 2] AS upper_edge, COUNT(*) AS n, AVG(actual) AS avg_actual, AVG(error) AS mean_error,
        quantile_cont(error, 0.5) AS median_error, STDDEV_SAMP(error) AS std_error, AVG(error) / AVG(actual) AS rel_error
 FROM b GROUP BY bin, e""", {c: 6 for c in ("lower_edge", "upper_edge", "avg_actual", "mean_error", "median_error", "std_error", "rel_error")}, ("forecasts",))
 def _(t: Tables):
-    return dg.error_by_magnitude(t.forecasts)
+    return dg.error_by_magnitude(stage(t.forecasts, "forecasts"))
 
 
 @check("agg21_residual_histogram", """
@@ -142,4 +143,4 @@ def _(t: Tables):
 
 @check("scl23_evaluation_report")
 def _(t: Tables):
-    return dg.evaluation_report(m.evaluate(t.forecasts), "Ensemble")
+    return dg.evaluation_report(m.evaluate(stage(t.forecasts, "forecasts")), "Ensemble")

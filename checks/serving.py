@@ -108,7 +108,7 @@ SELECT 'date' AS kind, CAST(MIN(date) AS VARCHAR) AS value FROM forecasts UNION
 UNION ALL SELECT DISTINCT 'store', CAST(store_nbr AS VARCHAR) FROM forecasts UNION ALL SELECT DISTINCT 'family', family FROM forecasts""", views=("forecasts",))
 def _(t: Tables):
     o = sv.filter_options(t.forecasts)
-    dates = o["dates"].select(F.lit("date").alias("kind"), F.explode(F.array("min_date", "max_date")).cast("string").alias("value"))
+    dates = o["dates"].select(F.lit("date").alias("kind"), F.explode(F.array(F.col("min_date").cast("string"), F.col("max_date").cast("string"))).alias("value"))
     stores = o["stores"].select(F.lit("store").alias("kind"), F.col("store_nbr").cast("string").alias("value"))
     return dates.unionByName(stores).unionByName(o["families"].select(F.lit("family").alias("kind"), F.col("family").alias("value")))
 

@@ -9,9 +9,13 @@ from operator import add
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfcast.operators.quantiles import exact_quantiles
+from shelfcast.operators.quantiles import exact_quantiles, exact_quantiles_by
 
 MIN_ROWS_FOR_DECILES = 100
+MAGNITUDE_SCHEMA = (
+    "bin int, lower_edge double, upper_edge double, n bigint, avg_actual double, mean_error double, "
+    "median_error double, std_error double, rel_error double"
+)
 
 
 def error_by_magnitude(
@@ -22,33 +26,32 @@ def error_by_magnitude(
     data = df.where(F.col(actual) > 0).select(
         F.col(actual).alias("actual"), F.abs(F.col(actual) - F.col(predicted)).alias("error")
     )
-    edges_row = exact_quantiles(data, "actual", [i / bins for i in range(bins + 1)])
-    edges = edges_row.select(
-        F.when(F.col("n") >= MIN_ROWS_FOR_DECILES, F.array_distinct("quantiles"))
-    ).scalar()
+    found = exact_quantiles(data, "actual", [i / bins for i in range(bins + 1)])
+    edges = sorted(set(found.values)) if found.n >= MIN_ROWS_FOR_DECILES else []
+    if len(edges) < 2:
+        return data.sparkSession.createDataFrame([], MAGNITUDE_SCHEMA)
     # the bin of a value is the number of edges after the first that lie below it
-    below = [
-        F.coalesce((F.get(edges, F.lit(i)) < F.col("actual")).cast("int"), F.lit(0))
-        for i in range(1, bins + 1)
-    ]
-    binned = data.where(edges.isNotNull()).withColumn("bin", reduce(add, below))
+    below = [(F.col("actual") > F.lit(e)).cast("int") for e in edges[1:]]
+    binned = data.withColumn("bin", reduce(add, below))
+    medians = exact_quantiles_by(binned, "bin", "error", [0.5])
     stats = binned.groupBy("bin").agg(
         F.count(F.lit(1)).alias("n"),
         F.avg("actual").alias("avg_actual"),
         F.avg("error").alias("mean_error"),
         F.stddev_samp("error").alias("std_error"),
     )
-    medians = exact_quantiles(binned, "error", [0.5], by=["bin"]).select(
-        "bin", F.col("quantiles")[0].alias("median_error")
-    )
-    return stats.join(medians, "bin").select(
+
+    def by_bin(values: dict[int, float]) -> Column:
+        return F.create_map(*[F.lit(x) for kv in values.items() for x in kv])[F.col("bin")]
+
+    return stats.select(
         "bin",
-        edges[F.col("bin")].alias("lower_edge"),
-        edges[F.col("bin") + 1].alias("upper_edge"),
+        by_bin(dict(enumerate(edges[:-1]))).alias("lower_edge"),
+        by_bin(dict(enumerate(edges[1:]))).alias("upper_edge"),
         "n",
         "avg_actual",
         "mean_error",
-        "median_error",
+        by_bin({b: q.values[0] for b, q in medians.items()}).alias("median_error"),
         "std_error",
         (F.col("mean_error") / F.col("avg_actual")).alias("rel_error"),
     )

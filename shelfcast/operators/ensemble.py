@@ -212,7 +212,7 @@ def contribution_table(
 
 def summary_stats(df: DataFrame, forecast_col: str) -> DataFrame:
     """Totals and spread of the forecasts in one row; the median is exact."""
-    median = exact_quantiles(df, forecast_col, [0.5]).select(F.col("quantiles")[0]).scalar()
+    median = exact_quantiles(df, forecast_col, [0.5]).values[0]
     f = F.col(forecast_col)
     return df.agg(
         F.sum(f).alias("total_forecasted_sales"),
@@ -221,7 +221,7 @@ def summary_stats(df: DataFrame, forecast_col: str) -> DataFrame:
         F.min(f).alias("min_daily_sales"),
         F.stddev_pop(f).alias("std_daily_sales"),
         F.count(F.lit(1)).alias("forecast_count"),
-    ).withColumn("median_daily_sales", median)
+    ).withColumn("median_daily_sales", F.lit(median))
 
 
 def _with_empty_periods(totals: DataFrame, spine: Column) -> DataFrame:

@@ -146,18 +146,18 @@ def evaluate(
     series: Sequence[str] = ("store_nbr", "family"),
     order: Sequence[str] = ("date",),
 ) -> DataFrame:
-    """All evaluation metrics in one row, quantiles exact."""
-    errors = df.select(F.abs(F.col(actual) - F.col(predicted)).alias("e"))
-    biases = df.select((F.col(predicted) - F.col(actual)).alias("b"))
-    tails = exact_quantiles(errors, "e", [0.5, 0.9, 0.95, 0.99]).select("quantiles").scalar()
-    median = exact_quantiles(biases, "b", [0.5]).select("quantiles").scalar()
+    """All evaluation metrics in one row, quantiles exact (and computed on the call)."""
+    probs = (0.5, 0.9, 0.95, 0.99)
+    error = F.abs(F.col(actual) - F.col(predicted))
+    tails = exact_quantiles(df, error, probs).values
+    median = exact_quantiles(df, F.col(predicted) - F.col(actual), [0.5]).values[0]
     direction = directional_accuracy(df, actual, predicted, series, order).scalar()
-    one = aggregate(df, evaluator_metrics(actual, predicted))
-    return one.select("*", tails.alias("_t"), median.alias("_m"), direction.alias("directional_accuracy")).select(
-        *one.columns,
-        F.col("_m")[0].alias("median_bias"),
-        "directional_accuracy",
-        *[F.col("_t")[i].alias(f"error_p{p}") for i, p in enumerate((50, 90, 95, 99))],
+    return aggregate(df, evaluator_metrics(actual, predicted)).withColumns(
+        {
+            "median_bias": F.lit(median),
+            "directional_accuracy": direction,
+            **{f"error_p{p * 100:.0f}": F.lit(v) for p, v in zip(probs, tails)},
+        }
     )
 
 

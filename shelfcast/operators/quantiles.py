@@ -1,96 +1,129 @@
-"""Exact quantiles that never sort or collect the whole column in one task.
+"""Exact quantiles that never sort or collect a whole column in one task.
 
-A mergeable sketch brackets every wanted rank (its rank error is at most n / ACCURACY), one
-counting pass reduces everything outside the brackets to a handful of counters, and only
-values inside a bracket (about 6 / ACCURACY of the rows per quantile), pre-aggregated to
-(value, count), are ordered exactly.
+A mergeable sketch brackets every wanted rank (its rank error is at most n / ACCURACY). One
+counting pass reduces everything outside the brackets to a handful of counters; only values
+inside a bracket (about 6 / ACCURACY of the rows per quantile), pre-aggregated to
+(value, count), are ordered, each bracket in a task of its own.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 from operator import add, or_
+from typing import Any
 
-from pyspark.sql import DataFrame, Window
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfcast.operators.lookup import size_checked_join
+ACCURACY = 50_000
+MAX_GROUPS = 1_000
 
-ACCURACY = 20_000
 
+@dataclass(frozen=True)
+class Quantiles:
+    n: int
+    values: list[float]
 
-def _probes(probs: Sequence[float]) -> list[float]:
-    slack = 3.0 / ACCURACY
-    out: list[float] = []
-    for p in probs:
-        out += [max(0.0, p - slack), min(1.0, p + slack)]
-    return out
 
+def exact_quantiles(df: DataFrame, value: str | Column, probs: Sequence[float]) -> Quantiles:
+    """Linearly interpolated quantiles of all non-NULL values; runs three jobs whose results
+    are a few numbers each."""
+    found = exact_quantiles_by(df, F.lit(0), value, probs)
+    return found.get(0, Quantiles(0, [float("nan")] * len(probs)))
+
+
+def exact_quantiles_by(
+    df: DataFrame, group: str | Column, value: str | Column, probs: Sequence[float]
+) -> dict[Any, Quantiles]:
+    """The same per group, for a handful of groups such as bins."""
+    group = F.col(group) if isinstance(group, str) else group
+    value = F.col(value) if isinstance(value, str) else value
+    data = df.select(group.alias("g"), value.cast("double").alias("v")).where("v IS NOT NULL")
+    brackets = _brackets(data, probs)
+    if not brackets:
+        return {}
+
+    def per_group(values: dict[Any, Column]) -> Column:
+        if len(values) == 1:
+            return next(iter(values.values()))
+        return F.create_map(*[x for k, c in values.items() for x in (F.lit(k), c)])[F.col("g")]
 
-def exact_quantiles(
-    df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = ()
-) -> DataFrame:
-    """Linear-interpolated quantiles of `value`: one row per group with an array `quantiles`
-    (in the order of `probs`) and the count `n`. Groups are meant to be few (bins, segments)."""
-    by = list(by)
-    probs = list(probs)
-    probes = _probes(probs)
-    data = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
-    sketch_aggs = [
-        F.percentile_approx("_v", probes, ACCURACY).alias("_cuts"),
-        F.min("_v").alias("_min"),
-        F.max("_v").alias("_max"),
-        F.count("_v").alias("_n"),
-    ]
-    sketch = data.groupBy(*by).agg(*sketch_aggs) if by else data.agg(*sketch_aggs)
-    few = F.col("_n") <= ACCURACY  # then one rank outweighs the slack: order all values
-    bounds = []
-    for i, _ in enumerate(probs):
-        lo, hi = probes[2 * i], probes[2 * i + 1]
-        bounds.append(
-            F.struct(
-                F.when(few | (F.lit(lo) <= 0), F.col("_min")).otherwise(F.col("_cuts")[2 * i]).alias("lo"),
-                F.when(few | (F.lit(hi) >= 1), F.col("_max")).otherwise(F.col("_cuts")[2 * i + 1]).alias("hi"),
-            )
-        )
-    sketch = sketch.select(*by, F.struct(F.array(*bounds).alias("b"), F.col("_n").alias("n")).alias("_s"))
-    if by:
-        keyed = size_checked_join(data, sketch, by, "inner")
-        s = F.col("_s")
-    else:
-        keyed = data
-        s = sketch.scalar()
-    # _gap = brackets wholly below the value; a value outside every bracket keeps only that number
-    b = s["b"]
     each = range(len(probs))
-    gap = reduce(add, [(F.col("_v") > b[i]["hi"]).cast("int") for i in each])
-    inside = reduce(or_, [(F.col("_v") >= b[i]["lo"]) & (F.col("_v") <= b[i]["hi"]) for i in each])
+    lows = [per_group({g: F.lit(b[i][0]) for g, (_, b) in brackets.items()}) for i in each]
+    highs = [per_group({g: F.lit(b[i][1]) for g, (_, b) in brackets.items()}) for i in each]
+    # gap: brackets wholly below the value; outside every bracket only that number is kept
+    gap = reduce(add, [(F.col("v") > h).cast("int") for h in highs])
+    inside = reduce(or_, [(F.col("v") >= lo) & (F.col("v") <= hi) for lo, hi in zip(lows, highs)])
     counted = (
-        keyed.select(*by, gap.alias("_gap"), F.when(inside, F.col("_v")).alias("_x"))
-        .groupBy(*by, "_gap", "_x")
-        .agg(F.count(F.lit(1)).alias("_c"))
+        data.select("g", gap.alias("gap"), F.when(inside, F.col("v")).alias("x"))
+        .groupBy("g", "gap", "x")
+        .agg(F.count(F.lit(1)).alias("c"))
+        .persist(StorageLevel.MEMORY_AND_DISK)
     )
-    # order: gap counter first (NULL value), then the bracket's own values
-    order = Window.partitionBy(*by).orderBy("_gap", F.col("_x").asc_nulls_first())
-    ranked = counted.withColumn(
-        "_cum", F.sum("_c").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    try:
+        return _pick(counted, {g: n for g, (n, _) in brackets.items()}, probs)
+    finally:
+        counted.unpersist()
+
+
+def _brackets(data: DataFrame, probs: Sequence[float]) -> dict[Any, tuple[int, list[tuple[float, float]]]]:
+    slack = 3.0 / ACCURACY
+    probes = [x for p in probs for x in (max(0.0, p - slack), min(1.0, p + slack))]
+    rows = (
+        data.groupBy("g")
+        .agg(
+            F.percentile_approx("v", probes, ACCURACY).alias("cuts"),
+            F.min("v").alias("low"),
+            F.max("v").alias("high"),
+            F.count("v").alias("n"),
+        )
+        .limit(MAX_GROUPS + 1)
+        .collect()
+    )
+    if len(rows) > MAX_GROUPS:
+        raise ValueError(f"exact quantiles are for at most {MAX_GROUPS} groups")
+    out = {}
+    for r in rows:
+        few = r["n"] <= ACCURACY  # one rank would outweigh the slack: order all values
+        pairs = []
+        for i in range(len(probs)):
+            low = r["low"] if few or probes[2 * i] <= 0 else r["cuts"][2 * i]
+            high = r["high"] if few or probes[2 * i + 1] >= 1 else r["cuts"][2 * i + 1]
+            pairs.append((low, high))
+        out[r["g"]] = (r["n"], pairs)
+    return out
+
+
+def _pick(counted: DataFrame, sizes: dict[Any, int], probs: Sequence[float]) -> dict[Any, Quantiles]:
+    totals = counted.groupBy("g", "gap").agg(F.sum("c").alias("c")).collect()
+    ranks = {(g, p): p * (n - 1) for g, n in sizes.items() for p in probs}
+    inside_gap = Window.partitionBy("g", "gap").orderBy(F.col("x").asc_nulls_first())
+    running = counted.withColumn(
+        "cum", F.sum("c").over(inside_gap.rowsBetween(Window.unboundedPreceding, 0))
     )
-    if by:
-        ranked = ranked.join(sketch, by)
-        n = F.col("_s")["n"]
-    else:
-        n = s["n"]
-    picks = []
-    for i, p in enumerate(probs):
-        h = F.lit(float(p)) * (n - 1)
-        picks.append(F.min(F.when(F.col("_cum") > F.floor(h), F.col("_x"))).alias(f"_lo{i}"))
-        picks.append(F.min(F.when(F.col("_cum") > F.ceil(h), F.col("_x"))).alias(f"_hi{i}"))
-    size = F.sum("_c").alias("n")
-    picked = ranked.groupBy(*by).agg(size, *picks) if by else ranked.agg(size, *picks)
-    values = []
-    for i, p in enumerate(probs):
-        h = F.lit(float(p)) * (F.col("n") - 1)
-        lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
-        values.append(lo + (hi - lo) * (h - F.floor(h)))
-    return picked.select(*by, "n", F.array(*values).alias("quantiles"))
+    wanted = []
+    for r in sorted(totals, key=lambda r: r["gap"]):
+        g = r["g"]
+        before = sum(t["c"] for t in totals if t["g"] == g and t["gap"] < r["gap"])
+        for p in probs:
+            for k in {int(ranks[g, p] // 1), int(-(-ranks[g, p] // 1))}:
+                if before <= k < before + r["c"]:
+                    wanted.append((g, r["gap"], k, k - before))
+    picks = [
+        F.min(F.when((F.col("g") == g) & (F.col("gap") == gap) & (F.col("cum") > place), F.col("x")))
+        for g, gap, _, place in wanted
+    ]
+    found = running.agg(*[c.alias(f"p{i}") for i, c in enumerate(picks)]).first()
+    at_rank = {(g, k): found[f"p{i}"] for i, (g, _, k, _) in enumerate(wanted)}
+    out = {}
+    for g, n in sizes.items():
+        values = []
+        for p in probs:
+            h = ranks[g, p]
+            low, high = at_rank[g, int(h // 1)], at_rank[g, int(-(-h // 1))]
+            values.append(low + (high - low) * (h - h // 1))
+        out[g] = Quantiles(n, values)
+    return out
