@@ -27,11 +27,23 @@ class Tables:
 
     @cached_property
     def sales(self) -> DataFrame:
-        return self.raw["train"]
+        return adapter.sales(self.spark, self.folder)
 
     @cached_property
     def stores(self) -> DataFrame:
-        return self.raw["stores"]
+        return adapter.stores(self.spark, self.folder)
+
+    @cached_property
+    def oil(self) -> DataFrame:
+        return adapter.oil(self.spark, self.folder)
+
+    @cached_property
+    def holidays(self) -> DataFrame:
+        return adapter.holidays(self.spark, self.folder)
+
+    @cached_property
+    def transactions(self) -> DataFrame:
+        return adapter.transactions(self.spark, self.folder)
 
     @cached_property
     def fact(self) -> DataFrame:

@@ -73,12 +73,12 @@ def _(t: Tables):
 
 @check("prj3_holiday_predicate", "SELECT date, ordinal, type, locale FROM holidays WHERE transferred = false", views=("holidays",))
 def _(t: Tables):
-    return t.raw["holidays"].where(~F.col("transferred")).drop("transferred")
+    return t.holidays.where(~F.col("transferred")).drop("transferred")
 
 
 @check("prj4_holiday_projection", "SELECT date, type AS holiday_type, locale FROM holidays", views=("holidays",))
 def _(t: Tables):
-    return t.raw["holidays"].select("date", F.col("type").alias("holiday_type"), "locale")
+    return t.holidays.select("date", F.col("type").alias("holiday_type"), "locale")
 
 
 @check("prj5_null_defaults", "SELECT date, store_nbr, family, is_holiday, transactions FROM fact", views=("fact",))
@@ -116,34 +116,34 @@ def _(t: Tables):
 
 @check("jn2_sales_oil", "SELECT s.date, s.store_nbr, s.family, o.oil_price FROM sales s LEFT JOIN oil_daily o USING (date)", OIL, ("sales", "oil_daily"))
 def _(t: Tables):
-    daily = etl.daily_oil_price(t.raw["oil"])
+    daily = etl.daily_oil_price(t.oil)
     return t.sales.select("date", "store_nbr", "family").join(F.broadcast(daily), "date", "left")
 
 
 @check("jn3_sales_holidays", "SELECT s.date, s.store_nbr, s.family, h.holiday_type, h.locale FROM sales s LEFT JOIN holiday_by_date h USING (date)", views=("sales", "holiday_by_date"))
 def _(t: Tables):
-    dim = etl.effective_holidays(t.raw["holidays"])
+    dim = etl.effective_holidays(t.holidays)
     return t.sales.select("date", "store_nbr", "family").join(F.broadcast(dim), "date", "left")
 
 
 @check("jn4_sales_transactions", "SELECT s.date, s.store_nbr, s.family, t.transactions FROM sales s LEFT JOIN transactions t USING (date, store_nbr)", views=("sales", "transactions"))
 def _(t: Tables):
-    return t.sales.select("date", "store_nbr", "family").join(t.raw["transactions"], ["date", "store_nbr"], "left")
+    return t.sales.select("date", "store_nbr", "family").join(t.transactions, ["date", "store_nbr"], "left")
 
 
 @check("set4_calendar_spine", "SELECT CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS DATE) AS date FROM oil", views=("oil",))
 def _(t: Tables):
-    return densify_daily(t.raw["oil"]).select("date")
+    return densify_daily(t.oil).select("date")
 
 
 @check("win7_fill_both_ways", "SELECT * FROM oil_by_date", OIL, ("oil_by_date",))
 def _(t: Tables):
-    return etl.oil_for_dates(t.sales.select("date").distinct(), t.raw["oil"])
+    return etl.oil_for_dates(t.sales.select("date").distinct(), t.oil)
 
 
 @check("win13_first_per_date", "SELECT * FROM holiday_by_date", views=("holiday_by_date",))
 def _(t: Tables):
-    return etl.effective_holidays(t.raw["holidays"])
+    return etl.effective_holidays(t.holidays)
 
 
 @check("dom1_sales_fact", f"SELECT {FACT_COLUMNS} FROM fact", OIL, ("fact",))

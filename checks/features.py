@@ -200,7 +200,7 @@ FROM fact JOIN oil_features o USING (date) JOIN holiday_features h USING (date)
 JOIN promo_features p USING (date, store_nbr, family) JOIN txn_features x USING (date, store_nbr, family)
 """, {**OIL_ROUNDS, **HOLIDAY_ROUNDS, **PROMO_ROUNDS, **TXN_ROUNDS}, ("oil_features", "holiday_features", "promo_features", "txn_features"))
 def _(t: Tables):
-    df = t.fact.select(*KEYS, "oil_price", "is_holiday", "onpromotion", "transactions")
+    df = stage(t.fact.select(*KEYS, "oil_price", "is_holiday", "onpromotion", "transactions"), "sales_clean")
     return f.add_external_features(df).drop("oil_price", "is_holiday", "onpromotion", "transactions")
 
 

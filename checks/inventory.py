@@ -215,28 +215,30 @@ def _(t: Tables):
 
 @check("win11_seasonal_naive", "SELECT date, store_nbr, family, sales, seasonal_naive FROM baselines", {"seasonal_naive": 6}, ("baselines",))
 def _(t: Tables):
-    return fin.seasonal_naive(t.forecasts.select("date", "store_nbr", "family", "sales"))
+    return fin.seasonal_naive(stage(t.forecasts.select("date", "store_nbr", "family", "sales"), "forecasts"))
 
 
 @check("udf2_seasonal_naive_native", "SELECT date, store_nbr, family, seasonal_naive FROM baselines", {"seasonal_naive": 6}, ("baselines",))
 def _(t: Tables):
-    return fin.seasonal_naive(t.forecasts.select("date", "store_nbr", "family", "sales")).drop("sales")
+    return fin.seasonal_naive(stage(t.forecasts.select("date", "store_nbr", "family", "sales"), "forecasts")).drop("sales")
 
 
 @check("win14_half_means", "SELECT * FROM halves", {"first_half": 6, "second_half": 6}, ("halves",))
 def _(t: Tables):
-    return fin.half_means(t.forecasts)
+    return fin.half_means(stage(t.forecasts, "forecasts"))
 
 
 @check("jn12_stock_and_forecasts", "SELECT segment, safety_stock, n_rows, first_half, second_half FROM ss JOIN halves USING (segment)", {"first_half": 6, "second_half": 6}, ("ss", "halves"))
 def _(t: Tables):
-    joined = safety_stock(t.forecasts).join(fin.half_means(t.forecasts), "segment")
+    f = stage(t.forecasts, "forecasts")
+    joined = safety_stock(f).join(fin.half_means(f), "segment")
     return joined.select("segment", "safety_stock", "n_rows", "first_half", "second_half")
 
 
 def _comparison(t: Tables):
-    base = fin.seasonal_naive(t.forecasts.select("date", "store_nbr", "family", "sales", "forecast_ensemble"))
-    mean = t.forecasts.agg(F.avg("sales")).scalar()
+    f = stage(t.forecasts.select("date", "store_nbr", "family", "sales", "forecast_ensemble"), "forecasts")
+    base = fin.seasonal_naive(f)
+    mean = f.agg(F.avg("sales")).scalar()
     return fin.compare_methods(base, {fin.AI: "forecast_ensemble", fin.NAIVE: mean, fin.SEASONAL: "seasonal_naive"})
 
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfcast.functions.scalar import clip, ratio
@@ -43,26 +44,43 @@ def add_time_features(df: DataFrame) -> DataFrame:
     )
 
 
-def label_codes(df: DataFrame, column: str) -> DataFrame:
-    """Each distinct text of a column with its rank in sorted order, from 0. Missing text is
-    ranked as a text of its own. The position comes from counts per first letter, so the
-    ranking is not one global sort."""
-    text = F.coalesce(F.col(column).cast("string"), F.lit("nan"))
-    values = df.select(text.alias(column)).distinct().withColumn("_head", F.substring(column, 1, 1))
-    ranked = with_position(values, [], ["_head", column], "_code")
-    return ranked.select(column, F.col("_code").cast("int").alias(f"{column}_encoded"))
+def label_codes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The distinct combinations of some text columns, as _label_<column>, with each text's rank
+    among the sorted distinct texts of its column, from 0, as <column>_encoded. A missing text
+    is ranked as a text of its own. Ranks come from counts per first letter, so the texts are
+    not sorted in one task."""
+    labels = {c: f"_label_{c}" for c in columns}
+    combos = df.select(*[_label(c).alias(k) for c, k in labels.items()]).distinct()
+    combos = combos.persist(StorageLevel.MEMORY_AND_DISK)
+    each = F.array(*[F.struct(F.lit(c).alias("name"), F.col(k).alias("text")) for c, k in labels.items()])
+    texts = combos.select(F.inline(each)).distinct().withColumn("head", F.substring("text", 1, 1))
+    codes = with_position(texts, ["name"], ["head", "text"], "code")
+    for c, k in labels.items():
+        mine = codes.where(F.col("name") == c).select(
+            F.col("text").alias(k), F.col("code").cast("int").alias(f"{c}_encoded")
+        )
+        combos = combos.join(mine, k)
+    return combos
+
+
+def _label(column: str) -> Column:
+    return F.coalesce(F.col(column).cast("string"), F.lit("nan"))
 
 
 def add_store_features(
-    df: DataFrame, columns: Sequence[str] = ("city", "state", "store_type")
+    df: DataFrame,
+    columns: Sequence[str] = ("city", "state", "store_type"),
+    source: DataFrame | None = None,
 ) -> DataFrame:
-    for c in columns:
-        if c not in df.columns:
-            continue
-        key = F.coalesce(F.col(c).cast("string"), F.lit("nan"))
-        codes = label_codes(df, c).withColumnRenamed(c, "_label")
-        df = size_checked_join(df.withColumn("_label", key), codes, ["_label"]).drop("_label")
-    return df
+    """Label codes of the text columns present. `source` is the table to take the labels from;
+    give the stored fact when df has grown columns that need not be computed for it."""
+    present = [c for c in columns if c in df.columns]
+    if not present:
+        return df
+    keyed = df.withColumns({f"_label_{c}": _label(c) for c in present})
+    codes = label_codes(df if source is None else source, present)
+    keys = [f"_label_{c}" for c in present]
+    return size_checked_join(keyed, codes, keys).drop(*keys)
 
 
 def oil_features(df: DataFrame) -> DataFrame:
@@ -112,19 +130,25 @@ def holiday_features(df: DataFrame) -> DataFrame:
     )
 
 
-def _with_store_means(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def _with_store_means(df: DataFrame, columns: Sequence[str], source: DataFrame | None = None) -> DataFrame:
     """Join each store's mean of the given columns, over all its dates, as _mean_<column>."""
-    means = df.groupBy("store_nbr").agg(*[F.avg(c).alias(f"_mean_{c}") for c in columns])
+    means = (df if source is None else source).groupBy("store_nbr").agg(*[F.avg(c).alias(f"_mean_{c}") for c in columns])
     return size_checked_join(df, means, ["store_nbr"])
 
 
-def _promotion_columns(df: DataFrame) -> DataFrame:
+def add_store_day_totals(df: DataFrame) -> DataFrame:
+    """Promotions of the store on the day; such a group holds one row per family."""
     per_day = Window.partitionBy("date", "store_nbr")
+    return df.withColumn("store_total_promotions", F.sum("onpromotion").over(per_day).cast("double"))
+
+
+def _promotion_columns(df: DataFrame) -> DataFrame:
+    if "store_total_promotions" not in df.columns:
+        df = add_store_day_totals(df)
     return df.withColumns(
         {
             "has_promotion": (F.col("onpromotion") > 0).cast("int"),
             "log_onpromotion": F.log1p("onpromotion"),
-            "store_total_promotions": F.sum("onpromotion").over(per_day).cast("double"),
             "promo_vs_store_avg": clip(
                 ratio(F.col("onpromotion"), F.col("_mean_onpromotion"), 0.0), 0.0, 10.0
             ),
@@ -152,15 +176,22 @@ def add_transaction_features(df: DataFrame) -> DataFrame:
     return _transaction_columns(_with_store_means(df, ["transactions"]))
 
 
-def add_external_features(df: DataFrame) -> DataFrame:
-    """Oil, holiday, promotion and transaction groups, each where its input column exists."""
-    if "oil_price" in df.columns:
-        df = df.join(F.broadcast(oil_features(df)), "date", "left")
-    if "is_holiday" in df.columns:
-        df = df.join(F.broadcast(holiday_features(df)), "date", "left")
+def add_external_features(df: DataFrame, source: DataFrame | None = None) -> DataFrame:
+    """Oil, holiday, promotion and transaction groups, each where its input column exists. The
+    date features are joined as one broadcast table with a row per day. `source` is the
+    table the date and store tables are taken from, by default df itself."""
+    source = df if source is None else source
+    by_day = [
+        build(source)
+        for column, build in (("oil_price", oil_features), ("is_holiday", holiday_features))
+        if column in df.columns
+    ]
+    if by_day:
+        days = by_day[0] if len(by_day) == 1 else by_day[0].join(by_day[1], "date")
+        df = df.join(F.broadcast(days), "date", "left")
     counted = [c for c in ("onpromotion", "transactions") if c in df.columns]
     if counted:
-        df = _with_store_means(df, counted)
+        df = _with_store_means(df, counted, source)
     if "onpromotion" in counted:
         df = _promotion_columns(df)
     if "transactions" in counted:

@@ -20,21 +20,20 @@ def with_position(
     scope, order = list(scope), list(order)
     blocks = order[:-1]
     offsets = df.groupBy(*scope, *blocks).agg(F.count(F.lit(1)).alias("_rows"))
+
+    def rows_before(prefix: list[str], block: str) -> Column:
+        w = Window.partitionBy(*prefix).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum("_rows").over(w), F.lit(0))
+
     total = F.lit(0).cast("bigint")
-    for depth in range(len(blocks)):
+    for depth in range(len(blocks) - 1):
         prefix = scope + blocks[:depth]
         level = offsets.groupBy(*prefix, blocks[depth]).agg(F.sum("_rows").alias("_rows"))
-        before = Window.partitionBy(*prefix).orderBy(blocks[depth]).rowsBetween(
-            Window.unboundedPreceding, -1
-        )
-        start = level.select(
-            *prefix,
-            blocks[depth],
-            F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias(f"_start{depth}"),
-        )
+        start = level.select(*prefix, blocks[depth], rows_before(prefix, blocks[depth]).alias(f"_start{depth}"))
         offsets = offsets.join(start, prefix + [blocks[depth]])
         total = total + F.col(f"_start{depth}")
-    offsets = offsets.select(*scope, *blocks, total.alias("_start"))
+    innermost = rows_before(scope + blocks[:-1], blocks[-1])
+    offsets = offsets.select(*scope, *blocks, (total + innermost).alias("_start"))
     inner = Window.partitionBy(*scope, *blocks).orderBy(order[-1])
     return (
         df.withColumn("_place", F.row_number().over(inner))

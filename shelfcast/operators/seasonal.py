@@ -123,12 +123,10 @@ def _fourier_columns(day: Column, period: float, order: int) -> list[Column]:
 
 
 def seasonal_columns(day: Column) -> dict[str, Column]:
-    """Trend, season shares and forecast at a day number, from the columns of a fitted model.
-    The seasons combine by a product around the trend; y_hat may be negative."""
+    """Trend and the seasons' shares of it at a day number, from the columns of a fitted model."""
     t = (day - F.col("first_day")) / F.col("days")
     hinges = [F.greatest(t - k / (HINGES + 1), F.lit(0.0)) for k in range(1, HINGES + 1)]
     trend = _dot(F.col("trend"), [F.lit(1.0), t, *hinges])
-    # the season coefficients were fitted against the trend alone, as shares of it
     yearly = _dot(F.col("yearly"), _fourier_columns(day, YEAR_DAYS, YEARLY_ORDER))
     weekly = _dot(F.col("weekly"), _fourier_columns(day, WEEK_DAYS, WEEKLY_ORDER))
     return {"_trend": trend, "_yearly": yearly, "_weekly": weekly}
