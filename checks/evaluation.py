@@ -141,6 +141,15 @@ def _(t: Tables):
     return dg.rolling_bias(dg.daily_bias(t.forecasts))
 
 
-@check("scl23_evaluation_report")
+def _report_sql() -> str:
+    lines = ["'FORECAST EVALUATION REPORT: Ensemble'"]
+    for text, metric, factor in dg.REPORT_LINES:
+        lines.append(f"'{text}'" if metric is None else f"printf('{text}', {metric} * {factor})")
+        if metric == "bias_pct":
+            lines.append("'  Direction:           ' || CASE WHEN mean_bias > 0 THEN 'Over-forecasting' ELSE 'Under-forecasting' END")
+    return "SELECT concat_ws(chr(10), " + ", ".join(lines) + ") AS report FROM evaluation"
+
+
+@check("scl23_evaluation_report", _report_sql(), views=("evaluation",))
 def _(t: Tables):
     return dg.evaluation_report(m.evaluate(stage(t.forecasts, "forecasts")), "Ensemble")

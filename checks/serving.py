@@ -241,20 +241,50 @@ def _(t: Tables):
     return rows.select("category", "measure", value.alias("value"))
 
 
-@check("scl22_forecast_payload")
-def _(t: Tables):
-    f = stage(t.forecasts, "forecasts")
-    r = optimize_inventory(f)
-    return sv.forecast_context(f, r["comparison"])
+def _from_json(path: str, kind: str, name: str):
+    return F.get_json_object("payload", path).cast(kind).alias(name)
 
 
-@check("scl22_inventory_payload")
+@check("scl22_forecast_payload", """
+SELECT SUM(sales) AS total_sales, COUNT(DISTINCT store_nbr) AS stores, MIN(date) || ' to ' || MAX(date) AS period, COUNT(*) AS records,
+       (SELECT rmse FROM comparison WHERE method = 'AI Ensemble') AS rmse, (SELECT mape FROM comparison WHERE method = 'Seasonal Naive') AS mape
+FROM forecasts""", {"rmse": 6, "mape": 6}, ("forecasts", "comparison"))
 def _(t: Tables):
+    """The forecast context as JSON, read back field by field."""
+    f = stage(t.forecasts, "forecasts")
+    payload = sv.forecast_context(f, optimize_inventory(f)["comparison"])
+    return payload.select(
+        _from_json("$.forecast_summary.total_sales", "double", "total_sales"),
+        _from_json("$.forecast_summary.stores", "bigint", "stores"),
+        _from_json("$.forecast_summary.period", "string", "period"),
+        _from_json("$.forecast_summary.records", "bigint", "records"),
+        _from_json("$.model_comparison['AI Ensemble'].rmse", "double", "rmse"),
+        _from_json("$.model_comparison['Seasonal Naive'].mape", "double", "mape"),
+    )
+
+
+@check("scl22_inventory_payload", """
+SELECT 'inventory' AS kind, savings_pct, (SELECT COUNT(*) FROM risk) AS segments FROM savings
+UNION ALL SELECT 'question', savings_pct, (SELECT COUNT(DISTINCT store_nbr) FROM forecasts) FROM savings
+UNION ALL SELECT 'week', savings_pct, (SELECT COUNT(*) FROM forecasts) FROM savings""", {"savings_pct": 6}, ("savings", "risk", "forecasts"))
+def _(t: Tables):
+    """The inventory, question and weekly contexts as JSON, read back field by field."""
     f = stage(t.forecasts, "forecasts")
     r = optimize_inventory(f)
     weekly = sv.weekly_context("1998-12-27", sv.forecast_kpis(f, "forecast_ensemble"), sv.inventory_kpis(r["inventory"]), r["savings"])
     asked = sv.question_context("Which stores need attention?", r["savings"], r["executive_summary"], f)
-    return sv.inventory_context(r["savings"], r["executive_summary"]).unionByName(weekly).unionByName(asked)
+    inventory = sv.inventory_context(r["savings"], r["executive_summary"])
+
+    def fields(payload, kind, savings, segments):
+        return payload.select(
+            F.lit(kind).alias("kind"), _from_json(savings, "double", "savings_pct"), _from_json(segments, "bigint", "segments")
+        )
+
+    return (
+        fields(inventory, "inventory", "$.savings.savings_pct", "$.risk_summary.total_segments")
+        .unionByName(fields(asked, "question", "$.data.savings.savings_pct", "$.data.total_stores"))
+        .unionByName(fields(weekly, "week", "$.financial.savings_pct", "$.forecast.records"))
+    )
 
 
 @check("snk5_forecasts_csv", "SELECT date, store_nbr, family, forecast_ensemble FROM forecasts", {"forecast_ensemble": 6}, ("forecasts",))

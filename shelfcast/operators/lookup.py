@@ -27,7 +27,6 @@ def size_checked_join(
     if dim.count() <= max_rows:
         return fact.join(F.broadcast(dim), on, how)
     spread = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = fact.withColumn(
-        "_salt", F.pmod(F.xxhash64(*fact.columns), F.lit(SALTS)).cast("int")
-    )
+    plain = [c for c, t in fact.dtypes if "map<" not in t and t != "variant"]
+    salted = fact.withColumn("_salt", F.pmod(F.xxhash64(*plain), F.lit(SALTS)).cast("int"))
     return salted.join(spread, on + ["_salt"], how).drop("_salt")

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfcast.functions.scalar import avg_where, ceil_units, ratio
-from shelfcast.functions.service_level import z_score
+from shelfcast.functions.service_level import z_score, z_value
 
 METHODS = ("standard", "demand_and_lead_time", "forecast_error")
 MAD_TO_STD = 1.25  # fixed value
@@ -43,17 +43,24 @@ def forecast_error(z: Column, error_std: Column, mad: Column, lead_time: Column)
     return ceil_units(z * F.greatest(error_std, mad * MAD_TO_STD) * F.sqrt(lead_time))
 
 
-def _service_level(
+def _with_service_level(
     stats: DataFrame, levels: Mapping | DataFrame | None, default: float
-) -> tuple[DataFrame, Column]:
-    fallback = F.lit(float(default))
-    if levels is None:
-        return stats, fallback
+) -> DataFrame:
+    """Add each segment's service level and its z-score. Levels known on the driver give literal
+    z-scores; levels from a table are evaluated per segment."""
     if isinstance(levels, DataFrame):
         table = levels.select("segment", F.col("service_level").alias("_level"))
-        return stats.join(table, "segment", "left"), F.coalesce("_level", fallback)
-    pairs = [F.lit(x) for kv in levels.items() for x in (kv[0], float(kv[1]))]
-    return stats, F.coalesce(F.create_map(*pairs)[F.col("segment")], fallback)
+        stats = stats.join(table, "segment", "left")
+        level = F.coalesce("_level", F.lit(float(default)))
+        return stats.withColumn("service_level", level).withColumn("z_score", z_score(F.col("service_level")))
+
+    def pick(of: Callable[[float], float]) -> Column:
+        if not levels:
+            return F.lit(of(float(default)))
+        pairs = [F.lit(x) for k, v in levels.items() for x in (k, of(float(v)))]
+        return F.coalesce(F.create_map(*pairs)[F.col("segment")], F.lit(of(float(default))))
+
+    return stats.withColumns({"service_level": pick(lambda v: v), "z_score": pick(z_value)})
 
 
 def safety_stock(
@@ -78,8 +85,7 @@ def safety_stock(
         avg_where(F.abs(error) / actual, actual > 0, 0.0).alias("forecast_mape"),
         F.count(F.lit(1)).alias("n_observations"),
     )
-    stats, level = _service_level(stats, service_levels, settings.service_level)
-    stats = stats.withColumn("service_level", level).withColumn("z_score", z_score(F.col("service_level")))
+    stats = _with_service_level(stats, service_levels, settings.service_level)
     z, lead = F.col("z_score"), F.lit(float(settings.lead_time_days))
     demand, std = F.col("avg_daily_demand"), F.col("demand_std")
     stock = {

@@ -96,3 +96,21 @@ def test_split_by_date(spark):
     df = spark.createDataFrame([(day(i),) for i in range(10)], "date date")
     before, after = split_by_date(df, 3)
     assert (before.count(), after.count()) == (7, 3)
+
+
+def test_etl_from_csv_to_features(spark):
+    from checks.base import Tables
+    from shelfcast.plans.etl import run_etl, run_features
+    from shelfcast.sources import schemas, sinks
+    from shelfcast.sources.storage import new_path
+
+    raw = Tables(spark, "/root/testdata/sf0.001").raw
+    folder = new_path(spark, "raw")
+    for name, file in schemas.RAW_FILES.items():
+        sinks.write_csv(raw[name], f"{folder}/{file}")
+    fact = run_etl(spark, folder, folder)
+    assert fact.count() == raw["train"].count()
+    assert dict(fact.dtypes)["sales"] == "float" and fact.where("oil_price IS NULL").count() == 0
+    features = run_features(fact, folder)
+    assert features.count() == fact.count()
+    assert {"sales_lag_28", "holiday_proximity", "city_encoded", "txn_vs_store_avg"} <= set(features.columns)
