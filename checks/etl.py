@@ -126,9 +126,11 @@ def _(t: Tables):
     return t.sales.select("date", "store_nbr", "family").join(F.broadcast(dim), "date", "left")
 
 
-@check("jn4_sales_transactions", "SELECT s.date, s.store_nbr, s.family, t.transactions FROM sales s LEFT JOIN transactions t USING (date, store_nbr)", views=("sales", "transactions"))
+@check("jn4_sales_transactions", "SELECT s.date, s.store_nbr, s.family, CAST(t.transactions AS DOUBLE) AS transactions FROM sales s LEFT JOIN transactions t USING (date, store_nbr)", views=("sales", "transactions"))
 def _(t: Tables):
-    return t.sales.select("date", "store_nbr", "family").join(t.transactions, ["date", "store_nbr"], "left")
+    return t.sales.select("date", "store_nbr", "family").join(
+        t.transactions.withColumn("transactions", F.col("transactions").cast("double")), ["date", "store_nbr"], "left"
+    )
 
 
 @check("set4_calendar_spine", "SELECT CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS DATE) AS date FROM oil", views=("oil",))

@@ -370,7 +370,7 @@ def _(t: Tables):
 @check("scl20_money_text", """
 WITH v AS (SELECT segment, total_cost * p AS v FROM inv, (VALUES (0.0), (0.01), (1.0), (100.0), (100000.0)) x(p))
 SELECT segment, CASE WHEN v IS NULL OR v = 0 THEN '$0' WHEN abs(v) >= 1e9 THEN '$' || printf('%.2f', v / 1e9) || 'B' WHEN abs(v) >= 1e6 THEN '$' || printf('%.1f', v / 1e6) || 'M'
-       WHEN abs(v) >= 1e3 THEN '$' || printf('%.0f', v / 1e3) || 'K' ELSE '$' || printf('%.0f', v) END AS amount, printf('%.1f', i.inventory_turnover) || '%' AS pct
+       WHEN abs(v) >= 1e3 THEN '$' || printf('%.0f', v / 1e3) || 'K' ELSE '$' || format('{:,}', CAST(round(v) AS BIGINT)) END AS amount, printf('%.1f', i.inventory_turnover) || '%' AS pct
 FROM v JOIN inv i USING (segment)""", views=("inv",))
 def _(t: Tables):
     inv = ro.reorder_plan(safety_stock(t.forecasts))

@@ -83,50 +83,74 @@ def add_store_features(
     return size_checked_join(keyed, codes, keys).drop(*keys)
 
 
+def date_features(df: DataFrame) -> DataFrame:
+    """Oil and holiday features per distinct date, each group where its column exists: one scan
+    of the fact, then windows over a table with one row per day."""
+    inputs = {
+        "oil_price": F.first("oil_price", ignorenulls=True),
+        "is_holiday": F.max("is_holiday"),
+    }
+    present = [c for c in inputs if c in df.columns]
+    days = df.groupBy("date").agg(*[inputs[c].alias(c) for c in present])
+    if "oil_price" in present:
+        days = _oil_columns(days)
+    if "is_holiday" in present:
+        days = _holiday_columns(days)
+    return days.drop(*present)
+
+
 def oil_features(df: DataFrame) -> DataFrame:
-    """Oil features per distinct date of the fact: one row per day."""
+    return date_features(df.select("date", "oil_price"))
+
+
+def holiday_features(df: DataFrame) -> DataFrame:
+    return date_features(df.select("date", "is_holiday"))
+
+
+def _oil_columns(days: DataFrame) -> DataFrame:
     w = calendar_order()
-    days = df.groupBy("date").agg(F.first("oil_price", ignorenulls=True).alias("oil_price"))
     trailing = w.rowsBetween(-13, 0)
-    before = F.lag("oil_price", 7).over(w)
-    change = ratio(F.col("oil_price") - before, before, 0.0)
-    levels = days.agg(F.percentile("oil_price", F.array(F.lit(0.33), F.lit(0.66))).alias("q")).scalar()
-    raw = days.select(
-        "date",
-        before.alias("oil_price_lag_7"),
-        F.avg("oil_price").over(trailing).alias("oil_price_ma_14"),
-        clip(change, -0.5, 0.5).alias("oil_price_change_7"),
-        F.coalesce(F.stddev_samp("oil_price").over(trailing), F.lit(0.0)).alias(
-            "oil_price_volatility_14"
-        ),
-        F.when(F.col("oil_price") <= levels[0], 0)
-        .when(F.col("oil_price") <= levels[1], 1)
-        .when(F.col("oil_price").isNotNull(), 2)
-        .alias("oil_price_level"),
+    everything = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    price, before = F.col("oil_price"), F.lag("oil_price", 7).over(w)
+    change = ratio(price - before, before, 0.0)
+    cuts = F.percentile("oil_price", F.array(F.lit(0.33), F.lit(0.66))).over(everything)
+    raw = days.withColumns(
+        {
+            "_cuts": cuts,
+            "oil_price_lag_7": before,
+            "oil_price_ma_14": F.avg("oil_price").over(trailing),
+            "oil_price_change_7": clip(change, -0.5, 0.5),
+            "oil_price_volatility_14": F.coalesce(
+                F.stddev_samp("oil_price").over(trailing), F.lit(0.0)
+            ),
+        }
+    ).withColumn(
+        "oil_price_level",
+        F.when(price <= F.col("_cuts")[0], 0).when(price <= F.col("_cuts")[1], 1).when(price.isNotNull(), 2),
     )
-    return raw.select("date", *[fill_both_ways(c).alias(c) for c in OIL_FEATURES])
+    return raw.withColumns({c: fill_both_ways(c) for c in OIL_FEATURES}).drop("_cuts")
 
 
-def holiday_features(df: DataFrame) -> DataFrame:
-    """Holiday distances per distinct date: last holiday on or before it, next one after it."""
-    days = df.groupBy("date").agg(F.max("is_holiday").alias("is_holiday"))
+def _holiday_columns(days: DataFrame) -> DataFrame:
+    """Distance to the last holiday on or before the date and to the next one after it."""
     w = calendar_order()
     holiday = F.when(F.col("is_holiday") == 1, F.col("date"))
     last = F.max(holiday).over(w.rowsBetween(Window.unboundedPreceding, 0))
     upcoming = F.min(holiday).over(w.rowsBetween(1, Window.unboundedFollowing))
     far = F.lit(NO_HOLIDAY_DAYS)
-    days = days.select(
-        "date",
-        F.least(F.coalesce(F.datediff("date", last), far), far).alias("days_since_holiday"),
-        F.least(F.coalesce(F.datediff(upcoming, "date"), far), far).alias("days_to_holiday"),
-    )
     since, to = F.col("days_since_holiday"), F.col("days_to_holiday")
-    return days.select(
-        "*",
-        (1.0 / (1.0 + F.least(since, to))).alias("holiday_proximity"),
-        (to == 1).cast("int").alias("is_holiday_eve"),
-        (since == 1).cast("int").alias("is_post_holiday"),
-        ((since <= 3) | (to <= 3)).cast("int").alias("is_holiday_week"),
+    return days.withColumns(
+        {
+            "days_since_holiday": F.least(F.coalesce(F.datediff("date", last), far), far),
+            "days_to_holiday": F.least(F.coalesce(F.datediff(upcoming, "date"), far), far),
+        }
+    ).withColumns(
+        {
+            "holiday_proximity": 1.0 / (1.0 + F.least(since, to)),
+            "is_holiday_eve": (to == 1).cast("int"),
+            "is_post_holiday": (since == 1).cast("int"),
+            "is_holiday_week": ((since <= 3) | (to <= 3)).cast("int"),
+        }
     )
 
 
@@ -181,14 +205,8 @@ def add_external_features(df: DataFrame, source: DataFrame | None = None) -> Dat
     date features are joined as one broadcast table with a row per day. `source` is the
     table the date and store tables are taken from, by default df itself."""
     source = df if source is None else source
-    by_day = [
-        build(source)
-        for column, build in (("oil_price", oil_features), ("is_holiday", holiday_features))
-        if column in df.columns
-    ]
-    if by_day:
-        days = by_day[0] if len(by_day) == 1 else by_day[0].join(by_day[1], "date")
-        df = df.join(F.broadcast(days), "date", "left")
+    if "oil_price" in df.columns or "is_holiday" in df.columns:
+        df = df.join(F.broadcast(date_features(source)), "date", "left")
     counted = [c for c in ("onpromotion", "transactions") if c in df.columns]
     if counted:
         df = _with_store_means(df, counted, source)

@@ -23,13 +23,23 @@ def shared_folder(spark: SparkSession) -> str:
     return _local_folder[0]
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/shelfcast/{uuid.uuid4().hex}/{name}"
+def _application_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/shelfcast/{spark.sparkContext.applicationId}"
+
+
+def new_path(spark: SparkSession, name: str, kind: str = "tables") -> str:
+    return f"{_application_folder(spark)}/{kind}/{uuid.uuid4().hex}/{name}"
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write a table that several later steps read, and read it back. It cuts the lineage, lives
     in the shared folder, so lost executors do not lose it, and gives Spark true sizes."""
-    path = new_path(df.sparkSession, name)
+    path = new_path(df.sparkSession, name, "staged")
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def remove_staged(spark: SparkSession) -> bool:
+    """Delete what this application staged, once nothing reads it any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{_application_folder(spark)}/staged")
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -139,4 +139,4 @@ def test_missing_table_is_empty(spark):
 def test_staged_table_lives_in_the_shared_folder(spark, frame):
     staged = stage(frame, "t")
     assert staged.count() == frame.count()
-    assert all(shared_folder(spark) in f for f in staged.inputFiles())
+    assert all(f"{shared_folder(spark)}/shelfcast/" in f and "/staged/" in f for f in staged.inputFiles())
