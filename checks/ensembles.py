@@ -92,11 +92,11 @@ def _(t: Tables):
 
 @check("jn13_segment_weight_lookup", """
 SELECT date, store_nbr, family, COALESCE(s.prophet, w.prophet) * forecast_prophet + COALESCE(s.rf, w.rf) * forecast_rf + COALESCE(s.xgboost, w.xgboost) * forecast_xgboost AS point
-FROM forecasts f LEFT JOIN (SELECT * FROM sw WHERE segment % 5 <> 0) s ON f.store_nbr = s.segment, w""", POINT, ("forecasts", "sw", "w"))
+FROM forecasts f LEFT JOIN sw s ON f.store_nbr = s.segment, w""", POINT, ("forecasts", "sw", "w"))
 def _(t: Tables):
     f = t.forecasts
-    seen = ens.segment_weights(f, "sales", MODELS, "store_nbr").where(F.col("segment") % 5 != 0)
-    joined = ens.with_segment_weights(f, seen, _weights(f), "store_nbr")
+    fitted = ens.segment_weights(f, "sales", MODELS, "store_nbr")
+    joined = ens.with_segment_weights(f, fitted, _weights(f), "store_nbr")
     return joined.select(*KEYS, ens.combine(MODELS, F.col("_weights")).alias("point"))
 
 
