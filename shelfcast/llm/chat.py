@@ -92,13 +92,14 @@ def best_paths(
         .where(F.col("path") <= paths)
         .select("_c", "_n", "path", (F.col("_len") - 1).alias("depth"))
     )
-    # back down: every marked message marks the ancestor 2^i above it
+    # back down: every marked message marks the ancestor 2^i above it; stored, or the plan would double each time
+    chosen = stage(chosen, "chosen")
     for level, table in reversed(list(enumerate(levels[:-1]))):
         jump = table.where("_jump is not null").select(F.col("_c").alias("_uc"), F.col("_n").alias("_un"), "_jump")
         above = chosen.join(jump, F.col("_c").eqNullSafe(F.col("_uc")) & (F.col("_n") == F.col("_un"))).select(
             "_c", F.col("_jump").alias("_n"), "path", (F.col("depth") - 2**level).alias("depth")
         )
-        chosen = chosen.unionByName(above)
+        chosen = stage(chosen.unionByName(above), "chosen")
     marked = chosen.select(F.col("_c").alias("_kc"), F.col("_n").alias("_kn"), F.col("path").alias("_path"), F.col("depth").alias("_depth"))
     keep = [messages[c] for c in messages.columns if c not in ("path", "depth")]
     return messages.join(marked, messages[conv].eqNullSafe(F.col("_kc")) & (messages[node] == F.col("_kn"))).select(
