@@ -75,27 +75,30 @@ def best_paths(
     )
     parents = reach.select("_c", F.col("_jump").alias("_n")).where("_n is not null").distinct()
     leaves = _null_safe(reach, parents, "left_anti").select("_c", "_n")
-    levels = [reach]
-    total, done = reach.count(), False
-    while not done:
-        up = levels[-1].select(F.col("_c").alias("_uc"), F.col("_n").alias("_un"), F.col("_jump").alias("_uj"), F.col("_sum").alias("_us"), F.col("_len").alias("_ul"))
-        doubled = levels[-1].join(up, F.col("_c").eqNullSafe(F.col("_uc")) & (F.col("_jump") == F.col("_un")), "left").select(
-            "_c", "_n", F.col("_uj").alias("_jump"),
-            (F.col("_sum") + F.coalesce("_us", F.lit(0.0))).alias("_sum"), (F.col("_len") + F.coalesce("_ul", F.lit(0))).alias("_len"),
+    # levels: messages that have an ancestor 2^i above them; ended: those that have reached their root
+    levels, ended = [reach.where("_jump is not null")], reach.where("_jump is null")
+    total = reach.count()
+    while not levels[-1].isEmpty() and 2 ** len(levels) <= 2 * total:
+        up = ended.unionByName(levels[-1]).select(
+            F.col("_c").alias("_uc"), F.col("_n").alias("_un"), F.col("_jump").alias("_uj"), F.col("_sum").alias("_us"), F.col("_len").alias("_ul")
         )
-        levels.append(stage(doubled, "reach"))
-        done = levels[-1].where("_jump is not null").isEmpty() or 2 ** (len(levels) - 1) > total
+        doubled = levels[-1].join(up, F.col("_c").eqNullSafe(F.col("_uc")) & (F.col("_jump") == F.col("_un"))).select(
+            "_c", "_n", F.col("_uj").alias("_jump"), (F.col("_sum") + F.col("_us")).alias("_sum"), (F.col("_len") + F.col("_ul")).alias("_len")
+        )
+        doubled = stage(doubled, "reach")
+        levels.append(doubled.where("_jump is not null"))
+        ended = ended.unionByName(doubled.where("_jump is null"))
     rank = Window.partitionBy("_c").orderBy(F.desc("_sum"), F.desc("_len"), F.asc("_n"))
     chosen = (
-        _null_safe(levels[-1].where("_jump is null"), leaves, "left_semi")
+        _null_safe(ended, leaves, "left_semi")
         .withColumn("path", F.row_number().over(rank))
         .where(F.col("path") <= paths)
         .select("_c", "_n", "path", (F.col("_len") - 1).alias("depth"))
     )
     # back down: every marked message marks the ancestor 2^i above it; stored, or the plan would double each time
     chosen = stage(chosen, "chosen")
-    for level, table in reversed(list(enumerate(levels[:-1]))):
-        jump = table.where("_jump is not null").select(F.col("_c").alias("_uc"), F.col("_n").alias("_un"), "_jump")
+    for level, table in reversed(list(enumerate(levels))):
+        jump = table.select(F.col("_c").alias("_uc"), F.col("_n").alias("_un"), "_jump")
         above = chosen.join(jump, F.col("_c").eqNullSafe(F.col("_uc")) & (F.col("_n") == F.col("_un"))).select(
             "_c", F.col("_jump").alias("_n"), "path", (F.col("depth") - 2**level).alias("depth")
         )
