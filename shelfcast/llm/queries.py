@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shelfcast.llm import bpe, chat, exact_dedup, hashing_index, language_id, near_dedup, quality, warc
+from shelfcast.llm import bpe, chat, exact_dedup, hashing_index, language_id, license_scan, mixing, near_dedup, quality, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -73,6 +73,13 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages")))
 
 
+@query()
+def op5_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    mix = mixing.mix_sources(docs, target_entropy=0.95, repetition_limit=4.0)
+    return mix.select("doc_id", "source", "mix_pass", "mix_block", "mix_position")
+
+
 @query()
 def op6_neighbour_voting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -88,6 +95,19 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query()
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table has no paths: fifty documents make a directory below a source, and the first of them is
+    its licence file, or that of the directory above for every thousandth document."""
+    doc_id = F.col("doc_id")
+    top = F.concat(F.col("source"), F.lit("/"), F.floor(doc_id / 1000))
+    leaf = F.concat(top, F.lit("/"), F.floor(doc_id / 50))
+    path = F.when(doc_id % 1000 == 0, F.concat(top, F.lit("/LICENSE"))).when(doc_id % 50 == 0, F.concat(leaf, F.lit("/LICENSE")))
+    files = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(path, F.concat(leaf, F.lit("/"), doc_id, F.lit(".txt"))).alias("path"), "text")
+    found = license_scan.scan_licences(files)
+    return found.select("doc_id", "path", "licence", F.round("licence_score", 6).alias("licence_score"), "licence_line", "licence_from", "licence_dir")
+
+
 @query(
     r"""
 WITH t AS (
