@@ -27,6 +27,7 @@ from shelfcast.sources.storage import stage
 BANDS = 36
 ROWS = 6  # registers of a band; a pair at 0.8 is in no common band with probability (1 - 0.8^6)^36 = 2e-5
 THRESHOLD = 0.8
+BROADCAST_ROWS = 1_000_000  # largest table of ids that is broadcast, after counting it
 BLOCK = 64  # documents of one bucket compared in one task at a time
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -36,7 +37,7 @@ def signatures(owner: np.ndarray, items: np.ndarray, weight: np.ndarray, texts:
     first = np.full(texts * registers, np.inf)
     holder = np.zeros(texts * registers, np.uint64)
     latest = np.full(texts, np.inf)
-    arrival, rate, seed = np.zeros(len(items)), weight.astype(np.float64), items.copy()
+    arrival, rate, seed = np.zeros(len(items)), weight.astype(np.float64), mixed(items)
     while len(items):
         seed = seed + _STEP
         draw = mixed(seed)
@@ -89,7 +90,7 @@ def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
             for i, d in enumerate(digest):
                 np.add.at(d, owner, mixed(words + mixed(place.astype(np.uint64) + np.uint64(i << 40))))
             held = signatures(*counted(*shingle_hashes(owner, words)), len(frame), bands * rows)
-            band = np.zeros((len(frame), bands), np.uint64)
+            band = np.broadcast_to(np.arange(bands, dtype=np.uint64), (len(frame), bands))
             for r in range(rows):
                 band = mixed(band + _STEP + held.reshape(len(frame), bands, rows)[:, :, r])
             some = size > 0
@@ -145,37 +146,93 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
             return label
 
 
-def _more_pairs(open_rows: DataFrame, texts: DataFrame, registers: int, threshold: float) -> DataFrame:
-    """Pairs of unlinked members of a bucket. Buckets are cut into blocks of about BLOCK members and two
-    blocks meet in one task, where signatures are compared; only pairs that look similar come out."""
-    slack = 4.5 * (threshold * (1 - threshold) / registers) ** 0.5
+def _sized(table: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A stored table of one or two integers a row, broadcast if it is counted to be small; a larger one
+    is shuffled, and adaptive execution splits its hot keys."""
+    return F.broadcast(table) if table.count() <= most else table
+
+
+def _star(members: DataFrame, leaders: DataFrame) -> DataFrame:
+    """Pairs (a < b) of the members of each bucket with its leader."""
+    met = members.join(_sized(leaders), "key").where(F.col("_id") != F.col("leader"))
+    return met.select(F.least("_id", "leader").alias("a"), F.greatest("_id", "leader").alias("b")).distinct()
+
+
+def _open(members: DataFrame, label: DataFrame) -> DataFrame:
+    """Members with their label, of buckets whose members are not all in one class."""
+    parted = stage(members.join(label, "_id"), "parted")
+    split = parted.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
+    return stage(parted.join(_sized(stage(split, "split")), "key"), "open")
+
+
+def _remaining_links(rows: DataFrame, texts: DataFrame, bands: DataFrame, registers: int, threshold: float) -> DataFrame:
+    """Links of the members outside a bucket's largest class with the rest of the bucket.
+
+    Both sides are cut into blocks of about BLOCK members, and a task meets two blocks at a time. It
+    takes a pair in the first bucket the two share, drops those whose signatures are too far apart,
+    verifies the rest on their texts, and stops asking about classes that it has already joined; so no
+    more links come out than members went in.
+    """
+    slack = 4.0 * (threshold * (1 - threshold) / registers) ** 0.5
 
     def sign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in sliced(frames, "_text"):
             held = signatures(*counted(*shingle_hashes(*word_hashes(frame["_text"].tolist()))), len(frame), registers)
-            yield pd.DataFrame({"_id": frame["_id"].to_numpy(), "signature": [r.astype("<u4").tobytes() for r in held]})
+            yield frame.assign(signature=[r.astype("<u4").tobytes() for r in held])
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        ids, label, block = (group[c].to_numpy() for c in ("_id", "label", "block"))
+        ids, label, outside = (group[c].to_numpy() for c in ("_id", "label", "outside"))
         held = np.frombuffer(b"".join(group["signature"]), "<u4").reshape(len(group), registers)
-        left, right = group["i"].iloc[0], group["j"].iloc[0]
+        buckets, here = np.stack(group["bands"].to_numpy()), group["key"].iloc[0]
+        parent = {x: x for x in label.tolist()}
+        weighted: dict[int, tuple] = {}
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        def of(k: int) -> tuple[np.ndarray, np.ndarray]:
+            if k not in weighted:
+                weighted[k] = _weighted(group["_text"].iat[k])
+            return weighted[k]
+
         out = []
-        for k in np.flatnonzero(block == left):
-            other = np.flatnonzero((block == right) & (label != label[k]) & ((ids > ids[k]) | (left != right)))
-            same = (held[other] == held[k]).mean(1) >= threshold - slack
-            out += [(min(ids[k], ids[o]), max(ids[k], ids[o])) for o in other[same]]
-        return pd.DataFrame(sorted(set(out)), columns=["a", "b"], dtype="int64")
-
-    involved = open_rows.select("_id").distinct()
-    signed = stage(texts.join(involved, "_id").mapInPandas(sign, "_id long, signature binary"), "signatures")
-    sizes = open_rows.groupBy("band", "bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = stage(
-        open_rows.join(stage(sizes, "sizes"), ["band", "bucket"]).withColumn("block", F.pmod(F.xxhash64("_id"), "blocks").cast("int")), "placed"
-    )
-    meets = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "band", "bucket", "_id", "label", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
-    )
-    return meets.join(signed, "_id").groupBy("band", "bucket", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+        inside = np.flatnonzero(~outside)
+        for k in np.flatnonzero(outside):
+            other = inside[label[inside] != label[k]]
+            other = other[(held[other] == held[k]).mean(1) >= threshold - slack]
+            both = buckets[other] == buckets[k]
+            other = other[buckets[k][both.argmax(1)] == here]
+            for o in other:
+                x, y = root(label[k]), root(label[o])
+                if x != y and probability_jaccard(of(k), of(o)) >= threshold:
+                    parent[max(x, y)] = min(x, y)
+                    out.append((min(ids[k], ids[o]), max(ids[k], ids[o])))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    counts = stage(rows.groupBy("key", "label").agg(F.count("*").alias("n")), "class_counts")
+    main = stage(
+        counts.groupBy("key").agg(F.max(F.struct("n", "label")).alias("m"), F.sum("n").alias("all")).select(
+            "key", F.col("m.label").alias("main"), F.ceil(F.col("all") / BLOCK).cast("int").alias("every"),
+            F.ceil((F.col("all") - F.col("m.n")) / BLOCK).cast("int").alias("away"),
+        ),
+        "main_classes",
+    )
+    placed = rows.join(_sized(main), "key")
+    hashed = F.xxhash64("_id")
+
+    def dealt(own: str, others: str, i: str, j: str) -> list:
+        return [F.pmod(hashed, own).cast("int").alias(i), F.explode(F.sequence(F.lit(0), F.col(others) - 1)).alias(j)]
+
+    meets = (
+        placed.where("label <> main").select("key", "_id", "label", F.lit(True).alias("outside"), *dealt("away", "every", "i", "j"))
+        .unionByName(placed.select("key", "_id", "label", F.lit(False).alias("outside"), *dealt("every", "away", "j", "i")))
+    )
+    involved = stage(rows.select("_id").distinct(), "open_ids")
+    signed = texts.join(_sized(involved), "_id").mapInPandas(sign, "_id long, _text string, signature binary")
+    signed = stage(signed.join(bands, "_id"), "signatures")
+    return meets.join(signed, "_id").groupBy("key", "i", "j").applyInPandas(compare, "a long, b long").distinct()
 
 
 def near_duplicates(
@@ -196,28 +253,40 @@ def near_duplicates(
         sketched = stage(sketch(live.where(F.col("_text").isNotNull()), bands, rows), "sketches").where("content is not null")
     copies = stage(sketched.groupBy("content").agg(F.min("_id").alias("copy_id"), F.any_value("bands").alias("bands")), "contents")
     # one row per distinct content; buckets of one content hold no pair
-    banded = copies.select("copy_id", F.posexplode("bands").alias("band", "bucket"))
-    shared = stage(
-        banded.groupBy("band", "bucket").agg(F.min("copy_id").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n"), "buckets"
-    )
-    members = stage(banded.join(shared, ["band", "bucket"]).where("copy_id <> leader").withColumnRenamed("copy_id", "_id"), "members")
-    pairs = stage(members.select(F.col("leader").alias("a"), F.col("_id").alias("b")).distinct(), "pairs")
-    involved = pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).distinct()
+    banded = copies.select(F.col("copy_id").alias("_id"), F.explode("bands").alias("key"))
+    shared = stage(banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
+    members = stage(banded.join(_sized(shared), "key"), "members")
+    # first the member of each bucket that meets most others is compared with all of it: what copies are
+    # made from is nearer to them than they are to each other
+    degree = stage(members.groupBy("_id").agg(F.sum("n").alias("degree")), "degrees")
+    members = members.select("key", "_id")
+    hub = F.min(F.struct((-F.col("degree")).alias("d"), "_id"))["_id"].alias("leader")
+    leaders = stage(members.join(degree, "_id").groupBy("key").agg(hub), "leaders")
+    pairs = stage(_star(members, leaders), "pairs")
+    involved = stage(members.select("_id").distinct(), "involved")
     # of rows that repeat an id one text goes on, the smallest
-    texts = stage(live.join(involved, "_id").groupBy("_id").agg(F.min("_text").alias("_text")), "texts")
+    texts = stage(live.join(_sized(involved), "_id").groupBy("_id").agg(F.min("_text").alias("_text")), "texts")
     with small_batches(docs.sparkSession):
         links = stage(verified(pairs, texts, threshold), "links")
     ids = texts.select("_id")
     label = components(ids, links)
-    # members that their leader did not draw into one class may still be similar to each other
-    parted = stage(members.join(label, "_id"), "parted")
-    split = parted.groupBy("band", "bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-    open_rows = stage(parted.join(stage(split.select("band", "bucket"), "split"), ["band", "bucket"]), "open")
-    if not open_rows.isEmpty():
+    # then, in buckets that are not of one class, a member drawn by hash
+    rest = stage(members.join(_sized(leaders), "key").where("_id <> leader").drop("leader"), "rest")
+    rows_left = _open(rest, label)
+    if not rows_left.isEmpty():
+        drawn = F.min(F.struct(F.xxhash64("key", "_id").alias("h"), "_id", "label")).alias("m")
+        drawn = stage(rows_left.groupBy("key").agg(drawn).select("key", F.col("m._id").alias("leader"), F.col("m.label").alias("its")), "drawn")
+        met = rows_left.join(_sized(drawn), "key").where("label <> its").select(F.least("_id", "leader").alias("a"), F.greatest("_id", "leader").alias("b")).distinct()
         with small_batches(docs.sparkSession):
-            more = stage(_more_pairs(open_rows, texts, bands * rows, threshold), "more_pairs")
-            found = stage(verified(more, texts, threshold), "more_links")
-        if not found.isEmpty():
+            links = links.union(stage(verified(stage(met, "pairs"), texts, threshold), "links"))
+        label = components(ids, links)
+        rest = stage(rest.join(_sized(drawn.select("key", "leader")), "key", "left").where("leader is null or _id <> leader").drop("leader"), "rest")
+        # and at last all pairs that are still open
+        rows_left = _open(rest, label)
+        if not rows_left.isEmpty():
+            every_band = copies.select(F.col("copy_id").alias("_id"), "bands")
+            with small_batches(docs.sparkSession):
+                found = stage(_remaining_links(rows_left, texts, every_band, bands * rows, threshold), "links")
             label = components(ids, links.union(found))
     return _with_classes(docs, sketched, copies, label)
 
@@ -245,4 +314,4 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     """The rows of `docs` that stay: one document of each class, and rows without an id."""
     marked = near_duplicates(docs, doc_id, text, **options)
     gone = stage(marked.where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "near_copies")
-    return docs.join(gone.hint("shuffle_hash"), docs[doc_id] == gone["_gone"], "left_anti")
+    return docs.join(_sized(gone), docs[doc_id] == gone["_gone"], "left_anti")
