@@ -152,9 +152,8 @@ def _sized(table: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(table) if table.count() <= most else table
 
 
-def _star(members: DataFrame, leaders: DataFrame) -> DataFrame:
-    """Pairs (a < b) of the members of each bucket with its leader."""
-    met = members.join(_sized(leaders), "key").where(F.col("_id") != F.col("leader"))
+def _ordered(met: DataFrame) -> DataFrame:
+    """Distinct pairs (a < b) of the members with their leaders."""
     return met.select(F.least("_id", "leader").alias("a"), F.greatest("_id", "leader").alias("b")).distinct()
 
 
@@ -262,7 +261,12 @@ def near_duplicates(
     members = members.select("key", "_id")
     hub = F.min(F.struct((-F.col("degree")).alias("d"), "_id"))["_id"].alias("leader")
     leaders = stage(members.join(degree, "_id").groupBy("key").agg(hub), "leaders")
-    pairs = stage(_star(members, leaders), "pairs")
+    # of its leaders, each member first meets the one with most others around it
+    led = stage(members.join(_sized(leaders), "key").where("_id <> leader").select("_id", "leader").distinct(), "led")
+    nearest = led.join(degree.select(F.col("_id").alias("leader"), "degree"), "leader").groupBy("_id").agg(
+        F.min(F.struct((-F.col("degree")).alias("d"), "leader"))["leader"].alias("leader")
+    )
+    pairs = stage(_ordered(nearest), "pairs")
     involved = stage(members.select("_id").distinct(), "involved")
     # of rows that repeat an id one text goes on, the smallest
     texts = stage(live.join(_sized(involved), "_id").groupBy("_id").agg(F.min("_text").alias("_text")), "texts")
@@ -270,15 +274,23 @@ def near_duplicates(
         links = stage(verified(pairs, texts, threshold), "links")
     ids = texts.select("_id")
     label = components(ids, links)
+    # then the other leaders that are still of another class
+    its = label.select(F.col("_id").alias("leader"), F.col("label").alias("its"))
+    apart = led.join(label, "_id").join(its, "leader").where("label <> its").select("_id", "leader")
+    apart = stage(_ordered(apart).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    if not apart.isEmpty():
+        with small_batches(docs.sparkSession):
+            links = stage(links.union(verified(apart, texts, threshold)), "links")
+        label = components(ids, links)
     # then, in buckets that are not of one class, a member drawn by hash
     rest = stage(members.join(_sized(leaders), "key").where("_id <> leader").drop("leader"), "rest")
     rows_left = _open(rest, label)
     if not rows_left.isEmpty():
         drawn = F.min(F.struct(F.xxhash64("key", "_id").alias("h"), "_id", "label")).alias("m")
         drawn = stage(rows_left.groupBy("key").agg(drawn).select("key", F.col("m._id").alias("leader"), F.col("m.label").alias("its")), "drawn")
-        met = rows_left.join(_sized(drawn), "key").where("label <> its").select(F.least("_id", "leader").alias("a"), F.greatest("_id", "leader").alias("b")).distinct()
+        met = rows_left.join(_sized(drawn), "key").where("label <> its")
         with small_batches(docs.sparkSession):
-            links = links.union(stage(verified(stage(met, "pairs"), texts, threshold), "links"))
+            links = links.union(stage(verified(stage(_ordered(met), "pairs"), texts, threshold), "links"))
         label = components(ids, links)
         rest = stage(rest.join(_sized(drawn.select("key", "leader")), "key", "left").where("leader is null or _id <> leader").drop("leader"), "rest")
         # and at last all pairs that are still open
