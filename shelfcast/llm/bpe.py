@@ -20,8 +20,8 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
-STRETCH_CHARS = 8_000_000  # texts indexed at once
-MEMORY_WORDS = 600_000  # encoded words a task remembers between stretches
+STRETCH_CHARS = 2_000_000  # texts indexed at once
+MEMORY_WORDS = 300_000  # encoded words a task remembers between stretches
 
 
 def byte_letters() -> dict[str, int]:
