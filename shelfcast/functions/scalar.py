@@ -27,8 +27,8 @@ def ratio(num: Column, den: Column, default: float | None) -> Column:
 
 
 def ceil_units(x: Column) -> Column:
-    """Round up to whole units, never below zero."""
-    return F.greatest(F.ceil(x).cast("double"), F.lit(0.0))
+    """Round up to whole units, never below zero; NULL stays NULL."""
+    return clip(F.ceil(x).cast("double"), 0.0)
 
 
 def avg_where(x: Column, condition: Column, default: float) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from shelfcast.operators.quantiles import exact_quantiles, exact_quantiles_by
 
-MIN_ROWS_FOR_DECILES = 100
+CELL_BITS = 14
 MAGNITUDE_SCHEMA = (
     "bin int, lower_edge double, upper_edge double, n bigint, avg_actual double, mean_error double, "
     "median_error double, std_error double, rel_error double"
@@ -22,12 +22,12 @@ def error_by_magnitude(
     df: DataFrame, actual: str = "sales", predicted: str = "forecast_ensemble", bins: int = 10
 ) -> DataFrame:
     """Error statistics per quantile bin of the positive actuals. Bins are right-closed, the
-    first also holds its lower edge, equal edges are merged; too few rows give no bins."""
+    first also holds its lower edge, equal edges are merged; fewer than two edges give no bins."""
     data = df.where(F.col(actual) > 0).select(
         F.col(actual).alias("actual"), F.abs(F.col(actual) - F.col(predicted)).alias("error")
     )
     found = exact_quantiles(data, "actual", [i / bins for i in range(bins + 1)])
-    edges = sorted(set(found.values)) if found.n >= MIN_ROWS_FOR_DECILES else []
+    edges = sorted(set(found.values))
     if len(edges) < 2:
         return data.sparkSession.createDataFrame([], MAGNITUDE_SCHEMA)
     # the bin of a value is the number of edges after the first that lie below it
@@ -88,8 +88,19 @@ def rolling_bias(daily: DataFrame, days: int = 7) -> DataFrame:
 
 
 def uniform_sample(df: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
-    """At most n rows chosen by a hash of their key: without replacement and repeatable."""
-    return df.orderBy(F.xxhash64(*keys), *keys).limit(n)
+    """n rows (or all, if fewer) chosen by a hash of their key: without replacement and repeatable. The
+    hashes are counted in CELLS ranges; whole ranges are taken by a filter, and only the range that
+    holds the n-th row is sorted."""
+    cell = F.shiftrightunsigned(F.xxhash64(*keys), 64 - CELL_BITS)
+    counts = df.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("rows"))  # at most 2^CELL_BITS rows
+    upto = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    placed = counts.withColumn("before", F.coalesce(F.sum("rows").over(upto), F.lit(0)))
+    last = placed.where((F.col("before") < n) & (F.col("before") + F.col("rows") > n)).first()
+    if last is None:
+        whole = placed.where(F.col("before") < n).agg(F.max("cell")).first()[0]
+        return df.where(cell <= F.lit(-1 if whole is None else whole))
+    rest = df.where(cell == last["cell"]).orderBy(F.xxhash64(*keys), *keys).limit(n - last["before"])
+    return df.where(cell < last["cell"]).unionByName(rest)
 
 
 # Labels and number formats of the report.

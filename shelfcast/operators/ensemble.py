@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfcast.functions.scalar import col
-from shelfcast.operators.lookup import size_checked_join
+from shelfcast.operators.joins import null_safe_join
 from shelfcast.operators.metrics import aggregate, ensemble_metrics
 from shelfcast.operators.quantiles import exact_quantiles
 from shelfcast.operators.stacking import Blend
@@ -99,7 +99,7 @@ def with_segment_weights(
     """Attach each row's weights: its segment's, else the global ones."""
     fallback = global_weights if isinstance(global_weights, Column) else weight_map(global_weights)
     table = by_segment.select(F.col("segment").alias(segment_col), F.col("weights").alias("_own"))
-    joined = size_checked_join(df, table, [segment_col])
+    joined = null_safe_join(df, table, [segment_col])
     return joined.withColumn(out, F.coalesce("_own", fallback)).drop("_own")
 
 
@@ -301,6 +301,6 @@ def missing_forecasts(df: DataFrame, actual: str, models: Models) -> DataFrame:
 
 def require_models(models: Sequence[str] | Models, method: str) -> None:
     if len(models) < 2:
-        raise ValueError(f"Need at least 2 models for ensemble, got {len(models)}")
+        raise ValueError(f"an ensemble is made of two or more models, not {len(models)}")
     if method not in METHODS:
-        raise ValueError(f"Method '{method}' not supported. Choose from: {METHODS}")
+        raise ValueError(f"unknown ensemble method {method!r}; known are {METHODS}")

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfcast.functions.scalar import clip, ratio
 from shelfcast.operators.fill import calendar_order, fill_both_ways
-from shelfcast.operators.lookup import size_checked_join
-from shelfcast.operators.ordinal import with_position
+from shelfcast.operators.joins import null_safe_join
+from shelfcast.operators.ordinal import with_global_position
+from shelfcast.sources.storage import stage
 
 NO_HOLIDAY_DAYS = 60
 OIL_FEATURES = [
@@ -47,19 +47,12 @@ def add_time_features(df: DataFrame) -> DataFrame:
 def label_codes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """The distinct combinations of some text columns, as _label_<column>, with each text's rank
     among the sorted distinct texts of its column, from 0, as <column>_encoded. A missing text
-    is ranked as a text of its own. Ranks come from counts per first letter, so the texts are
-    not sorted in one task."""
+    is ranked as a text of its own."""
     labels = {c: f"_label_{c}" for c in columns}
-    combos = df.select(*[_label(c).alias(k) for c, k in labels.items()]).distinct()
-    combos = combos.persist(StorageLevel.MEMORY_AND_DISK)
-    each = F.array(*[F.struct(F.lit(c).alias("name"), F.col(k).alias("text")) for c, k in labels.items()])
-    texts = combos.select(F.inline(each)).distinct().withColumn("head", F.substring("text", 1, 1))
-    codes = with_position(texts, ["name"], ["head", "text"], "code")
+    combos = stage(df.select(*[_label(c).alias(k) for c, k in labels.items()]).distinct(), "labels")
     for c, k in labels.items():
-        mine = codes.where(F.col("name") == c).select(
-            F.col("text").alias(k), F.col("code").cast("int").alias(f"{c}_encoded")
-        )
-        combos = combos.join(mine, k)
+        codes = with_global_position(combos.select(k).distinct(), [k], f"{c}_encoded")
+        combos = combos.join(codes.withColumn(f"{c}_encoded", F.col(f"{c}_encoded").cast("int")), k)
     return combos
 
 
@@ -80,7 +73,7 @@ def add_store_features(
     keyed = df.withColumns({f"_label_{c}": _label(c) for c in present})
     codes = label_codes(df if source is None else source, present)
     keys = [f"_label_{c}" for c in present]
-    return size_checked_join(keyed, codes, keys).drop(*keys)
+    return keyed.join(codes, keys, "left").drop(*keys)
 
 
 def date_features(df: DataFrame) -> DataFrame:
@@ -157,7 +150,7 @@ def _holiday_columns(days: DataFrame) -> DataFrame:
 def _with_store_means(df: DataFrame, columns: Sequence[str], source: DataFrame | None = None) -> DataFrame:
     """Join each store's mean of the given columns, over all its dates, as _mean_<column>."""
     means = (df if source is None else source).groupBy("store_nbr").agg(*[F.avg(c).alias(f"_mean_{c}") for c in columns])
-    return size_checked_join(df, means, ["store_nbr"])
+    return null_safe_join(df, means, ["store_nbr"])
 
 
 def add_store_day_totals(df: DataFrame) -> DataFrame:

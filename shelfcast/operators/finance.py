@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfcast.functions.scalar import avg_where, clip, ratio
-from shelfcast.operators.lookup import size_checked_join
+from shelfcast.operators.joins import null_safe_join
 from shelfcast.operators.ordinal import lag_by_position, with_position
 
 # Method names, risk weights, thresholds and texts.
@@ -51,18 +51,20 @@ class FinanceSettings:
 
 def seasonal_naive(
     df: DataFrame,
-    segment_col: str = "store_nbr",
+    segment_col: str | Sequence[str] = "store_nbr",
     actual_col: str = "sales",
-    order: tuple[str, ...] = ("date", "family"),
+    order: Sequence[str] = ("date", "family"),
     lag: int = 7,
     out: str = "seasonal_naive",
 ) -> DataFrame:
-    """Actual of `lag` rows earlier in the segment, else the segment's mean. Pass a series key
-    such as ["store_nbr", "family"] columns through `order`/`segment_col` to lag by days."""
-    means = df.groupBy(segment_col).agg(F.avg(actual_col).alias("_segment_mean"))
-    placed = with_position(df, [segment_col], order, "_pos")
-    lagged = lag_by_position(placed, [segment_col], "_pos", actual_col, lag, "_lagged")
-    joined = size_checked_join(lagged, means, [segment_col])
+    """Actual of `lag` rows earlier in the segment, else the segment's mean. A segment may be one column
+    or several; with the series ("store_nbr", "family") and the order ("date",) it lags by days. The
+    order must tell all rows of a segment apart, or the result depends on how the table is read."""
+    segment = [segment_col] if isinstance(segment_col, str) else list(segment_col)
+    means = df.groupBy(*segment).agg(F.avg(actual_col).alias("_segment_mean"))
+    placed = with_position(df, segment, order, "_pos")
+    lagged = lag_by_position(placed, segment, "_pos", actual_col, lag, "_lagged")
+    joined = null_safe_join(lagged, means, segment)
     return joined.withColumn(out, F.coalesce("_lagged", "_segment_mean")).drop(
         "_pos", "_lagged", "_segment_mean"
     )
@@ -76,21 +78,23 @@ def compare_methods(
     settings: FinanceSettings = FinanceSettings(),
 ) -> DataFrame:
     """One row of error and cost measures per forecast method, all from one pass. `periods`
-    scales the holding cost; the default is the number of rows."""
+    scales the holding cost; the default is the number of rows that have both an actual and the
+    method's forecast."""
     actual = F.col(actual_col)
-    aggs = [F.count(F.lit(1)).alias("_n")]
+    aggs = []
     for i, forecast in enumerate(methods.values()):
         f = F.col(forecast) if isinstance(forecast, str) else forecast
         error = actual - f
         aggs += [
             avg_where(F.abs(error) / actual, actual > 0, 1.0).alias(f"_mape{i}"),
-            F.coalesce(F.sum(F.greatest(-error, F.lit(0.0))), F.lit(0.0)).alias(f"_over{i}"),
-            F.coalesce(F.sum(F.greatest(error, F.lit(0.0))), F.lit(0.0)).alias(f"_under{i}"),
+            F.coalesce(F.sum(clip(-error, 0.0)), F.lit(0.0)).alias(f"_over{i}"),
+            F.coalesce(F.sum(clip(error, 0.0)), F.lit(0.0)).alias(f"_under{i}"),
             F.sqrt(F.avg(error * error)).alias(f"_rmse{i}"),
+            F.count(error).alias(f"_n{i}"),
         ]
-    n = F.col("_n") if periods is None else F.lit(periods)
     rows = []
     for i, name in enumerate(methods):
+        n = F.col(f"_n{i}") if periods is None else F.lit(periods)
         over, under, mape = F.col(f"_over{i}"), F.col(f"_under{i}"), F.col(f"_mape{i}")
         holding = over * settings.avg_unit_cost * settings.holding_cost_pct / 365 * n
         stockout = under * settings.margin * settings.stockout_cost_multiplier
@@ -143,13 +147,13 @@ def half_means(
     df: DataFrame,
     segment_col: str = "store_nbr",
     value_col: str = "forecast_ensemble",
-    order: tuple[str, ...] = ("date", "family"),
+    order: Sequence[str] = ("date", "family"),
 ) -> DataFrame:
-    """Per segment: rows, mean of the first n//2 rows and mean of the rest, in the order given
-    (block, row within block). Only block totals are shuffled; of the rows themselves just the
+    """Per segment: rows, mean of the first n//2 rows and mean of the rest, in the order given: its
+    first column forms blocks, the others order the rows of a block. Only block totals are shuffled; of the rows themselves just the
     one block per segment that holds the midpoint is ranked."""
-    block, within = order
-    data = df.select(F.col(segment_col).alias("segment"), block, within, value_col)
+    block, within = order[0], list(order[1:]) or [order[0]]
+    data = df.select(F.col(segment_col).alias("segment"), *dict.fromkeys([block, *within, value_col]))
     blocks = data.groupBy("segment", block).agg(
         F.count(F.lit(1)).alias("_rows"), F.sum(value_col).alias("_sum")
     )
@@ -165,14 +169,14 @@ def half_means(
     straddling = placed.where((start < mid) & (mid < end)).select(
         "segment", block, (mid - start).alias("_first_rows")
     )
-    ranked = size_checked_join(data, straddling, ["segment", block], "inner").withColumn(
-        "_place", F.row_number().over(Window.partitionBy("segment", block).orderBy(within))
+    ranked = null_safe_join(data, straddling, ["segment", block], "inner").withColumn(
+        "_place", F.row_number().over(Window.partitionBy("segment", block).orderBy(*within))
     )
     split = ranked.groupBy("segment", block).agg(
         F.sum(F.when(F.col("_place") <= F.col("_first_rows"), F.col(value_col))).alias("_split_first"),
         F.sum(F.when(F.col("_place") > F.col("_first_rows"), F.col(value_col))).alias("_split_second"),
     )
-    joined = placed.join(split, ["segment", block], "left")
+    joined = null_safe_join(placed, split, ["segment", block])
     first = F.when(end <= mid, F.col("_sum")).otherwise(F.col("_split_first"))
     second = F.when(start >= mid, F.col("_sum")).otherwise(F.col("_split_second"))
     totals = joined.groupBy("segment").agg(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import time
 from dataclasses import dataclass, field
 from typing import Protocol
@@ -12,6 +13,7 @@ from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfcast.functions.scalar import clip
 from shelfcast.operators.metrics import aggregate, forecaster_metrics
 
 FEATURES = "_features"
@@ -37,7 +39,7 @@ class TrainedForecaster:
     def predict(self, df: DataFrame, out: str = "prediction") -> DataFrame:
         """Add the forecast, floored at 0."""
         scored = self.model.transform(df)
-        return scored.withColumn(out, F.greatest(F.col("_raw"), F.lit(0.0))).drop("_raw", FEATURES)
+        return scored.withColumn(out, clip(F.col("_raw"), 0.0)).drop("_raw", FEATURES)
 
     def importance(self) -> DataFrame:
         """(feature, importance) rows, one per feature."""
@@ -48,15 +50,22 @@ class TrainedForecaster:
             F.desc("importance"), "feature"
         )
 
-    def top_features(self, n: int = 20) -> DataFrame:
-        return self.importance().limit(n)
+    def top_features(self, n: int | None) -> DataFrame:
+        """The n most important features, or all in order (None)."""
+        return self.importance() if n is None else self.importance().limit(n)
 
     def save(self, folder: str) -> None:
-        self.model.write().overwrite().save(folder)
+        """The model, and one row with what else belongs to it."""
+        spark = SparkSession.getActiveSession()
+        self.model.write().overwrite().save(f"{folder}/model")
+        about = json.dumps([self.name, self.features, self.target, self.metrics, self.training_seconds])
+        spark.createDataFrame([(about,)], "about string").write.mode("overwrite").parquet(f"{folder}/about")
 
     @staticmethod
-    def load(name: str, folder: str, features: list[str], target: str = "sales") -> TrainedForecaster:
-        return TrainedForecaster(name, PipelineModel.load(folder), features, target)
+    def load(folder: str) -> TrainedForecaster:
+        about = SparkSession.getActiveSession().read.parquet(f"{folder}/about").first()["about"]
+        name, features, target, metrics, seconds = json.loads(about)
+        return TrainedForecaster(name, PipelineModel.load(f"{folder}/model"), features, target, metrics, seconds)
 
 
 def _assembled(features: list[str]) -> VectorAssembler:
@@ -85,15 +94,17 @@ def _finish(
 
 @dataclass(frozen=True)
 class BoostedTrees:
-    """Gradient-boosted trees; training stops when the validation rows stop improving."""
+    """Gradient-boosted trees; training stops when the error on the validation rows improves by less
+    than `least_gain` of itself."""
 
     name: str = "xgboost"
-    trees: int = 100
+    trees: int = 1000
     depth: int = 8
     learning_rate: float = 0.05
     row_share: float = 0.8
     feature_share: float = 0.8
     min_rows_per_leaf: int = 5
+    least_gain: float = 0.01
     seed: int = 42
 
     def train(
@@ -115,6 +126,7 @@ class BoostedTrees:
             featureSubsetStrategy=str(self.feature_share),
             minInstancesPerNode=self.min_rows_per_leaf,
             validationIndicatorCol="_held_out",
+            validationTol=self.least_gain,
             seed=self.seed,
         )
         fitted = gbt.fit(assembler.transform(both).select(FEATURES, target, "_held_out"))
@@ -126,7 +138,7 @@ class RandomForest:
     """Random forest over all training rows."""
 
     name: str = "random_forest"
-    trees: int = 100
+    trees: int = 500
     depth: int = 15
     min_rows_per_leaf: int = 5
     features_per_split: str = "sqrt"

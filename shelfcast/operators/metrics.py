@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfcast.functions.scalar import col, ratio
+from shelfcast.functions.scalar import clip, col, ratio
 from shelfcast.operators.quantiles import exact_quantiles
 
 INF = float("inf")
@@ -48,7 +48,7 @@ def _wape(a: Column, error: Column) -> Column:
 def forecaster_metrics(actual: str | Column, predicted: str | Column) -> dict[str, Column]:
     """Aggregates a single forecaster is scored with: predictions are floored at 0, percentages
     are times 100 and values are rounded."""
-    a, p = col(actual), F.greatest(col(predicted), F.lit(0.0))
+    a, p = col(actual), clip(col(predicted), 0.0)
     e = a - p
     total = F.abs(a) + F.abs(p)
     smape = F.avg(2 * F.abs(e) / F.when(total == 0, 1.0).otherwise(total))
@@ -86,7 +86,7 @@ def evaluator_metrics(actual: str | Column, predicted: str | Column) -> dict[str
     """Aggregates of a full evaluation that need no order or quantile."""
     a, p = col(actual), col(predicted)
     e = a - p
-    over, under = F.greatest(-e, F.lit(0.0)), F.greatest(e, F.lit(0.0))
+    over, under = clip(-e, 0.0), clip(e, 0.0)
     bias, mean = F.avg(p - a), F.avg(a)
     wape = _wape(a, e)
     return {
@@ -168,13 +168,15 @@ def segment_metrics(
     predicted: str = "forecast_ensemble",
     min_rows: int = 5,
 ) -> DataFrame:
-    """Accuracy per segment, segments below `min_rows` left out."""
+    """Accuracy per segment; enough_rows tells whether it has `min_rows` rows. Rows without an actual or
+    a forecast count in no measure, only in n_missing."""
     a, p = F.col(actual), F.col(predicted)
     bias, mean = F.avg(p - a), F.avg(a)
     return (
         df.groupBy(F.col(segment_col).alias("segment"))
         .agg(
-            F.count(F.lit(1)).alias("n_samples"),
+            F.count(a - p).alias("n_samples"),
+            F.count_if((a - p).isNull()).alias("n_missing"),
             mean.alias("avg_actual"),
             F.avg(p).alias("avg_predicted"),
             F.sqrt(F.avg((a - p) * (a - p))).alias("rmse"),
@@ -183,7 +185,7 @@ def segment_metrics(
             bias.alias("bias"),
             F.when(mean > 0, ratio(bias, mean, 0.0) * 100).otherwise(0.0).alias("bias_pct"),
         )
-        .where(F.col("n_samples") >= min_rows)
+        .withColumn("enough_rows", F.col("n_samples") >= min_rows)
     )
 
 

@@ -17,14 +17,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfcast.operators.lookup import size_checked_join
+from shelfcast.operators.joins import null_safe_join
+from shelfcast.functions.scalar import clip
 from shelfcast.operators.metrics import aggregate, forecaster_metrics
 
 # Series orders, periods, penalties and interval.
 YEARLY_ORDER, YEAR_DAYS = 10, 365.25
 WEEKLY_ORDER, WEEK_DAYS = 3, 7.0
 HINGES = 5
-TREND_PENALTY, SEASON_PENALTY = 0.5, 0.01
+TREND_PENALTIES = (0.001, 0.1, 10.0, 1000.0)  # of bends, in units of the rows; tried for each series
+SLOPE_SHARE = 0.1  # of that, for the slope
+SEASON_PENALTIES = (0.001, 0.01, 0.1, 1.0, 10.0, 1000.0)  # in units of the sum of squared levels; tried for each series
 INTERVAL_Z = 1.96
 MIN_DAYS = 30
 FITTED = "first_day int, days int, n int, trend array<double>, yearly array<double>, weekly array<double>, sigma double"
@@ -42,12 +45,9 @@ def top_series(df: DataFrame, n: int = 10, target: str = "sales") -> DataFrame:
     return series_totals(df, target).orderBy(F.desc("total"), "store_nbr", "family").limit(n)
 
 
-def daily_by_series(df: DataFrame, target: str = "sales", min_days: int = MIN_DAYS) -> DataFrame:
-    """Daily values of each series of at least `min_days` dates."""
-    daily = df.groupBy("store_nbr", "family", "date").agg(F.sum(target).alias("y"))
-    long = daily.groupBy("store_nbr", "family").agg(F.count(F.lit(1)).alias("_days"))
-    long = long.where(F.col("_days") >= min_days).drop("_days")
-    return size_checked_join(daily, long, ["store_nbr", "family"], "inner")
+def daily_by_series(df: DataFrame, target: str = "sales") -> DataFrame:
+    """Daily values of every series; the fit takes the mean of one with fewer than MIN_DAYS days."""
+    return df.groupBy("store_nbr", "family", "date").agg(F.sum(target).alias("y"))
 
 
 def _fourier(day: np.ndarray, period: float, order: int) -> np.ndarray:
@@ -64,6 +64,14 @@ def _ridge(x: np.ndarray, y: np.ndarray, penalty: np.ndarray) -> np.ndarray:
     return np.linalg.solve(x.T @ x + np.diag(penalty) + 1e-9 * np.eye(x.shape[1]), x.T @ y)
 
 
+def _validation_error(x: np.ndarray, y: np.ndarray, penalty: np.ndarray) -> float:
+    """Generalised cross-validation: the error of the fit, raised by the freedom that it used."""
+    gram = x.T @ x
+    used = np.trace(np.linalg.solve(gram + np.diag(penalty) + 1e-9 * np.eye(len(gram)), gram))
+    error = y - x @ _ridge(x, y, penalty)
+    return float(error @ error) / max(len(y) - used, 1e-3) ** 2
+
+
 def _fit_series(day: np.ndarray, y: np.ndarray) -> tuple:
     first, span = int(day.min()), max(int(day.max() - day.min()), 1)
     y = np.asarray(y, dtype=float)
@@ -77,11 +85,17 @@ def _fit_series(day: np.ndarray, y: np.ndarray) -> tuple:
         residual = target - target.mean()
     else:
         basis = _trend_basis(t)
-        trend_penalty = np.r_[0.0, 0.0, np.full(HINGES, TREND_PENALTY)]
-        level = basis @ _ridge(basis, target, trend_penalty)
         season = np.hstack([_fourier(day, YEAR_DAYS, YEARLY_ORDER), _fourier(day, WEEK_DAYS, WEEKLY_ORDER)])
-        x = np.hstack([basis, level[:, None] * season])
-        both = _ridge(x, target, np.r_[trend_penalty, np.full(season.shape[1], SEASON_PENALTY)])
+        tried = []
+        for bend in TREND_PENALTIES:
+            trend_penalty = np.r_[0.0, bend * len(y) * SLOPE_SHARE, np.full(HINGES, bend * len(y))]
+            level = basis @ _ridge(basis, target, trend_penalty)
+            x = np.hstack([basis, level[:, None] * season])
+            for s in SEASON_PENALTIES:
+                penalty = np.r_[trend_penalty, np.full(season.shape[1], s * float(level @ level))]
+                tried.append((_validation_error(x, target, penalty), len(tried), x, penalty))
+        _, _, x, penalty = min(tried)
+        both = _ridge(x, target, penalty)
         residual = target - x @ both
         trend, seasons = both[:width], both[width:]
     return (
@@ -145,7 +159,7 @@ def forecast_dates(model: DataFrame, dates: DataFrame) -> DataFrame:
 def forecast_series(models: DataFrame, df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Forecast for every row of a table by its own series' model; rows of unknown series get
     NULL. Fitted numbers join by key, the rest is column arithmetic."""
-    joined = size_checked_join(df, models, list(keys))
+    joined = null_safe_join(df, models, list(keys))
     out = _with_forecast(joined)
     fields = [f.strip().split(" ")[0] for f in FITTED.split(",")]
     return out.drop(*fields)
@@ -168,22 +182,31 @@ def _with_forecast(rows: DataFrame) -> DataFrame:
     ).drop("_trend", "_yearly", "_weekly")
 
 
-def validate_total(model: DataFrame, validation: DataFrame, target: str = "sales") -> DataFrame:
-    """Metrics of the daily total forecast against the validation dates: one row."""
-    actual = daily_totals(validation, target)
-    joined = actual.join(F.broadcast(forecast_dates(model, actual)), "date", "left")
+def validate_dates(forecast: DataFrame, validation: DataFrame, target: str = "sales") -> DataFrame:
+    """Metrics of a forecast by date (date, yhat) against the daily totals of the validation rows: one row."""
+    joined = daily_totals(validation, target).join(F.broadcast(forecast.select("date", "yhat")), "date", "left")
     return aggregate(joined, forecaster_metrics("y", "yhat"))
 
 
+def validate_total(model: DataFrame, validation: DataFrame, target: str = "sales") -> DataFrame:
+    """Metrics of the daily total forecast of a fitted model against the validation dates: one row."""
+    return validate_dates(forecast_dates(model, validation), validation, target)
+
+
 def predict_rows(forecast: DataFrame, df: DataFrame, out: str = "prophet_total_forecast") -> DataFrame:
     """Each row with the forecast of its date, floored at 0; one row per day is broadcast."""
-    by_date = forecast.select("date", F.greatest("yhat", F.lit(0.0)).alias(out))
+    by_date = forecast.select("date", clip(F.col("yhat"), 0.0).alias(out))
     return df.join(F.broadcast(by_date), "date", "left")
 
 
 def seasonal_features(model: DataFrame, df: DataFrame) -> DataFrame:
     """Forecast, trend and seasons of the daily total as features of each row, 0 if missing."""
-    parts = forecast_dates(model, df).select(
+    return with_date_parts(forecast_dates(model, df), df)
+
+
+def with_date_parts(forecast: DataFrame, df: DataFrame) -> DataFrame:
+    """Each row with the parts of the forecast of its date as features, 0 if missing."""
+    parts = forecast.select(
         "date",
         F.col("yhat").alias("prophet_yhat"),
         F.col("trend_part").alias("prophet_trend"),

@@ -12,18 +12,15 @@ from shelfcast.functions.scalar import money
 from shelfcast.operators.finance import stockout_risk
 from shelfcast.operators.reorder import ReorderSettings, reorder_plan
 from shelfcast.operators.safety_stock import SafetyStockSettings, safety_stock
+from shelfcast.sources.storage import stage
 
-# Model names and their columns, response limits, labels.
+# Model names and their columns, labels.
 FORECAST_COLUMNS = {
     "ensemble": "forecast_ensemble",
     "xgboost": "forecast_xgboost",
     "random_forest": "forecast_rf",
     "prophet": "forecast_prophet",
 }
-STORES_PER_DAY = 54
-MAX_RESPONSE_ROWS = 1000
-LATEST_ROWS = 500
-HEATMAP_STORES = 20
 CONFIDENCE = 0.95
 RISK_LABELS = ("HIGH", "MEDIUM", "LOW")
 WATERFALL = [
@@ -70,12 +67,17 @@ def forecast_column(df: DataFrame, model: str) -> str:
     for c in (wanted, *FORECAST_COLUMNS.values()):
         if c in df.columns:
             return c
-    raise ValueError(f"Model '{model}' not available. Columns: {df.columns}")
+    raise ValueError(f"the table has no forecast column for {model!r}, only {df.columns}")
 
 
-def response_rows(df: DataFrame, forecast_col: str, horizon_days: int) -> DataFrame:
-    """The rows a forecast request returns, in date, store, family order."""
-    limit = min(horizon_days * STORES_PER_DAY, MAX_RESPONSE_ROWS)
+def within_horizon(df: DataFrame, horizon_days: int) -> DataFrame:
+    """Rows of the first `horizon_days` calendar days of the table."""
+    return df.where(F.col("date") < F.date_add(df.agg(F.min("date")).scalar(), horizon_days))
+
+
+def response_rows(df: DataFrame, forecast_col: str, horizon_days: int | None = None, limit: int | None = None) -> DataFrame:
+    """The rows a forecast request returns, in date, store, family order: those of the horizon, all of
+    them unless a page size is given as `limit`."""
     order = [c for c in ROW_ORDER if c in df.columns]
     columns = [
         F.date_format("date", "yyyy-MM-dd").alias("date"),
@@ -85,7 +87,9 @@ def response_rows(df: DataFrame, forecast_col: str, horizon_days: int) -> DataFr
     ]
     if "family" in df.columns:
         columns.append(F.col("family").cast("string").alias("category"))
-    return df.orderBy(*order).limit(limit).select(*columns)
+    chosen = df if horizon_days is None else within_horizon(df, horizon_days)
+    ordered = chosen.orderBy(*order)
+    return (ordered if limit is None else ordered.limit(limit)).select(*columns)
 
 
 def response_totals(df: DataFrame, forecast_col: str) -> DataFrame:
@@ -119,17 +123,18 @@ def forecast_request(
     horizon_days: int = 16,
     model: str = "ensemble",
     include_intervals: bool = True,
+    limit: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """A forecast request: the response rows and one summary row over all matching rows."""
+    """A forecast request: the response rows, and one summary row over all rows of the horizon.
+    An empty selection gives no rows and no summary."""
     if not 1 <= horizon_days <= 90:
         raise ValueError("horizon_days must lie in 1..90")
-    chosen = apply_filters(df, stores=store_ids, families=categories)
+    chosen = within_horizon(apply_filters(df, stores=store_ids, families=categories), horizon_days)
     c = forecast_column(df, model)
-    rows = response_rows(chosen, c, horizon_days)
-    shown = F.least(F.count(F.lit(1)), F.lit(horizon_days * STORES_PER_DAY))
-    summary = response_totals(chosen, c).select(
-        F.lit(model).alias("model_used"), chosen.agg(shown).scalar().alias("forecast_count"), "*"
-    )
+    rows = response_rows(chosen, c, limit=limit)
+    counted = chosen.agg(F.count(F.lit(1))).scalar()
+    summary = response_totals(chosen, c).select(F.lit(model).alias("model_used"), counted.alias("forecast_count"), "*")
+    summary = summary.where(F.col("forecast_count") > 0)
     if include_intervals and {"forecast_lower", "forecast_upper"} <= set(df.columns):
         bounds = interval_summary(chosen)
         s = bounds.select(F.struct(*bounds.columns)).scalar()
@@ -181,7 +186,7 @@ def optimize_request(
     """An inventory request, computed with the requested service level and lead time: the
     recommendations and one row of totals and risk counts. Only the requested stores are
     read."""
-    chosen = apply_filters(forecasts, stores=store_ids)
+    chosen = stage(apply_filters(forecasts, stores=store_ids), "requested_stores")
     settings = SafetyStockSettings(service_level, lead_time_days)
     stock = safety_stock(chosen, settings=settings)
     inventory = reorder_plan(stock, settings=ReorderSettings(lead_time_days=lead_time_days))
@@ -251,15 +256,14 @@ def store_heatmap(
     store_col: str = "store_nbr",
     date_col: str = "date",
     value_col: str = "sales",
-    top: int = HEATMAP_STORES,
+    top: int | None = None,
 ) -> DataFrame:
-    """Value per date of the `top` largest stores as long rows, 0 where a store has no row.
+    """Value per date of all stores, or of the `top` largest, as long rows, 0 where a store has no row.
     The dates of the grid come as one array, bounded by the calendar."""
     cells = df.groupBy(store_col, date_col).agg(F.sum(value_col).alias("_cell"))
-    largest = (
-        df.groupBy(store_col).agg(F.sum(value_col).alias("_total"))
-        .orderBy(F.desc("_total"), store_col).limit(top)
-    )
+    largest = df.groupBy(store_col).agg(F.sum(value_col).alias("_total"))
+    if top is not None:
+        largest = largest.orderBy(F.desc("_total"), store_col).limit(top)
     dates = df.agg(F.collect_set(date_col)).scalar()
     grid = largest.select(store_col, F.explode(dates).alias(date_col))
     return grid.join(cells, [store_col, date_col], "left").select(
@@ -267,9 +271,11 @@ def store_heatmap(
     )
 
 
-def latest_rows(df: DataFrame, n: int = LATEST_ROWS) -> DataFrame:
+def latest_rows(df: DataFrame, n: int | None) -> DataFrame:
+    """Rows from the latest date on, the first `n` of them or all (None)."""
     rest = [c for c in ROW_ORDER if c != "date" and c in df.columns]
-    return df.orderBy(F.desc("date"), *rest).limit(n)
+    ordered = df.orderBy(F.desc("date"), *rest)
+    return ordered if n is None else ordered.limit(n)
 
 
 def positive_costs(inventory: DataFrame) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass, field
-from itertools import combinations
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -15,7 +14,6 @@ from shelfcast.operators.ordinal import with_position
 
 ALPHAS = (0.01, 0.1, 1.0, 10.0, 100.0)  # fixed values
 FOLDS = 3
-MAX_MODELS = 12
 
 
 @dataclass(frozen=True)
@@ -81,21 +79,49 @@ def _moments_by_block(df: DataFrame, actual: str, columns: list[Column]) -> list
 
 
 def nonnegative_solution(gram: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Minimise w'Gw - 2t'w over w >= 0 by trying every set of positive coefficients."""
+    """Minimise w'Gw - 2t'w over w >= 0 with an active set: the coefficient whose gain is steepest
+    joins, and those that would turn negative leave again."""
     m = len(target)
-    best, best_value = np.zeros(m), 0.0
-    for size in range(1, m + 1):
-        for active in combinations(range(m), size):
-            idx = list(active)
-            sub = np.linalg.lstsq(gram[np.ix_(idx, idx)], target[idx], rcond=None)[0]
-            if (sub < 0).any():
-                continue
-            w = np.zeros(m)
-            w[idx] = sub
-            value = w @ gram @ w - 2 * target @ w
-            if value < best_value - 1e-12 * max(1.0, abs(best_value)):
-                best, best_value = w, value
-    return best
+    w, active = np.zeros(m), np.zeros(m, bool)
+    least = 1e-10 * max(1.0, float(np.abs(target).max(initial=0.0)))
+    for _ in range(10 * m):
+        gain = np.where(active, -np.inf, target - gram @ w)
+        if gain.max(initial=-np.inf) <= least:
+            break
+        active[int(gain.argmax())] = True
+        while True:
+            idx = np.flatnonzero(active)
+            best = np.linalg.lstsq(gram[np.ix_(idx, idx)], target[idx], rcond=None)[0]
+            if (best > 0).all():
+                w = np.zeros(m)
+                w[idx] = best
+                break
+            falling = best <= 0
+            step = (w[idx][falling] / (w[idx][falling] - best[falling])).min()
+            w[idx] += step * (best - w[idx])
+            active &= w > 1e-14
+            w[~active] = 0.0
+            if not active.any():
+                break
+    return w
+
+
+def optimality(df: DataFrame, actual: str, models: Mapping[str, str | Column], blend: Blend) -> DataFrame:
+    """One row per model: coefficient and slope of the penalised fit in it, relative to the sizes of
+    model and error. At the best blend the slope is 0 where the coefficient is positive, else not
+    positive."""
+    names = sorted(models)
+    point = F.lit(blend.intercept)
+    for n in names:
+        point = point + F.lit(blend.coefficients[n]) * col(models[n])
+    error = F.col(actual) - point
+    parts = []
+    for n in names:
+        x = col(models[n]).cast("double")
+        slope = F.covar_pop(x, error) * F.count(x) - F.lit(blend.alpha * blend.coefficients[n])
+        size = F.count(x) * F.stddev_pop(x) * F.stddev_pop(F.col(actual))
+        parts.append(F.struct(F.lit(n).alias("model"), F.lit(blend.coefficients[n]).alias("coefficient"), F.try_divide(slope, size).alias("slope")))
+    return df.agg(F.array(*parts).alias("rows")).select(F.inline("rows"))
 
 
 def _solve(moments: _Moments, alpha: float) -> tuple[np.ndarray, float]:
@@ -122,8 +148,6 @@ def fit_blend(
     rows are only aggregated into one small moment table per fold block; the solve on it is
     a problem of as many unknowns as models."""
     names = sorted(models)
-    if len(names) > MAX_MODELS:
-        raise ValueError(f"at most {MAX_MODELS} models can be blended")
     columns = [col(models[n]) for n in names]
     tagged = fold_blocks(df, order) if regularized else df.withColumn("fold", F.lit(0))
     blocks = _moments_by_block(tagged, actual, columns)

@@ -5,15 +5,13 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 
 def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> str:
-    """Overwrite a parquet table. With `partition_by`, rows are first gathered by those columns
-    plus a spread key, so that each folder gets a few large files and no task a whole folder."""
+    """Overwrite a parquet table. With `partition_by`, rows are gathered by those columns into parts of
+    the size adaptive execution aims at, so a large folder gets as many writers as it needs."""
     if partition_by:
-        spread = F.pmod(F.xxhash64(*df.columns), F.lit(16))
-        df = df.repartition(*partition_by, spread)
+        df = df.hint("rebalance", *partition_by)
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
     return path
 

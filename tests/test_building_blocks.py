@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from shelfcast.functions.scalar import clip, money, percent, ratio
 from shelfcast.functions.service_level import z_score
-from shelfcast.operators.lookup import size_checked_join
-from shelfcast.operators.ordinal import lag_by_position, with_position
+from shelfcast.operators.joins import null_safe_join
+from shelfcast.operators.ordinal import lag_by_position, with_global_position, with_position
 from shelfcast.operators.quantiles import exact_quantiles, exact_quantiles_by
 from shelfcast.sources import readers, schemas
 from shelfcast.sources.storage import new_path, shared_folder, stage
@@ -64,13 +64,24 @@ def test_lag_over_blocks(frame, rows, block):
             assert r.lagged == (mine[i - 4].x if i >= 4 else None)
 
 
-@pytest.mark.parametrize("limit", [100, 2])
-@pytest.mark.parametrize("how", ["left", "inner"])
-def test_size_checked_join_both_ways(spark, frame, rows, limit, how):
-    dim = spark.createDataFrame([(s, f"name{s}") for s in range(1, 7)], "store int, name string")
-    got = size_checked_join(frame, dim, ["store"], how, max_rows=limit).select("date", "store", "family", "name")
-    want = frame.join(dim, "store", how).select("date", "store", "family", "name")
-    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+def test_null_keys_meet_and_no_row_is_lost(spark):
+    rows = [(None, 1, 1.0), (None, None, 2.0), (1, 1, 3.0), (1, None, None), (1, 2, 5.0)]
+    df = spark.createDataFrame(rows, "store int, day int, x double")
+    dim = spark.createDataFrame([(None, "none"), (1, "one")], "store int, name string")
+    got = {(r.store, r.day): r.name for r in null_safe_join(df, dim, ["store"]).collect()}
+    assert got == {(s, d): "none" if s is None else "one" for s, d, _ in rows}
+    for order in (["day"], ["day", "x"], ["store", "day", "x"]):
+        placed = with_position(df, ["store"], order).collect()
+        assert sorted(((r.store or 0, r.day or 0), r.pos) for r in placed) == [((0, 0), 0), ((0, 1), 1), ((1, 0), 0), ((1, 1), 1), ((1, 2), 2)]
+    with pytest.raises(ValueError):
+        lag_by_position(df, ["store"], "day", "x", 5, "y", block_rows=4)
+
+
+def test_positions_in_the_whole_table(spark):
+    values = [random.Random(1).choice([0.5, 1.5, i * 0.25]) for i in range(400)]
+    df = spark.createDataFrame([(v, i) for i, v in enumerate(values)], "v double, i int").repartition(5)
+    got = sorted((r.pos, r.v, r.i) for r in with_global_position(df, ["v", "i"]).collect())
+    assert got == [(k, v, i) for k, (v, i) in enumerate(sorted((v, i) for i, v in enumerate(values)))]
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 7, 150])

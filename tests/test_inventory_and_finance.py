@@ -151,8 +151,13 @@ def test_filters_and_columns(sized):
 
 def test_forecast_request_limits(sized):
     rows, summary = sv.forecast_request(sized, horizon_days=1, store_ids=[5])
-    assert rows.count() == 10
-    assert summary.first().forecast_count == 10 and summary.first().confidence_level == 0.95
+    days = sized.where("store_nbr = 5").select("date").distinct().count()
+    assert rows.count() == summary.first().forecast_count == sized.where("store_nbr = 5").count() // days
+    assert sv.response_rows(sized, "forecast_ensemble").count() == sized.count()
+    assert sv.response_rows(sized, "forecast_ensemble", limit=3).count() == 3
+    _, none = sv.forecast_request(sized, store_ids=[-1])
+    assert none.count() == 0
+    assert summary.first().confidence_level == 0.95
     _, plain = sv.forecast_request(sized, include_intervals=False)
     assert "avg_lower" not in plain.columns
 

@@ -65,9 +65,12 @@ def test_forecaster_metrics_floor_predictions(spark):
     assert one.mae == 0.0
 
 
-def test_small_segments_are_left_out(spark):
-    df = spark.createDataFrame([(1, 1.0, 1.0)] * 4 + [(2, 1.0, 2.0)] * 5, "s int, sales double, p double")
-    assert [r.segment for r in m.segment_metrics(df, "s", predicted="p").collect()] == [2]
+def test_small_segments_and_missing_values_are_told(spark):
+    df = spark.createDataFrame([(1, 1.0, 1.0)] * 4 + [(2, 1.0, 2.0)] * 5 + [(1, None, 9.0), (1, 9.0, None)], "s int, sales double, p double")
+    got = {r.segment: (r.n_samples, r.n_missing, r.enough_rows, r.mae) for r in m.segment_metrics(df, "s", predicted="p").collect()}
+    assert got == {1: (4, 2, False, 0.0), 2: (5, 0, True, 1.0)}
+    nulls = df.where("p is null")
+    assert m.aggregate(nulls, m.forecaster_metrics("sales", "p")).first().mae is None
 
 
 def test_directional_accuracy_per_series(spark):
@@ -77,9 +80,11 @@ def test_directional_accuracy_per_series(spark):
     assert m.directional_accuracy(df, "sales", "p").first()[0] == pytest.approx(3 / 4)
 
 
-def test_magnitude_bins_need_rows_and_merge_edges(spark):
+def test_magnitude_bins_of_few_rows_and_merged_edges(spark):
     few = spark.createDataFrame([(float(i), 1.0) for i in range(99)], "sales double, p double")
-    assert dg.error_by_magnitude(few, predicted="p").count() == 0
+    assert sorted(r.n for r in dg.error_by_magnitude(few, predicted="p").collect()) == [9] * 2 + [10] * 8
+    one = spark.createDataFrame([(2.0, 1.0)] * 3, "sales double, p double")
+    assert dg.error_by_magnitude(one, predicted="p").count() == 0
     tied = spark.createDataFrame([(1.0, 1.0)] * 80 + [(float(i), 1.0) for i in range(2, 42)], "sales double, p double")
     out = dg.error_by_magnitude(tied, predicted="p").orderBy("bin").collect()
     assert sum(r.n for r in out) == 120 and len(out) < 10
@@ -247,7 +252,7 @@ def test_short_series_get_their_mean(spark):
     df = spark.createDataFrame([(D0 + dt.timedelta(days=i), 1, "f", float(v)) for i, v in enumerate((2, 4, 6))], "date date, store_nbr int, family string, y double")
     models = se.fit_seasonal(df, ["store_nbr", "family"])
     assert [r.yhat for r in se.forecast_series(models, df, ["store_nbr", "family"]).collect()] == pytest.approx([4.0] * 3)
-    assert se.daily_by_series(df.withColumnRenamed("y", "sales")).count() == 0
+    assert se.daily_by_series(df.withColumnRenamed("y", "sales")).count() == 3
 
 
 def test_trees_beat_the_naive_forecast(spark):
