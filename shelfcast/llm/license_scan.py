@@ -1,7 +1,8 @@
 """Licence scans: TF-IDF cosines of headers and licence files to templates, then inheritance.
 
 Every line of a text, and the whole text of a licence file, is compared with licence templates as sparse
-TF-IDF vectors. Words of a template that carry most of its weight form its prefix: what shares none of
+TF-IDF vectors; with `windows`, so is every run of words as long as a template that lies in the text as the
+template would around one of its prefix words, over line breaks and within long lines. Words of a template that carry most of its weight form its prefix: what shares none of
 them cannot reach the threshold, so only texts and lines with a prefix word are taken apart. A file
 without a match inherits from the nearest directory above it that has a matching licence file.
 DataFrame operations only.
@@ -32,9 +33,16 @@ TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License, version 3 of the License."),
+    ("GPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation."),
+    ("GPL-2.0-or-later", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
     ("LGPL-3.0", "Licensed under the GNU Lesser General Public License, version 3."),
+    ("LGPL-3.0-or-later", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "Licensed under the GNU Lesser General Public License, version 2.1."),
+    ("LGPL-2.1-or-later", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
     ("AGPL-3.0", "Licensed under the GNU Affero General Public License, version 3."),
+    ("AGPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
@@ -76,10 +84,14 @@ def prefix_words(weights: dict[str, float], threshold: float) -> list[str]:
 
 
 def scan_licences(
-    files: DataFrame, path: str = "path", text: str = "text", templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD
+    files: DataFrame, path: str = "path", text: str = "text", templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD,
+    windows: bool = False,
 ) -> DataFrame:
     """`files` with licence, licence_score, licence_line and licence_from.
 
+    With `windows`, notices wrapped over lines or sharing a line with other text are found too, and
+    licence_line is the line on which they start; without it only whole lines and licence files are compared.
+
     licence_from is `header` (a line of the file, numbered from 1), `licence file` (the whole text,
     without a line), `inherited` (the path of the directory is in licence_dir) or null. The best cosine
     of at least `threshold` wins; ties go to the licence that is first by name, then to the earlier line. A word in no
@@ -94,15 +106,20 @@ def scan_licences(
     total, df = document_frequencies(files, text, vocabulary)
     idf = {w: math.log((1 + total) / (1 + df.get(w, 0))) for w in vocabulary}
     unknown = math.log(1 + total)
-    postings, gate = [], set()
+    postings, gate, anchors = [], set(), {}
     for i, (name, c) in enumerate(counts):
         length = math.sqrt(sum((n * idf[w]) ** 2 for w, n in c.items()))
         if length:
             weights = {w: n * idf[w] / length for w, n in c.items()}
             postings += [(w, i, name, x) for w, x in weights.items() if x]
-            gate |= set(prefix_words(weights, threshold))
+            prefix = set(prefix_words(weights, threshold))
+            gate |= prefix
+            order = re.findall(WORD, templates[i][1].lower())
+            for at, w in enumerate(order):
+                if windows and w in prefix:
+                    anchors.setdefault(w, set()).add((at, len(order)))
     rows = kept.withColumn("_file", F.xxhash64(F.col(path), F.col(text)))
-    matches = stage(_matches(rows, path, text, postings, gate, idf, unknown, threshold), "licence_matches")
+    matches = stage(_matches(rows, path, text, postings, gate, anchors, idf, unknown, threshold), "licence_matches")
     own = rows.join(matches, "_file", "left")
     folder = F.regexp_extract(F.col(path), r"^(.*)/[^/]*$", 1)
     own = own.withColumn("_dir", F.when(F.col(path).isNotNull(), folder))
@@ -128,7 +145,31 @@ def scan_licences(
     )
 
 
-def _matches(rows: DataFrame, path: str, text: str, postings: list, gate: set, idf: dict, unknown: float, threshold: float) -> DataFrame:
+def _windows(texts: DataFrame, anchors: dict[str, set[tuple[int, int]]]) -> DataFrame:
+    """_file, line, first, size and part of every run of words that has an anchor word where a template
+    of that size has it. Runs that would begin before the text or end after it are cut there."""
+    tokens = F.flatten(
+        F.transform(F.split("_low", "\n"), lambda part, i: F.transform(words_of(part), lambda w: F.struct(w.alias("word"), (i + 1).alias("line"))))
+    )
+    places = F.create_map(
+        *[x for w, to in sorted(anchors.items()) for x in (F.lit(w), F.array(*[F.struct(F.lit(at).alias("at"), F.lit(n).alias("size")) for at, n in sorted(to)]))]
+    )
+    held = texts.select("_file", tokens.alias("t"))
+    hits = F.filter(
+        F.transform("t", lambda t, i: F.when(t.word.isin(*sorted(anchors)), F.struct(i.alias("i"), t.word.alias("word")))), lambda h: h.isNotNull()
+    )
+    runs = F.array_distinct(
+        F.flatten(F.transform(hits, lambda h: F.transform(places[h.word], lambda p: F.struct(F.greatest(h.i - p["at"], F.lit(0)).alias("first"), p["size"].alias("size")))))
+    )
+    cut = held.select("_file", "t", runs.alias("runs")).where(F.size("runs") > 0)
+    part = F.transform("runs", lambda r: F.struct(
+        F.col("t")[r["first"]]["line"].alias("line"), r["first"].alias("first"), r["size"].alias("size"),
+        F.array_join(F.transform(F.slice("t", r["first"] + 1, r["size"]), lambda t: t.word), " ").alias("part"),
+    ))
+    return cut.select("_file", F.explode(part).alias("r")).select("_file", "r.line", "r.first", "r.size", "r.part")
+
+
+def _matches(rows: DataFrame, path: str, text: str, postings: list, gate: set, anchors: dict, idf: dict, unknown: float, threshold: float) -> DataFrame:
     """_file and best (score, by name, line) for files with a match. Equal rows share a _file."""
     spark = rows.sparkSession
     weights = spark.createDataFrame(postings or [("", -1, "", 0.0)], "word string, template int, licence string, weight double")
@@ -139,16 +180,20 @@ def _matches(rows: DataFrame, path: str, text: str, postings: list, gate: set, i
     is_licence = F.coalesce(F.regexp_extract("_path", r"([^/]*)$", 1).rlike(LICENCE_FILE), F.lit(False))
     lines = texts.select("_file", F.posexplode(F.split("_low", "\n")).alias("line", "part")).withColumn("line", F.col("line") + 1)
     whole = texts.where(is_licence).select("_file", F.lit(0).alias("line"), F.col("_low").alias("part"))
-    parts = lines.union(whole).where(F.col("part").rlike(pattern)).dropDuplicates(["_file", "line"])
+    parts = lines.union(whole).where(F.col("part").rlike(pattern)).select("_file", "line", F.lit(-1).alias("first"), F.lit(0).alias("size"), "part")
+    if anchors:
+        parts = parts.union(_windows(texts, anchors))
+    parts = parts.dropDuplicates(["_file", "line", "first", "size"])
+    segment = ("_file", "line", "first", "size")
     terms = (
-        parts.select("_file", "line", F.explode(F.regexp_extract_all("part", F.lit("(" + WORD + ")"), F.lit(1))).alias("word"))
-        .groupBy("_file", "line", "word").agg(F.count("*").alias("tf")).join(F.broadcast(words), "word", "left")
+        parts.select(*segment, F.explode(F.regexp_extract_all("part", F.lit("(" + WORD + ")"), F.lit(1))).alias("word"))
+        .groupBy(*segment, "word").agg(F.count("*").alias("tf")).join(F.broadcast(words), "word", "left")
         .withColumn("x", F.col("tf") * F.coalesce("idf", F.lit(unknown)))
     )
     dots = terms.join(F.broadcast(weights.groupBy("word").agg(F.collect_list(F.struct("template", "licence", "weight")).alias("to"))), "word", "left")
     # one row per segment and template; template -1 carries the length of the segment
     spread = dots.select(
-        "_file", "line",
+        *segment,
         F.explode(
             F.concat(
                 F.transform(F.coalesce("to", F.array().cast("array<struct<template:int,licence:string,weight:double>>")), lambda t: F.struct(t.template.alias("template"), t.licence.alias("licence"), (t.weight * F.col("x")).alias("v"))),
@@ -156,8 +201,8 @@ def _matches(rows: DataFrame, path: str, text: str, postings: list, gate: set, i
             )
         ).alias("e"),
     )
-    sums = spread.groupBy("_file", "line", "e.template", "e.licence").agg(F.sum("e.v").alias("v")).where("v > 0")
-    per_part = sums.groupBy("_file", "line").agg(
+    sums = spread.groupBy(*segment, "e.template", "e.licence").agg(F.sum("e.v").alias("v")).where("v > 0")
+    per_part = sums.groupBy(*segment).agg(
         F.sqrt(F.max(F.when(F.col("template") < 0, F.col("v")))).alias("length"),
         F.collect_list(F.when(F.col("template") >= 0, F.struct(F.col("v").alias("v"), F.col("licence").alias("licence")))).alias("all"),
     )

@@ -104,7 +104,7 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     leaf = F.concat(top, F.lit("/"), F.floor(doc_id / 50))
     path = F.when(doc_id % 1000 == 0, F.concat(top, F.lit("/LICENSE"))).when(doc_id % 50 == 0, F.concat(leaf, F.lit("/LICENSE")))
     files = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(path, F.concat(leaf, F.lit("/"), doc_id, F.lit(".txt"))).alias("path"), "text")
-    found = license_scan.scan_licences(files)
+    found = license_scan.scan_licences(files, windows=True)
     return found.select("doc_id", "path", "licence", F.round("licence_score", 6).alias("licence_score"), "licence_line", "licence_from", "licence_dir")
 
 

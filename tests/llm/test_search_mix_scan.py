@@ -2,6 +2,7 @@
 
 import math
 import re
+import textwrap
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -171,6 +172,30 @@ def test_licence_query_matches_a_plain_scan(spark):
     assert {"header", "inherited"} <= {r.licence_from for r in rows}
 
 
+def test_wrapped_and_embedded_notices_are_found(spark, tmp_path):
+    by = {}
+    for name, t in license_scan.TEMPLATES:
+        by.setdefault(name, []).append(t)
+
+    def wrapped(text, width):
+        return "\n".join(" * " + x for x in textwrap.wrap(text, width))
+
+    want, files = {}, []
+    for name in ("GPL-2.0-or-later", "GPL-3.0-or-later", "LGPL-2.1-or-later", "LGPL-3.0-or-later", "AGPL-3.0-or-later", "BSD-3-Clause", "MIT", "ISC"):
+        notice = max(by[name], key=len)
+        for width in (30, 50, 70):
+            files.append(("/* tool\n * by me\n" + wrapped(notice, width) + "\n */\nx = 1\n", name, 3))
+        files.append(("one line before\nsome words " * 3 + notice + " and a great deal of other text" * 20, name, 4))
+    files += [("plain prose without a notice, line %d" % i, None, None) for i in range(60)]
+    rows, source = [], tmp_path / "documents.parquet"
+    for i, (text, name, line) in enumerate(files):
+        rows.append((10_001 + i + i // 40, text, "s"))  # no notice lands on a licence file
+        want[10_001 + i + i // 40] = (name, line, "header" if name else None)
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(source))
+    got = {r.doc_id: (r.licence, r.licence_line, r.licence_from) for r in QUERIES["op8_license_scan"](spark, str(tmp_path)).collect()}
+    assert got == want
+
+
 def test_pipeline_stages_take_effect(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{FOLDER}/labels.parquet").collect()}
