@@ -16,9 +16,7 @@ from shelfcast.sources.storage import new_path, stage
 
 KEYS = ["date", "store_nbr", "family"]
 HOLDOUT_DAYS = 180
-# The classes default to 1000 and 500 trees; the registered queries grow as many as this.
-TREES, DEPTH = 30, 8
-SEED_OF = {"xgboost": ln.BoostedTrees(trees=TREES, depth=DEPTH, learning_rate=0.1), "rf": ln.RandomForest(trees=TREES, depth=DEPTH)}
+SEED_OF = {"xgboost": ln.BoostedTrees(), "rf": ln.RandomForest()}
 LEFT_OUT = {"date", "family", "sales", "city", "state", "store_type", "holiday_type", "locale"}
 FEATURE_NAMES = (
     "city_encoded cluster day_of_week days_since_holiday days_to_holiday has_promotion holiday_proximity is_holiday "

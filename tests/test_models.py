@@ -279,3 +279,12 @@ def test_versions(spark):
     assert tuple(rg.best_and_latest(registry).first()) == ("v2", "v4")
     ranked = rg.ranked_versions(registry).collect()
     assert [r.version for r in ranked] == ["v2", "v3", "v1", "v4"] and ranked[3].n_models == 1
+
+
+def test_registered_trees_are_the_class_defaults():
+    from checks.learned import SEED_OF
+    from shelfcast.operators.learners import BoostedTrees, RandomForest
+
+    assert SEED_OF == {"xgboost": BoostedTrees(), "rf": RandomForest()}
+    assert (SEED_OF["xgboost"].trees, SEED_OF["xgboost"].learning_rate) == (1000, 0.05)
+    assert (SEED_OF["rf"].trees, SEED_OF["rf"].depth) == (500, 15)
