@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shelfcast.llm import bpe, chat, exact_dedup, hashing_index, language_id, license_scan, mixing, near_dedup, quality, warc
+from shelfcast.llm import bpe, chat, exact_dedup, hashing_index, language_id, license_scan, mixing, near_dedup, quality, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -153,3 +153,50 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language_id.fit_model(docs.where(~out))
     found = language_id.with_language(docs.select("doc_id", "text"), model)
     return found.select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
+URL_RULES = [
+    ("allow", "org", "/"),
+    ("block", "example.org", "/es/"),
+    ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"),
+]
+# categories that public blocklists have, as they name hosts
+LISTED_HOSTS = r"(^|\.)(ads-track|adult-x|casino-win|cheap-pills|free-bets|spam-farm)\."
+
+
+@query(
+    r"""
+WITH u AS (
+  SELECT page_id, url,
+         translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path,
+         list_sort(list_filter(string_split(regexp_extract(url, '(?s)^[^?#]*\?([^#]*)', 1), '&'),
+             lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[^=&]*|gclid|fbclid|msclkid|ref)(=|$)'))) AS q
+  FROM pages),
+c AS (
+  SELECT *, CASE WHEN host <> '' THEN regexp_replace(regexp_replace(host, '^.*@', ''), '^www\.|:(80|443)?$', '', 'g')
+         || regexp_replace(path, '/$', '') || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END END AS k
+  FROM u),
+r AS (
+  SELECT *, CASE WHEN ('.' || host) LIKE '%.example.org' AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+                 WHEN ('.' || host) LIKE '%.example.org' AND starts_with(path, '/es/') THEN 'example.org/es/'
+                 WHEN ('.' || host) LIKE '%.com' AND starts_with(path, '/de/') THEN 'com/de/'
+                 WHEN ('.' || host) LIKE '%.com' AND starts_with(path, '/fr/') THEN 'com/fr/'
+                 WHEN ('.' || host) LIKE '%.org' AND starts_with(path, '/') THEN 'org/' END AS rule
+  FROM c),
+l AS (
+  SELECT DISTINCT k FROM c
+  WHERE regexp_matches(host, '(^|\.)(ads-track|adult-x|casino-win|cheap-pills|free-bets|spam-farm)\.'))
+SELECT page_id, host, path, rule,
+       CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+            WHEN k IN (SELECT k FROM l) THEN 'block' ELSE 'allow' END AS verdict
+FROM r"""
+)
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no blocklist; the URLs of pages on hosts named after blocked categories serve as one."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    listed = pages.where(url_filter.host_of(F.col("url")).rlike(LISTED_HOSTS)).select("url")
+    return url_filter.judge_urls(pages, listed, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
