@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shelfcast.llm import bpe, chat, exact_dedup, hashing_index, language_id, license_scan, mixing, near_dedup, quality, url_filter, warc
+from shelfcast.llm import bpe, chat, exact_dedup, hashing_index, language_id, license_scan, merkle, mixing, near_dedup, oracles, quality, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -200,3 +200,14 @@ def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     listed = pages.where(url_filter.host_of(F.col("url")).rlike(LISTED_HOSTS)).select("url")
     return url_filter.judge_urls(pages, listed, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query(oracles.manifest_sql())
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    made = merkle.manifest(
+        docs,
+        changed={"text": F.translate("text", url_filter.UPPER, url_filter.LOWER)},
+        where=F.crc32(F.col("doc_id").cast("string")) % 3 == 0,
+    )
+    return made.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")

@@ -1,11 +1,13 @@
 """URL filter, Merkle manifest and conversation repair: edge cases and brute force."""
 
+import hashlib
 import random
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
-from shelfcast.llm import url_filter
+from shelfcast.llm import merkle, url_filter
 
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
@@ -81,3 +83,84 @@ def test_url_columns_of_the_input(spark):
     assert sorted(got.columns) == ["host", "page_id", "path", "rule", "u", "verdict"]
     assert [r.verdict for r in got.collect()] == ["allow", "allow"]
     assert got.where(F.col("rule") == "org/").count() == 2
+
+
+def h(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def plain_leaf(row):
+    return h("".join("-" if v is None else f"{len(str(v).encode())}:{v}" for v in row))
+
+
+def plain_tree(nodes):
+    """The root, and for each node the siblings left and right of its path, level by level."""
+    paths, at = [[] for _ in nodes], list(range(len(nodes)))
+    while len(nodes) > 1:
+        for i, k in enumerate(at):
+            run = k - k % 8
+            paths[i].append(("".join(nodes[run:k]), "".join(nodes[k + 1 : run + 8])))
+            at[i] = k // 8
+        nodes = [h("".join(nodes[i : i + 8])) for i in range(0, len(nodes), 8)]
+    return nodes[0], paths
+
+
+def plain_manifest(rows, lower):
+    """rows: doc_id, source, lang, n_chars, text -> leaf, subroot, root, proof, folded root, by sorted rows."""
+    groups = {}
+    for r in rows:
+        groups.setdefault(r[2], []).append(r)
+    names = sorted(groups, key=lambda x: (x is not None, (x or "").encode()))
+    trees = {}
+    for g in names:
+        groups[g].sort(key=lambda r: (r[0] is not None, r[0] or 0, plain_leaf(r)))
+        trees[g] = plain_tree([plain_leaf(r) for r in groups[g]])
+    root, upper = plain_tree([trees[g][0] for g in names])
+    out = []
+    for g, above in zip(names, upper, strict=True):
+        for r, own in zip(groups[g], trees[g][1], strict=True):
+            digest, path = plain_leaf(lower(r)), own + above
+            for left, right in path:
+                digest = h(left + digest + right)
+            out.append((r[0], r[2], plain_leaf(r), trees[g][0], root, h("".join(a + b for a, b in path)), digest, digest == root))
+    return out
+
+
+@pytest.mark.parametrize("shape", [{}, {None: 1}, {"a": 8}, {"a": 1, None: 9, "b": 513, "é": 8, "Z": 65}, {f"l{i:03}": 1 + i % 2 for i in range(70)}])
+def test_manifest_matches_a_plain_tree(spark, shape):
+    draw = random.Random(7)
+    rows = [(draw.randrange(10**6), draw.choice(["s", None, ""]), g, draw.choice([None, 5, -12]), draw.choice([None, "", "Ab", "ab", "ÄÖ Z", "x" * 9])) for g, n in shape.items() for _ in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, lang string, n_chars long, text string").withColumn("leaf", F.lit(1))
+    made = merkle.manifest(docs.repartition(7), changed={"text": F.translate("text", url_filter.UPPER, url_filter.LOWER)}, where=F.crc32(F.col("doc_id").cast("string")) % 3 == 0)
+
+    def lower(r):
+        return r if zlib.crc32(str(r[0]).encode()) % 3 or r[4] is None else (*r[:4], "".join(c.lower() if c.isascii() else c for c in r[4]))
+
+    got = made.select("doc_id", "lang", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified").collect()
+    want = plain_manifest(rows, lower) if rows else []
+    assert sorted(str(tuple(r)) for r in got) == sorted(map(str, want))
+
+
+def test_manifest_rows_that_repeat_and_null_ids(spark):
+    big = 2**60 + 1
+    rows = [(big, None, "a", 1, "T")] * 3 + [(big, None, "a", 1, "U"), (None, "s", "a", None, None), (None, "s", "a", None, "X" * 100_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, lang string, n_chars long, text string")
+    made = merkle.manifest(docs, changed={"text": F.lower("text")}, where=F.col("doc_id").isNotNull() | F.lit(None), paths=True).collect()
+    want = plain_manifest(rows, lambda r: r if r[0] is None else (*r[:4], r[4].lower()))
+    assert sorted(str((r.doc_id, r.lang, r.leaf, r.subroot, r.root, r.proof_sha256, r.folded_root, r.verified)) for r in made) == sorted(map(str, want))
+    for r in made:  # a version copies its ancestors only, and an untouched row none
+        assert (r.copied is None) == (r.doc_id is None)
+        assert r.copied is None or (len(r.copied) == 2 and r.copied[-1] == r.folded_root)
+
+
+def test_versions_share_untouched_nodes():
+    nodes = [h(str(i)) for i in range(100)]
+    levels = merkle.levels_above(nodes, 100)
+    assert [len(x) for x in levels] == [100, 13, 2, 1]
+    for at in (0, 57, 99):
+        lefts, rights = merkle.siblings(levels, at)
+        assert merkle.copied_path(nodes[at], lefts, rights)[-1] == levels[-1][0]
+        changed = [*nodes[:at], h("new"), *nodes[at + 1 :]]
+        assert merkle.copied_path(h("new"), lefts, rights) == [x[at // 8 ** (i + 1)] for i, x in enumerate(merkle.levels_above(changed, 100)[1:])]
+    with pytest.raises(ValueError):
+        merkle.manifest(None, order="root")
