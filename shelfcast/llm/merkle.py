@@ -17,10 +17,10 @@ from collections.abc import Mapping, Sequence
 from hashlib import sha256
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfcast.operators.ordinal import with_global_position
+from shelfcast.llm.spread import group_key, key_value, placed
 from shelfcast.sources.storage import stage
 
 FAN_OUT = 8
@@ -114,20 +114,6 @@ def _down(tiers: list[DataFrame], above: DataFrame) -> DataFrame:
     return above
 
 
-def _placed(leaves: DataFrame) -> DataFrame:
-    """Leaves with pos, their place in their group, and n, the size of it. The rows are stored in order by
-    ranges; the sizes of a group's parts give where each begins, so a group is never ordered in one task."""
-    order = ["g", "at", "digest"]
-    ranged = leaves.repartitionByRange(*order).sortWithinPartitions(*order)
-    kept = stage(ranged.withColumn("id", F.monotonically_increasing_id()), "ordered_leaves").withColumn("part", F.shiftrightunsigned("id", 33))
-    parts = kept.groupBy("g", "part").agg(F.count(F.lit(1)).alias("rows"), F.min("id").alias("first"))
-    before = Window.partitionBy("g").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    begins = parts.select(
-        "g", "part", "first", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("begin"), F.sum("rows").over(Window.partitionBy("g")).alias("n")
-    )
-    return kept.join(begins, ["g", "part"]).select("at", "g", "n", "digest", "changed", (F.col("begin") + F.col("id") - F.col("first")).alias("pos"))
-
-
 def manifest(
     table: DataFrame,
     columns: Sequence[str] = ("doc_id", "source", "lang", "n_chars", "text"),
@@ -147,7 +133,7 @@ def manifest(
     over all siblings from the leaf to the root, left to right on each level; that of a table's only row is
     over nothing.
 
-    Groups and leaves ascend, null first; rows that repeat an order value are ordered by their digests, and
+    Groups ascend as texts, leaves as values, null first; rows that repeat an order value are ordered by their digests, and
     equal rows are leaves of their own. A null `where` means not tampered with. Columns not named in
     `columns` are ignored, whatever their names. An empty table gives an empty result.
     """
@@ -156,16 +142,14 @@ def manifest(
     now = {c: F.col(c) for c in columns}
     then = now | {c: v for c, v in (changed or {}).items()}
     tampered = F.when(where, leaf_digest([then[c] for c in columns])) if where is not None else F.lit(None).cast("binary")
-    # an empty key stands for null, and sorts before all others
     leaves = table.select(
-        F.col(order).alias("at"), F.coalesce(F.concat(F.lit("="), F.col(group).cast("string")), F.lit("")).alias("g"),
+        F.col(order).alias("at"), group_key(F.col(group)).alias("g"),
         leaf_digest([now[c] for c in columns]).alias("digest"), tampered.alias("changed"),
     )
-    leaves = stage(_placed(stage(leaves, "leaves")), "leaves")
+    leaves = placed(stage(leaves, "leaves"), "g", ["at", "digest"])
     tiers = _tiers(leaves)
-    groups = tiers[-1].count()
-    roots = with_global_position(tiers[-1].select("g", "digest"), ["g"])
-    top = stage(roots.select(F.lit("").alias("g"), "pos", F.lit(groups).cast("long").alias("n"), "digest", F.col("g").alias("name")), "subroots")
+    roots = tiers[-1].select(F.lit("").alias("g"), F.col("g").alias("name"), "digest")
+    top = placed(roots, "g", ["name"])
     tops = _tiers(top)
     nothing = F.array().cast("array<string>")
     whole = tops[-1].select("g", F.col("pos").alias("block"), nothing.alias("lefts"), nothing.alias("rights"), F.lit("").alias("subroot"), F.lower(F.hex("digest")).alias("root"))
@@ -206,8 +190,7 @@ def manifest(
         .cogroup(above.groupBy("g", "block"))
         .applyInPandas(prove, "at string, g string, leaf string, subroot string, root string, proof_sha256 string, folded_root string, copied array<string>")
     )
-    name = F.when(F.col("g") != "", F.expr("substr(g, 2)"))
     return proven.select(
-        F.col("at").cast(leaves.schema["at"].dataType).alias(order), name.alias(group), "leaf", "subroot", "root", "proof_sha256", "folded_root",
-        (F.col("folded_root") == F.col("root")).alias("verified"), *(["copied"] if paths else []),
+        F.col("at").cast(table.schema[order].dataType).alias(order), key_value(F.col("g"), table.schema[group].dataType).alias(group),
+        "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"), *(["copied"] if paths else []),
     )

@@ -65,3 +65,70 @@ def manifest_sql(depth: int = 8, group_depth: int = 3) -> str:
     return f"""WITH {joined}
 SELECT doc_id, leaf, subroot, r.d AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = r.d AS verified
 FROM {last}, u{group_depth} r"""
+
+
+def repair_sql() -> str:
+    """Damage, faults and the cheapest edits of `conversations`: the best (cost, audit, repaired text) of each
+    of the four states is carried over the rows of a conversation."""
+    blanks = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    draw = crc32_sql("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")
+
+    def step(state: str, cost: str, letter: str, role: str = "", text: str = "") -> str:
+        said = f" || chr(10) || {role} || ':' || {text}" if role else ""
+        return f"{{'c': {state}.c + {cost}, 'a': {state}.a || '{letter}', 't': {state}.t{said}}}"
+
+    def least(*options: str) -> str:
+        return f"list_sort([{', '.join(options)}])[1]"
+
+    def insert(state: str, role: str) -> str:
+        return step(state, "5", "I", f"'{role}'", "''")
+
+    # a chain of inserts has one or two links
+    filled = f"""[v[1], v[2],
+      {least("v[3]", insert("v[1]", "user"), insert("v[2]", "user"), insert("v[4]", "user"))},
+      {least("v[4]", insert("v[3]", "assistant"), insert(f"({insert('v[1]', 'user')})", "assistant"), insert(f"({insert('v[2]', 'user')})", "assistant"))}]"""
+
+    def then(i: int, state: str, initial: str, role: str) -> str:
+        keep = step(f"v[{i}]", "x.late", "K", "x.role", "x.text")
+        rerole = step(f"v[{i}]", "x.late + 1", "R", f"'{role}'", "x.text")
+        return f"CASE WHEN x.gone THEN {{'c': 1000000, 'a': '', 't': ''}} WHEN x.i = '{initial}' THEN {keep} ELSE {rerole} END"
+
+    never = "{'c': 1000000, 'a': '', 't': ''}"
+    deletes = [step(f"v[{i}]", "2", "D") for i in range(1, 5)]
+    system = f"CASE WHEN NOT x.gone AND x.i = 's' THEN {step('v[1]', 'x.late', 'K', 'x.role', 'x.text')} ELSE {never} END"
+    row = f"""[{deletes[0]}, {least(deletes[1], system)},
+      {least(deletes[2], *[then(i, "u", "u", "user") for i in (1, 2, 4)])},
+      {least(deletes[3], then(3, "a", "a", "assistant"))}]"""
+    return f"""WITH RECURSIVE d AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {draw} % 20 AS k FROM conversations),
+e AS (
+  SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, unnest(CASE WHEN k = 3 THEN [0, 1] ELSE [0] END) AS again,
+         CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM d WHERE k <> 0),
+p AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), again) AS pos, rtrim(text, {blanks}) AS s,
+         substr(role, 1, 1) AS i0 FROM e),
+f AS (
+  SELECT *, CASE WHEN s = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 'duplicate'
+                 WHEN right(s, 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault,
+         CASE WHEN pos > 1 THEN lag(i0) OVER (PARTITION BY conv_id ORDER BY pos) || i0 END AS pair FROM p),
+g AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+         count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+         count(*) FILTER (pos > 1 AND pair NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n
+  FROM f GROUP BY conv_id),
+rows_of AS (
+  SELECT conv_id, pos, {{'i': i0, 'role': role, 'text': text, 'gone': coalesce(fault IN ('blank', 'duplicate'), false),
+         'late': CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END}} AS x FROM f),
+w AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS pos, [{{'c': 0, 'a': '', 't': ''}}, {never}, {never}, {never}] AS v FROM g
+  UNION ALL
+  SELECT conv_id, pos, {row} AS v
+  FROM (SELECT w.conv_id, r.pos, r.x, {filled} AS v FROM w JOIN rows_of r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.pos = w.pos + 1)),
+b AS (
+  SELECT conv_id, list_sort([v[1], v[4]])[1] AS best
+  FROM (SELECT w.conv_id, {filled} AS v FROM w JOIN g ON g.conv_id IS NOT DISTINCT FROM w.conv_id AND g.n = w.pos))
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, CAST(coalesce(best.c, 0) AS BIGINT) AS cost, coalesce(best.a, '') AS audit, sha256(coalesce(substr(best.t, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN b ON b.conv_id IS NOT DISTINCT FROM c.conv_id"""

@@ -7,7 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shelfcast.llm import bpe, chat, exact_dedup, hashing_index, language_id, license_scan, merkle, mixing, near_dedup, oracles, quality, url_filter, warc
+from shelfcast.llm import (
+    bpe,
+    chat,
+    exact_dedup,
+    hashing_index,
+    language_id,
+    license_scan,
+    merkle,
+    mixing,
+    near_dedup,
+    oracles,
+    quality,
+    turn_repair,
+    url_filter,
+    warc,
+)
+from shelfcast.operators.joins import null_safe_join
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -211,3 +227,31 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
         where=F.crc32(F.col("doc_id").cast("string")) % 3 == 0,
     )
     return made.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Conversations with a fault in a quarter of their rows, by crc32 of conversation and turn."""
+    draw = F.crc32(F.concat(F.coalesce(F.col("conv_id").cast("string"), F.lit(" ")), F.lit(":"), F.coalesce(F.col("turn").cast("string"), F.lit(" ")))) % 20
+    rows = conversations.select(
+        "conv_id", "turn", F.coalesce("role", F.lit(" ")).alias("role"), F.coalesce("text", F.lit(" ")).alias("text"), draw.alias("draw")
+    ).where("draw <> 0")
+    text = F.when(F.col("draw") == 1, "").when(F.col("draw") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    times = F.explode(F.when(F.col("draw") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    return rows.select("conv_id", "turn", F.when(F.col("draw") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"), times.alias("copy")).drop("copy")
+
+
+@query(oracles.repair_sql())
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract has one text of a whole conversation hashed, so the repaired turns of one meet there."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    summary, repaired = turn_repair.repair(damaged(rows))
+    turns = F.sort_array(F.collect_list(F.struct("seg", "idx", "role", "text")))
+    whole = F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit(":"), t.text)), "\n")
+    texts = repaired.groupBy("conv_id").agg(turns.alias("turns")).select("conv_id", F.sha2(whole.cast("binary"), 256).alias("repaired_sha256"))
+    every = rows.select("conv_id").distinct()
+    found = null_safe_join(null_safe_join(every, summary, ["conv_id"]), texts, ["conv_id"])
+    numbers = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return found.select(
+        "conv_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in numbers], F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"),
+    )

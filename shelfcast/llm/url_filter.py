@@ -14,12 +14,12 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfcast.llm.spread import salted_left_join
 from shelfcast.sources.storage import stage
 
 MAX_BLOCKS = 1 << 18  # of 256 bits: the broadcast filter has at most 8 MB of bits, however long the list
 KEYS_PER_BLOCK = 16  # 16 bits for a key, a false positive in about a thousand, until the filter is full
 MAX_RULES = 1000  # rules are part of the plan; longer lists belong in the filter
-SALTS = 16  # parts that the pages of one listed URL are dealt to
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # parameters that say where a visitor came from, not which page is shown
@@ -127,10 +127,9 @@ def judge_urls(
     blocks = blocks_for(keys, most_blocks)
     probed = possible_hits(rows, "_key", build_filter(keys, "_key", blocks), blocks)
     settled = probed.where("not _possible").select(*own, "host", "path", "_found", F.lit(False).alias("_listed"))
-    # a listed URL may be that of a third of all pages: its rows are dealt to SALTS parts, each with a copy of the entry
-    dealt = F.pmod(F.xxhash64("_key", F.spark_partition_id()), F.lit(SALTS)).cast("int")
-    entries = keys.select("_key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"), F.lit(True).alias("_is"))
-    checked = probed.where("_possible").withColumn("_salt", dealt).join(entries, ["_key", "_salt"], "left")
+    # a listed URL may be that of a third of all pages
+    dealt = F.xxhash64("_key", F.spark_partition_id())
+    checked = salted_left_join(probed.where("_possible"), keys.withColumn("_is", F.lit(True)), ["_key"], dealt)
     checked = checked.select(*own, "host", "path", "_found", F.coalesce("_is", F.lit(False)).alias("_listed"))
     return settled.unionByName(checked).select(
         *own, "host", "path", F.col("_found.rule").alias("rule"),

@@ -7,7 +7,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from shelfcast.llm import merkle, url_filter
+from shelfcast.llm import merkle, turn_repair, url_filter
 
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
@@ -164,3 +164,122 @@ def test_versions_share_untouched_nodes():
         assert merkle.copied_path(h("new"), lefts, rights) == [x[at // 8 ** (i + 1)] for i, x in enumerate(merkle.levels_above(changed, 100)[1:])]
     with pytest.raises(ValueError):
         merkle.manifest(None, order="root")
+
+
+def every_way(codes, most_inserts=3):
+    """The least (cost, audit, turns) by trying all edits of a short conversation."""
+    best = []
+
+    def go(i, last, inserts, cost, audit, turns):
+        if i == len(codes) and last in ("", "a"):
+            best.append((cost, audit, turns))
+        then = "a" if last == "u" else "u"
+        if inserts < most_inserts:
+            go(i, then, inserts + 1, cost + 5, audit + "I", [*turns, (then, None)])
+        if i < len(codes):
+            go(i + 1, last, inserts, cost + 2, audit + "D", turns)
+            c = codes[i].lower()
+            late = 5 if codes[i] != c else 0
+            if c != "d":
+                go(i + 1, then, inserts, cost + late + (c != then), audit + ("K" if c == then else "R"), [*turns, (then, i)])
+                if c == "s" and not last:
+                    go(i + 1, "s", inserts, cost + late, audit + "K", [*turns, ("s", i)])
+
+    go(0, "", 0, 0, "", [])
+    return min(best, key=lambda x: x[:2])
+
+
+def by_tables(codes):
+    """The least (cost, audit), place by place and state by state."""
+    v = {"": (0, "")}
+    for c in [*codes, None]:
+        for _ in range(3):
+            for s, (cost, audit) in list(v.items()):
+                then = "a" if s == "u" else "u"
+                v[then] = min(v.get(then, (10**9, "")), (cost + 5, audit + "I"))
+        if c is None:
+            return min(v[s] for s in ("", "a") if s in v)
+        after = {}
+        for s, (cost, audit) in v.items():
+            then, low = "a" if s == "u" else "u", c.lower()
+            late = 5 if c != low else 0
+            ways = [(s, cost + 2, "D")]
+            if low != "d":
+                ways.append((then, cost + late + (low != then), "K" if low == then else "R"))
+                if low == "s" and not s:
+                    ways.append(("s", cost + late, "K"))
+            for to, spent, edit in ways:
+                after[to] = min(after.get(to, (10**9, "")), (spent, audit + edit))
+        v = after
+
+
+def test_search_finds_what_trying_everything_finds():
+    draw = random.Random(3)
+    for _ in range(400):
+        codes = "".join(draw.choice("suaxSUAXd") for _ in range(draw.randrange(7)))
+        cost, audit, turns = every_way(codes)
+        assert turn_repair.search(codes, turn_repair.START, turn_repair.ENDS) == (cost, audit)
+        made = turn_repair.turns_of(codes, turn_repair.START, audit)
+        assert [(m["row"], (m["role"] or codes[m["row"]].lower())[0]) for m in made] == [(row, role) for role, row in turns]
+
+
+@pytest.mark.parametrize("letters", ["u", "a", "ua", "uuuaU", "suaxSUAXd", "UA", "d", "xa", "uaUd"])
+def test_long_conversations_in_segments(letters):
+    draw = random.Random(11)
+    for n in (64, 65, 200, 333):
+        codes = "".join(draw.choice(letters) for _ in range(n))
+        want = by_tables(codes)
+        parts = [turn_repair.solutions(codes[i : i + 64], False) for i in range(0, n, 64)]
+        cost, chain = turn_repair.cheapest_chain(parts)
+        assert (cost, "".join(x["audit"] for x in chain)) == want
+        if n == 64:
+            assert turn_repair.search(codes, turn_repair.START, turn_repair.ENDS) == want
+
+
+def code_of(role, text, seen):
+    stripped = text.strip(turn_repair.BLANKS)
+    fault = "blank" if not stripped else "duplicate" if (role, text) in seen else "truncated" if stripped[-1] not in ".!?" else None
+    seen.add((role, text))
+    initial = role[:1] if role[:1] in tuple("sua") else "x"
+    return fault, "d" if fault in ("blank", "duplicate") else initial.upper() if fault else initial
+
+
+def test_repair_of_whole_tables(spark):
+    draw = random.Random(17)
+    said = ["Hi.", "Hi", " \t", "", None, "No?\n", "Wait! ", "e" * 40_000 + ".", "…", " "]
+    rows = []
+    for conv, n in [(None, 5), (1, 1), (2, 0), (3, 300), *[(c, draw.randrange(1, 9)) for c in range(10, 60)]]:
+        rows += [(conv, draw.choice([None, draw.randrange(9), t]), draw.choice(["user", "assistant", "system", None, "", "tool", "ufo"]), draw.choice([*said, f"Line {draw.randrange(90)}."]), 1) for t in range(n)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, audit int").repartition(5)
+    summary, repaired = turn_repair.repair(frame)
+    got = {r.conv_id: r for r in summary.collect()}
+    turns = {}
+    for r in sorted(repaired.collect(), key=lambda r: (r.seg, r.idx)):
+        turns.setdefault(r.conv_id, []).append((r.role, r.text))
+    convs = {}
+    for c, t, role, text, _ in rows:
+        convs.setdefault(c, []).append((t is not None, t or 0, role or "", hashlib.sha256((text or "").encode()).digest(), text or ""))
+    assert set(got) == set(convs)
+    for c, own in convs.items():
+        own.sort()
+        seen, faults, codes = set(), [], ""
+        for _, _, role, _, text in own:
+            fault, code = code_of(role, text, seen)
+            faults.append(fault)
+            codes += code
+        numbers = [t for there, t, *_ in own if there]
+        r = got[c]
+        assert r.gaps == (max(numbers) - min(numbers) + 1 - len(set(numbers)) if numbers else 0)
+        assert (r.blank, r.duplicate, r.truncated) == tuple(faults.count(x) for x in ("blank", "duplicate", "truncated"))
+        assert r.illegal == sum((x[2][:1] + y[2][:1]) not in ("su", "ua", "au") for x, y in zip(own, own[1:], strict=False))
+        assert (r.cost, r.audit) == by_tables(codes)
+        want = []
+        for m in turn_repair.turns_of(codes, turn_repair.START, r.audit):
+            want.append((m["role"] or own[m["row"]][2], "" if m["row"] is None else own[m["row"]][4]))
+        assert turns.get(c, []) == want
+
+
+def test_repair_of_an_empty_table(spark):
+    summary, repaired = turn_repair.repair(spark.createDataFrame([], "conv_id string, turn int, role string, text string"))
+    assert summary.count() == repaired.count() == 0
+    assert summary.columns == ["conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit"]
