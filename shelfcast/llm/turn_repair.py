@@ -2,8 +2,8 @@
 
 A conversation is a row of roles and faults. Rows may be kept, given another role, deleted, and empty turns
 inserted, each at a cost, until the roles read `system? (user assistant)+`, or nothing is left. The search
-keeps an explicit stack. Its bound is the cost so far and, for what follows, the least that each row must
-cost by itself; the incumbent is the best complete (cost, audit); a table for each place and state holds the
+keeps an explicit stack. Its bound is the cost so far and the least that the rows that follow cost if the
+roles may end anywhere; the incumbent is the best complete (cost, audit); a table for each place and state holds the
 best (cost, audit) that has come there, and a prefix that is no better is dropped. What survives is proved
 optimal. Of equal costs the ASCII-least audit wins; two prefixes of one place, state and cost are never each
 other's beginnings, so the better prefix stays better whatever follows.
@@ -37,28 +37,37 @@ BLANKS = " \t\n\x0b\x0c\r"
 LEGAL = ("su", "ua", "au")
 
 
-def bounds(codes: str) -> tuple[list[int], list[int]]:
-    """For each place, the least that the rows from there on cost when no role stands yet, and when one does.
+@lru_cache(maxsize=64)
+def bounds(codes: str) -> list[tuple[int, ...]]:
+    """For each place and each state, the least that the rows from there on cost if the last role may be any.
     Codes: s, u, a, x for the initial of the role (x: another), upper case if truncated, d if it must go."""
-    started = [0]
+    rest = [(0, 0, 0, 0)]
     for c in reversed(codes):
-        least = 0 if c in "ua" else REROLE if c in "sx" else DELETE
-        started.append(started[-1] + least)
-    started.reverse()
-    # the first row that stays may be a system turn
-    fresh = [b - (REROLE if "s" in codes[i:] else 0) for i, b in enumerate(started)]
-    return fresh, started
+        after, code = rest[-1], c.lower()
+        late = UNFINISHED if c != code else 0
+        row = []
+        for state in STATES:
+            then = ASSISTANT if state == USER else USER
+            least = DELETE + after[state]
+            if code != "d":
+                least = min(least, late + (KEEP if code == _INITIAL[then] else REROLE) + after[then])
+                if code == "s" and state == START:
+                    least = min(least, late + KEEP + after[SYSTEM])
+            row.append(least)
+        ahead = [INSERT + row[ASSISTANT if state == USER else USER] for state in STATES]
+        rest.append(tuple(map(min, row, ahead)))
+    return rest[::-1]
 
 
 def search(codes: str, entry: int, exits: Collection[int]) -> tuple[int, str] | None:
     """The least (cost, audit) of edits that lead from state `entry` over all rows to a state in `exits`."""
-    n, (fresh, started) = len(codes), bounds(codes)
+    n, rest = len(codes), bounds(codes)
     best: dict[tuple[int, int], tuple[int, str]] = {}
     found: tuple[int, str] | None = None
     stack = [(0, entry, 0, "")]
     while stack:
         i, state, cost, audit = stack.pop()
-        least = cost + (fresh if state == START else started)[i]
+        least = cost + rest[i][state]
         if found is not None and (least > found[0] or (least == found[0] and audit > found[1][: len(audit)])):
             continue
         if (i, state) in best and best[i, state] <= (cost, audit):
@@ -79,7 +88,7 @@ def search(codes: str, entry: int, exits: Collection[int]) -> tuple[int, str] |
                     nexts.append((stays + REROLE, i + 1, then, audit + "R"))
                 if code == "s" and state == START:
                     nexts.append((stays + KEEP, i + 1, SYSTEM, audit + "K"))
-        nexts.sort(key=lambda x: (x[0] + (fresh if x[2] == START else started)[x[1]], x[3]), reverse=True)
+        nexts.sort(key=lambda x: (x[0] + rest[x[1]][x[2]], x[3]), reverse=True)
         stack += [(place, to, spent, said) for spent, place, to, said in nexts]
     return found
 
