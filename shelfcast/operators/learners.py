@@ -4,19 +4,29 @@ from __future__ import annotations
 
 import json
 import time
+import uuid
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 from typing import Protocol
 
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.ml.regression import (
+    DecisionTreeRegressionModel,
+    GBTRegressionModel,
+    RandomForestRegressionModel,
+    RandomForestRegressor,
+)
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfcast.functions.scalar import clip
 from shelfcast.operators.metrics import aggregate, forecaster_metrics
+from shelfcast.sources.storage import stage
 
 FEATURES = "_features"
+LABEL = "_label"
 
 
 class Forecaster(Protocol):
@@ -35,6 +45,12 @@ class TrainedForecaster:
     target: str
     metrics: dict[str, dict[str, float]] = field(default_factory=dict)
     training_seconds: float = 0.0
+    curve: list[float] = field(default_factory=list)  # squared error on the validation rows of 0, 1, ... trees
+
+    @property
+    def trees(self) -> int:
+        """Trees beyond the constant that boosting starts from."""
+        return len(self.model.stages[-1].treeWeights) - (len(self.curve) > 0)
 
     def predict(self, df: DataFrame, out: str = "prediction") -> DataFrame:
         """Add the forecast, floored at 0."""
@@ -58,14 +74,14 @@ class TrainedForecaster:
         """The model, and one row with what else belongs to it."""
         spark = SparkSession.getActiveSession()
         self.model.write().overwrite().save(f"{folder}/model")
-        about = json.dumps([self.name, self.features, self.target, self.metrics, self.training_seconds])
+        about = json.dumps([self.name, self.features, self.target, self.metrics, self.training_seconds, self.curve])
         spark.createDataFrame([(about,)], "about string").write.mode("overwrite").parquet(f"{folder}/about")
 
     @staticmethod
     def load(folder: str) -> TrainedForecaster:
         about = SparkSession.getActiveSession().read.parquet(f"{folder}/about").first()["about"]
-        name, features, target, metrics, seconds = json.loads(about)
-        return TrainedForecaster(name, PipelineModel.load(f"{folder}/model"), features, target, metrics, seconds)
+        name, features, target, metrics, seconds, curve = json.loads(about)
+        return TrainedForecaster(name, PipelineModel.load(f"{folder}/model"), features, target, metrics, seconds, curve)
 
 
 def _assembled(features: list[str]) -> VectorAssembler:
@@ -85,17 +101,44 @@ def _finish(
     features: list[str],
     target: str,
     started: float,
+    curve: list[float] | None = None,
 ) -> TrainedForecaster:
     trained = TrainedForecaster(name, PipelineModel(stages), features, target)
     seconds = time.time() - started
     scores = {"train": _score(trained, train), "validation": _score(trained, validation)}
-    return TrainedForecaster(name, trained.model, features, target, scores, seconds)
+    return TrainedForecaster(name, trained.model, features, target, scores, seconds, curve or [])
+
+
+def _ensemble(java_class: str, python_class: type, trees: list, *rest: object):
+    """A library model made of fitted trees."""
+    sc = SparkSession.getActiveSession().sparkContext
+    kind = sc._jvm.org.apache.spark.ml.regression
+    array = sc._gateway.new_array(kind.DecisionTreeRegressionModel, len(trees))
+    for i, tree in enumerate(trees):
+        array[i] = tree
+    made = python_class(getattr(kind, java_class)(f"{java_class}_{uuid.uuid4().hex[:12]}", array, *rest))
+    if java_class == "RandomForestRegressionModel":  # else it says 20, and what it has written cannot be read
+        made._java_obj.set(made._java_obj.numTrees(), len(trees))
+    return made.setFeaturesCol(FEATURES).setPredictionCol("_raw")
+
+
+def _weights(values: list[float]):
+    sc = SparkSession.getActiveSession().sparkContext
+    array = sc._gateway.new_array(sc._jvm.double, len(values))
+    for i, v in enumerate(values):
+        array[i] = v
+    return array
 
 
 @dataclass(frozen=True)
 class BoostedTrees:
-    """Gradient-boosted trees; training stops when the error on the validation rows improves by less
-    than `least_gain` of itself."""
+    """Gradient-boosted trees on squared error, from the mean, every tree shrunk by the learning rate.
+
+    The error on the validation rows is taken for every number of trees. Training stops when `patience` more
+    trees have not lowered it, and the model keeps the number of trees with the lowest error. Without
+    validation rows all trees are grown and kept. Rows without a target are left out. Every `chunk` trees the
+    running forecasts are stored, so that the plan does not grow with the number of trees.
+    """
 
     name: str = "xgboost"
     trees: int = 1000
@@ -104,7 +147,8 @@ class BoostedTrees:
     row_share: float = 0.8
     feature_share: float = 0.8
     min_rows_per_leaf: int = 5
-    least_gain: float = 0.01
+    patience: int = 50
+    chunk: int = 25
     seed: int = 42
 
     def train(
@@ -112,36 +156,66 @@ class BoostedTrees:
     ) -> TrainedForecaster:
         started = time.time()
         assembler = _assembled(features)
-        both = train.select(*features, target, F.lit(False).alias("_held_out")).unionByName(
-            validation.select(*features, target, F.lit(True).alias("_held_out"))
-        )
-        gbt = GBTRegressor(
-            featuresCol=FEATURES,
-            labelCol=target,
-            predictionCol="_raw",
-            maxIter=self.trees,
-            maxDepth=self.depth,
-            stepSize=self.learning_rate,
-            subsamplingRate=self.row_share,
-            featureSubsetStrategy=str(self.feature_share),
-            minInstancesPerNode=self.min_rows_per_leaf,
-            validationIndicatorCol="_held_out",
-            validationTol=self.least_gain,
-            seed=self.seed,
-        )
-        fitted = gbt.fit(assembler.transform(both).select(FEATURES, target, "_held_out"))
-        return _finish(self.name, [assembler, fitted], train, validation, features, target, started)
+
+        def prepared(df: DataFrame) -> DataFrame:
+            rows = df.where(F.col(target).isNotNull()).select(*features, F.col(target).cast("double").alias(LABEL))
+            return assembler.transform(rows).select(FEATURES, LABEL)
+
+        def fitted(rows: DataFrame, label: str, **params):
+            forest = RandomForestRegressor(featuresCol=FEATURES, labelCol=label, numTrees=1, bootstrap=False, **params)
+            return DecisionTreeRegressionModel(forest.fit(rows)._java_obj.trees()[0]).setFeaturesCol(FEATURES).setPredictionCol("_step")
+
+        fit, held = prepared(train), prepared(validation)
+        grown = [fitted(fit, LABEL, maxDepth=0, subsamplingRate=1.0)]  # one leaf: the mean
+        fit, held = (grown[0].transform(x).withColumnRenamed("_step", "_sum") for x in (fit, held))
+        curve: list[float] = []
+        while True:
+            fit, held = stage(fit, "boosting"), stage(held, "boosting")
+            fit.persist(StorageLevel.MEMORY_AND_DISK)
+            if not curve:
+                curve.append(held.agg(F.avg(self._squared("_sum"))).first()[0])
+            kept, sums = fit, ["_sum"]
+            for _ in range(min(self.chunk, self.trees - len(grown) + 1)):
+                rows = fit.withColumn("_rest", F.col(LABEL) - F.col("_sum")).select(FEATURES, "_rest")
+                tree = fitted(
+                    rows, "_rest", maxDepth=self.depth, subsamplingRate=self.row_share, featureSubsetStrategy=str(self.feature_share),
+                    minInstancesPerNode=self.min_rows_per_leaf, seed=self.seed + len(grown),
+                )
+                grown.append(tree)
+                step = F.col("_sum") + self.learning_rate * F.col("_step")
+                fit = tree.transform(fit).withColumn("_sum", step).drop("_step")
+                before, now = sums[-1], f"_sum{len(grown)}"
+                held = tree.transform(held).withColumn(now, F.col(before) + self.learning_rate * F.col("_step")).drop("_step")
+                sums.append(now)
+            errors = held.agg(*[F.avg(self._squared(c)).alias(c) for c in sums[1:]]).first()
+            curve += list(errors or [])
+            kept.unpersist()
+            held = held.select(FEATURES, LABEL, F.col(sums[-1]).alias("_sum"))
+            scored = curve[0] is not None
+            best = min(range(len(curve)), key=lambda i: curve[i]) if scored else len(curve) - 1
+            if len(grown) > self.trees or (scored and len(curve) - 1 - best >= self.patience):
+                break
+        trees = [t._java_obj for t in grown[: best + 1]]
+        model = _ensemble("GBTRegressionModel", GBTRegressionModel, trees, _weights([1.0] + [self.learning_rate] * best), len(features))
+        return _finish(self.name, [assembler, model], train, validation, features, target, started, curve if scored else [])
+
+    @staticmethod
+    def _squared(column: str):
+        return (F.col(LABEL) - F.col(column)) * (F.col(LABEL) - F.col(column))
 
 
 @dataclass(frozen=True)
 class RandomForest:
-    """Random forest over all training rows."""
+    """Random forest over all training rows. A node of fewer than twice `min_rows_per_leaf` rows is never
+    split. The trees are grown in `parts` forests at once, as trees do not wait for each other, and put
+    together; node ids are cached and, in the shared folder, checkpointed. Rows without a target are left out."""
 
     name: str = "random_forest"
     trees: int = 500
     depth: int = 15
     min_rows_per_leaf: int = 5
     features_per_split: str = "sqrt"
+    parts: int = 4
     seed: int = 42
 
     def train(
@@ -149,21 +223,40 @@ class RandomForest:
     ) -> TrainedForecaster:
         started = time.time()
         assembler = _assembled(features)
-        forest = RandomForestRegressor(
-            featuresCol=FEATURES,
-            labelCol=target,
-            predictionCol="_raw",
-            numTrees=self.trees,
-            maxDepth=self.depth,
-            minInstancesPerNode=self.min_rows_per_leaf,
-            featureSubsetStrategy=self.features_per_split,
-            seed=self.seed,
-        )
-        fitted = forest.fit(assembler.transform(train.select(*features, target)))
-        return _finish(self.name, [assembler, fitted], train, validation, features, target, started)
+        rows = assembler.transform(train.where(F.col(target).isNotNull()).select(*features, target)).select(FEATURES, target)
+        rows.persist(StorageLevel.MEMORY_AND_DISK)
+
+        def grow(part: int) -> list:
+            forest = RandomForestRegressor(
+                featuresCol=FEATURES,
+                labelCol=target,
+                numTrees=len(range(part, self.trees, self.parts)),
+                maxDepth=self.depth,
+                minInstancesPerNode=self.min_rows_per_leaf,
+                featureSubsetStrategy=self.features_per_split,
+                cacheNodeIds=True,
+                checkpointInterval=10,
+                seed=self.seed + part,
+            )
+            return list(forest.fit(rows)._java_obj.trees())
+
+        parts = range(min(self.parts, self.trees))
+        with ThreadPool(len(parts)) as pool:
+            grown = pool.map(inheritable_thread_target(train.sparkSession)(grow), parts)
+        rows.unpersist()
+        model = _ensemble("RandomForestRegressionModel", RandomForestRegressionModel, [t for part in grown for t in part], len(features))
+        return _finish(self.name, [assembler, model], train, validation, features, target, started)
 
 
 def split_by_date(df: DataFrame, holdout_days: int) -> tuple[DataFrame, DataFrame]:
     """Rows before and within the last `holdout_days` days."""
     cutoff = F.date_sub(df.agg(F.max("date")).scalar(), holdout_days)
     return df.where(F.col("date") <= cutoff), df.where(F.col("date") > cutoff)
+
+
+def split_three_ways(df: DataFrame, stop_days: int, holdout_days: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows to train on, rows of the `stop_days` days after them to stop on, and the last `holdout_days` days
+    to judge on."""
+    earlier, held_out = split_by_date(df, holdout_days)
+    cutoff = F.date_sub(df.agg(F.max("date")).scalar(), holdout_days + stop_days)
+    return earlier.where(F.col("date") <= cutoff), earlier.where(F.col("date") > cutoff), held_out

@@ -1,22 +1,78 @@
-"""Model versions as rows of a metrics table: (version_nr, version, model, metric, value, ...)."""
+"""Model versions: commits that name the metrics, models and parameters that belong together.
+
+A version's metrics and models are written first, under an id of their own. The version comes to be when a
+commit file `v<number>` is created, which never overwrites one that is there: a session that finds the
+number taken takes the next. Readers go by the commits, so they never see half a version, nor the metrics of
+one version beside the models of another.
+"""
 
 from __future__ import annotations
 
+import hashlib
+import json
+import uuid
 from collections.abc import Mapping
+from dataclasses import dataclass
+from datetime import UTC, datetime
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfcast.operators.learners import TrainedForecaster
+from shelfcast.operators.seasonal import TrainedSeasonal
+from shelfcast.sources.commits import claim, names_in, read_text
 from shelfcast.sources.readers import read_table_or_empty
 
+_METRICS = "model string, metric string, value double"
 SCHEMA = (
-    "version_nr int, version string, model string, metric string, value double, "
-    "ensemble_rmse double, description string, created_at timestamp"
+    "version_nr int, version string, model string, metric string, value double, ensemble_rmse double, "
+    "description string, created_at timestamp, parameters_digest string, models array<string>"
 )
+_KINDS = {"trees": TrainedForecaster, "seasonal": TrainedSeasonal}
+
+
+@dataclass(frozen=True)
+class Version:
+    """What one commit holds."""
+
+    version: str
+    description: str
+    parameters: dict[str, Any]
+    metrics: DataFrame
+    models: dict[str, Any]
+
+
+def _commit_number(name: str) -> int:
+    return int(name.removeprefix("v"))
+
+
+def _commits(spark: SparkSession, path: str) -> list[dict]:
+    """The commits in order: a few kilobytes each, one per version."""
+    names = sorted(names_in(spark, f"{path}/commits"), key=_commit_number)
+    return [json.loads(read_text(spark, f"{path}/commits/{n}")) | {"version_nr": _commit_number(n), "version": n} for n in names]
 
 
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
-    return read_table_or_empty(spark, path, SCHEMA)
+    """The metrics of all versions, one row per version, model and metric. Metrics without a commit are not
+    read."""
+    found = _commits(spark, path)
+    if not found:
+        return spark.createDataFrame([], SCHEMA)
+    rows = [
+        (c["id"], c["version_nr"], c["version"], c["ensemble_rmse"], c["description"], datetime.fromisoformat(c["created_at"]), c["parameters_digest"], sorted(c["models"]))
+        for c in found
+    ]
+    known = spark.createDataFrame(
+        rows,
+        "id string, version_nr int, version string, ensemble_rmse double, description string, created_at timestamp, parameters_digest string, models array<string>",
+    )
+    metrics = read_table_or_empty(spark, f"{path}/metrics", f"{_METRICS}, id string")
+    return metrics.join(F.broadcast(known), "id").select(*spark.createDataFrame([], SCHEMA).columns)
+
+
+def parameters_digest(parameters: Mapping[str, Any]) -> str:
+    return hashlib.sha256(json.dumps(parameters, sort_keys=True, default=str).encode()).hexdigest()
 
 
 def register_version(
@@ -24,29 +80,47 @@ def register_version(
     path: str,
     metrics: Mapping[str, Mapping[str, float]] | DataFrame,
     description: str = "",
+    models: Mapping[str, TrainedForecaster | TrainedSeasonal] | None = None,
+    parameters: Mapping[str, Any] | None = None,
 ) -> str:
-    """Append a version's metrics, rounded to 6 decimals, and return its name. Metrics are a
-    mapping by model or a table (model, metric, value). Trained models are stored by their
-    own writers."""
+    """Add a version and return its name, `v` and a number that no other version has, however many sessions
+    register at once. Metrics, rounded to 6 decimals, are a mapping by model or a table (model, metric,
+    value); models are stored with them."""
     if not isinstance(metrics, DataFrame):
         rows = [(m, k, float(v)) for m, each in metrics.items() for k, v in each.items()]
-        metrics = spark.createDataFrame(rows, "model string, metric string, value double")
-    last = read_registry(spark, path).agg(F.max("version_nr")).first()[0] or 0
-    rmse = metrics.agg(
-        F.max(F.when((F.col("model") == "ensemble") & (F.col("metric") == "rmse"), F.col("value")))
-    ).scalar()
-    version = f"v{last + 1}"
-    metrics.select(
-        F.lit(last + 1).alias("version_nr"),
-        F.lit(version).alias("version"),
-        "model",
-        "metric",
-        F.round("value", 6).alias("value"),
-        rmse.alias("ensemble_rmse"),
-        F.lit(description).alias("description"),
-        F.current_timestamp().alias("created_at"),
-    ).write.mode("append").parquet(path)
-    return version
+        metrics = spark.createDataFrame(rows, _METRICS)
+    own = uuid.uuid4().hex
+    written = metrics.select("model", "metric", F.round("value", 6).alias("value"), F.lit(own).alias("id"))
+    written.write.mode("append").parquet(f"{path}/metrics")
+    kept = read_table_or_empty(spark, f"{path}/metrics", f"{_METRICS}, id string").where(F.col("id") == own)
+    rmse = kept.where((F.col("model") == "ensemble") & (F.col("metric") == "rmse")).agg(F.max("value")).first()[0]
+    kinds = {}
+    for name, model in (models or {}).items():
+        kinds[name] = next(k for k, c in _KINDS.items() if isinstance(model, c))
+        model.save(f"{path}/models/{own}/{name}")
+    commit = {
+        "id": own, "ensemble_rmse": rmse, "description": description, "created_at": datetime.now(UTC).isoformat(), "models": kinds,
+        "parameters": json.loads(json.dumps(dict(parameters or {}), default=str)), "parameters_digest": parameters_digest(parameters or {}),
+    }
+    number = max([_commit_number(n) for n in names_in(spark, f"{path}/commits")], default=0) + 1
+    while not claim(spark, f"{path}/commits/v{number}", json.dumps(commit)):
+        number += 1
+    return f"v{number}"
+
+
+def load_version(spark: SparkSession, path: str, version: str | None = None, best: bool = False) -> Version:
+    """A version by name, the one of lowest ensemble RMSE (`best`; the first of equals, and the latest if none
+    has one), or the latest: metrics, parameters and models of that one commit."""
+    found = _commits(spark, path)
+    if version is not None:
+        found = [c for c in found if c["version"] == version]
+    if not found:
+        raise LookupError(f"no version {version}" if version else "no versions yet")
+    scored = [c for c in found if c["ensemble_rmse"] is not None]
+    commit = min(scored, key=lambda c: (c["ensemble_rmse"], c["version_nr"])) if best and scored else found[-1]
+    metrics = read_table_or_empty(spark, f"{path}/metrics", f"{_METRICS}, id string").where(F.col("id") == commit["id"]).drop("id")
+    models = {name: _KINDS[kind].load(f"{path}/models/{commit['id']}/{name}") for name, kind in commit["models"].items()}
+    return Version(commit["version"], commit["description"], commit["parameters"], metrics, models)
 
 
 def compare_versions(registry: DataFrame) -> DataFrame:

@@ -31,6 +31,11 @@ def new_path(spark: SparkSession, name: str, kind: str = "tables") -> str:
     return f"{_application_folder(spark)}/{kind}/{uuid.uuid4().hex}/{name}"
 
 
+def model_folder(spark: SparkSession) -> str:
+    """Where trained models are kept for all applications."""
+    return f"{shared_folder(spark)}/shelfcast/models"
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write a table that several later steps read, and read it back. It cuts the lineage, lives
     in the shared folder, so lost executors do not lose it, and gives Spark true sizes."""

@@ -262,7 +262,7 @@ def test_trees_beat_the_naive_forecast(spark):
     train, held_out = ln.split_by_date(stage(built, "features"), 365)
     naive = held_out.agg(F.stddev_pop("sales")).first()[0]
     forest = ln.RandomForest(trees=10, depth=6).train(train, held_out, features)
-    boosted = ln.BoostedTrees(trees=5, depth=4, learning_rate=0.3).train(train, held_out, features)
+    boosted = ln.BoostedTrees(trees=5, depth=4, learning_rate=0.3, chunk=2).train(train, held_out, features)
     for model in (forest, boosted):
         assert model.metrics["validation"]["rmse"] < naive
         assert model.predict(held_out).agg(F.min("prediction")).first()[0] >= 0
@@ -281,6 +281,13 @@ def test_versions(spark):
     assert [r.version for r in ranked] == ["v2", "v3", "v1", "v4"] and ranked[3].n_models == 1
 
 
+def test_a_row_of_an_unknown_series_is_not_fitted(spark):
+    days = spark.createDataFrame([(D0 + dt.timedelta(days=i), s, float(s)) for i in range(3) for s in (1, 2)], "date date, store_nbr int, sales double")
+    model = se.SeasonalForecaster(keys=("store_nbr",)).train(days.where("store_nbr = 1"), days, [])
+    got = {(r.store_nbr, r.fitted, r.prediction) for r in model.predict(days).collect()}
+    assert got == {(1, True, 1.0), (2, False, 1.0)}
+
+
 def test_registered_trees_are_the_class_defaults():
     from checks.learned import SEED_OF
     from shelfcast.operators.learners import BoostedTrees, RandomForest
@@ -288,3 +295,130 @@ def test_registered_trees_are_the_class_defaults():
     assert SEED_OF == {"xgboost": BoostedTrees(), "rf": RandomForest()}
     assert (SEED_OF["xgboost"].trees, SEED_OF["xgboost"].learning_rate) == (1000, 0.05)
     assert (SEED_OF["rf"].trees, SEED_OF["rf"].depth) == (500, 15)
+
+
+def _waves(spark, n=1500):
+    rows = [(float(i % 97), float(i % 31), 40 + 30 * math.sin((i % 97) / 15) + (i % 31) / 5 + 3 * math.cos(i * 7.3)) for i in range(n)]
+    return spark.createDataFrame(rows, "a double, b double, sales double").withColumn("part", F.monotonically_increasing_id() % 3)
+
+
+def test_boosting_goes_on_while_it_gains_and_is_cut_where_the_error_is_least(spark, tmp_path):
+    rows = stage(_waves(spark, 600).coalesce(1), "waves")
+    train, held = rows.where("part < 2"), rows.where("part = 2")
+    learner = ln.BoostedTrees(trees=110, depth=2, learning_rate=0.03, patience=20, chunk=55, row_share=1.0, feature_share=1.0)
+    model = learner.train(train, held, ["a", "b"])
+    assert model.trees > 100 and model.curve[model.trees] == min(model.curve)
+    own = model.predict(held, "p").agg(F.avg((F.col("sales") - F.col("p")) ** 2)).first()[0]
+    assert own == pytest.approx(model.curve[model.trees])  # no forecast is below 0 here
+    # the curve is that of the library's model cut after every tree
+    from pyspark.ml import PipelineModel
+
+    assembled = PipelineModel(model.model.stages[:1]).transform(held).withColumnRenamed("sales", "label")
+    assert model.model.stages[-1].evaluateEachIteration(assembled, "squared") == pytest.approx(model.curve[: model.trees + 1])
+    model.save(str(tmp_path / "m"))
+    again = ln.TrainedForecaster.load(str(tmp_path / "m"))
+    assert (again.trees, again.curve) == (model.trees, model.curve)
+    assert again.predict(model.predict(held, "x"), "y").where("x <> y").count() == 0
+
+
+def test_boosting_stops_after_its_patience(spark):
+    noise = spark.range(900).selectExpr("double(id % 7) as a", "double(pmod(xxhash64(id), 100)) as sales", "id % 3 as part")
+    rows = stage(noise, "noise")
+    model = ln.BoostedTrees(trees=400, depth=5, learning_rate=0.3, patience=6, chunk=5).train(rows.where("part < 2"), rows.where("part = 2"), ["a"])
+    assert len(model.curve) - 1 - model.trees >= 6 and len(model.curve) < 60
+    none = ln.BoostedTrees(trees=4, depth=2, chunk=3).train(rows, rows.limit(0), ["a"])
+    assert none.trees == 4 or len(none.model.stages[-1].treeWeights) == 5
+
+
+def test_no_feature_knows_the_sales_of_its_row(spark):
+    from checks.learned import FEATURE_NAMES, LEFT_OUT
+    from shelfcast.plans.features import build_features
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    fact = stage(t.fact, "fact")
+    last = fact.agg(F.max("date")).first()[0]
+    other = stage(fact.withColumn("sales", F.when(F.col("date") == last, F.col("sales") + 17).otherwise(F.col("sales"))), "fact")
+    names = [c for c in FEATURE_NAMES if c not in LEFT_OUT]
+    keys = ["date", "store_nbr", "family"]
+    one, two = (sorted(map(str, stage(build_features(x).select(*keys, *names), "features").where(F.col("date") == last).collect())) for x in (fact, other))
+    assert one and one == two
+    assert "is_zero_sales" in LEFT_OUT
+
+
+def test_a_stored_model_is_trained_once_and_told_apart(spark, tmp_path, monkeypatch):
+    from shelfcast.operators import model_store as ms
+
+    rows = stage(_waves(spark, 300).select("a", "b", F.when(F.col("a") > 5, F.col("sales")).alias("sales")), "waves")
+    shuffled = rows.repartition(7)
+    assert ms.fingerprint(rows, ["a", "b", "sales"]) == ms.fingerprint(shuffled, ["a", "b", "sales"])
+    assert ms.fingerprint(rows, ["a", "b", "sales"]) != ms.fingerprint(rows.unionByName(rows.limit(1)), ["a", "b", "sales"])
+    nulls = spark.createDataFrame([(None, 1), (1, None)], "a int, b int")
+    assert ms.fingerprint(nulls.limit(1), ["a", "b"]) != ms.fingerprint(nulls.where("a = 1"), ["a", "b"])
+    forest, calls = ln.RandomForest(trees=7, depth=3, parts=3), []
+    train = ln.RandomForest.train
+    monkeypatch.setattr(ln.RandomForest, "train", lambda self, *a: calls.append(1) or train(self, *a))
+    folder = str(tmp_path / "store")
+    first = ms.train_once(folder, forest, rows, rows, ["a", "b"])
+    second = ms.train_once(folder, forest, shuffled, rows, ["a", "b"])
+    assert len(calls) == 1 and first.metrics == second.metrics and len(second.model.stages[-1].trees) == 7
+    assert second.predict(first.predict(rows, "x"), "y").where("not x <=> y").count() == 0
+    ms.train_once(folder, ln.RandomForest(trees=7, depth=2, parts=3), rows, rows, ["a", "b"])
+    ms.train_once(folder, forest, rows, rows, ["b", "a"])
+    assert len(calls) == 3
+    total = first.importance().agg(F.sum("importance")).first()[0]
+    assert total == pytest.approx(1.0)
+
+
+def test_versions_registered_at_once_get_numbers_of_their_own(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    path = new_path(spark, "registry")
+    sessions = [spark.newSession() for _ in range(6)]
+    with ThreadPoolExecutor(6) as pool:
+        names = list(pool.map(lambda i: rg.register_version(sessions[i], path, {"ensemble": {"rmse": 10.0 - i}}, f"session {i}"), range(6)))
+    assert sorted(names) == [f"v{i}" for i in range(1, 7)]
+    for i, name in enumerate(names):
+        held = rg.load_version(spark, path, name)
+        assert (held.description, [r.value for r in held.metrics.collect()]) == (f"session {i}", [10.0 - i])
+    # metrics that were written but never committed are not there
+    spark.createDataFrame([("rf", "rmse", 0.5, "lost")], "model string, metric string, value double, id string").write.mode("append").parquet(f"{path}/metrics")
+    assert rg.read_registry(spark, path).count() == 6
+    with pytest.raises(LookupError):
+        rg.load_version(spark, path, "v7")
+    with pytest.raises(LookupError):
+        rg.load_version(spark, new_path(spark, "registry"))
+
+
+def test_a_version_brings_its_models(spark):
+    rows = stage(_waves(spark, 300), "waves")
+    path, keys = new_path(spark, "registry"), ("store_nbr",)
+    days = spark.createDataFrame([(D0 + dt.timedelta(days=i), 1, float(5 + i % 7)) for i in range(90)], "date date, store_nbr int, sales double")
+    seasonal = se.SeasonalForecaster(keys=keys).train(days, days, [], holidays=days.select("date").limit(3))
+    forests = [ln.RandomForest(trees=3, depth=d, parts=2).train(rows, rows, ["a", "b"]) for d in (1, 4)]
+    for i, forest in enumerate(forests):
+        rg.register_version(spark, path, {"ensemble": {"rmse": 2.0 - i}}, models={"rf": forest, "prophet": seasonal}, parameters={"depth": forest.name, "i": i})
+    best = rg.load_version(spark, path, best=True)
+    assert (best.version, best.parameters["i"], sorted(best.models)) == ("v2", 1, ["prophet", "rf"])
+    assert best.models["rf"].predict(forests[1].predict(rows, "x"), "y").where("x <> y").count() == 0
+    assert best.models["prophet"].predict(seasonal.predict(days, "x").drop("fitted"), "y").where("not x <=> y").count() == 0
+    registry = rg.read_registry(spark, path)
+    assert {tuple(r.models) for r in registry.collect()} == {("prophet", "rf")}
+    assert registry.select("parameters_digest").distinct().count() == 2
+
+
+def test_seasonal_intervals_widen_and_holidays_count(spark):
+    holiday = {D0 + dt.timedelta(days=i) for i in range(9, 900, 30)}
+    rows = [(D0 + dt.timedelta(days=i), (50 + 0.05 * i + 8 * math.sin(i / 40)) * (1.5 if D0 + dt.timedelta(days=i) in holiday else 1) + math.cos(i * 9.1)) for i in range(900)]
+    df = spark.createDataFrame(rows, "date date, y double")
+    days = spark.createDataFrame([(d,) for d in holiday], "date date")
+    train = df.where(F.col("date") < D0 + dt.timedelta(days=700))
+    model = stage(se.fit_seasonal(train, [], days), "model")
+    known = model.first()
+    assert known.seasonal and known.holiday == pytest.approx(0.5, abs=0.1)
+    out = se.forecast_dates(model, df, days).orderBy("date").collect()
+    width = [r.yhat_upper - r.yhat_lower for r in out]
+    assert max(width[:699]) == pytest.approx(min(width[:699]))
+    plain = [w for r, w in zip(out[700:], width[700:], strict=True) if r.date not in holiday]
+    assert plain[-1] > plain[0] > width[0]
+    short = se.fit_seasonal(train.limit(10), [], days, min_days=11).first()
+    assert not short.seasonal and short.bend == 0
