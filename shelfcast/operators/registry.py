@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 from shelfcast.operators.learners import TrainedForecaster
 from shelfcast.operators.seasonal import TrainedSeasonal
 from shelfcast.sources.commits import claim, names_in, read_text
-from shelfcast.sources.readers import read_table_or_empty
 
 _METRICS = "model string, metric string, value double"
 SCHEMA = (
@@ -53,6 +52,11 @@ def _commits(spark: SparkSession, path: str) -> list[dict]:
     return [json.loads(read_text(spark, f"{path}/commits/{n}")) | {"version_nr": _commit_number(n), "version": n} for n in names]
 
 
+def _metrics_of(spark: SparkSession, path: str, ids: list[str]) -> DataFrame:
+    folders = [f"{path}/metrics/id={i}" for i in ids]
+    return spark.read.schema(f"{_METRICS}, id string").option("basePath", f"{path}/metrics").parquet(*folders)
+
+
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
     """The metrics of all versions, one row per version, model and metric. Metrics without a commit are not
     read."""
@@ -67,8 +71,7 @@ def read_registry(spark: SparkSession, path: str) -> DataFrame:
         rows,
         "id string, version_nr int, version string, ensemble_rmse double, description string, created_at timestamp, parameters_digest string, models array<string>",
     )
-    metrics = read_table_or_empty(spark, f"{path}/metrics", f"{_METRICS}, id string")
-    return metrics.join(F.broadcast(known), "id").select(*spark.createDataFrame([], SCHEMA).columns)
+    return _metrics_of(spark, path, [c["id"] for c in found]).join(F.broadcast(known), "id").select(*spark.createDataFrame([], SCHEMA).columns)
 
 
 def parameters_digest(parameters: Mapping[str, Any]) -> str:
@@ -90,10 +93,9 @@ def register_version(
         rows = [(m, k, float(v)) for m, each in metrics.items() for k, v in each.items()]
         metrics = spark.createDataFrame(rows, _METRICS)
     own = uuid.uuid4().hex
-    written = metrics.select("model", "metric", F.round("value", 6).alias("value"), F.lit(own).alias("id"))
-    written.write.mode("append").parquet(f"{path}/metrics")
-    kept = read_table_or_empty(spark, f"{path}/metrics", f"{_METRICS}, id string").where(F.col("id") == own)
-    rmse = kept.where((F.col("model") == "ensemble") & (F.col("metric") == "rmse")).agg(F.max("value")).first()[0]
+    # a folder of its own: jobs that append to one folder at once take each other's unfinished files away
+    metrics.select("model", "metric", F.round("value", 6).alias("value")).write.parquet(f"{path}/metrics/id={own}")
+    rmse = _metrics_of(spark, path, [own]).where((F.col("model") == "ensemble") & (F.col("metric") == "rmse")).agg(F.max("value")).first()[0]
     kinds = {}
     for name, model in (models or {}).items():
         kinds[name] = next(k for k, c in _KINDS.items() if isinstance(model, c))
@@ -118,7 +120,7 @@ def load_version(spark: SparkSession, path: str, version: str | None = None, bes
         raise LookupError(f"no version {version}" if version else "no versions yet")
     scored = [c for c in found if c["ensemble_rmse"] is not None]
     commit = min(scored, key=lambda c: (c["ensemble_rmse"], c["version_nr"])) if best and scored else found[-1]
-    metrics = read_table_or_empty(spark, f"{path}/metrics", f"{_METRICS}, id string").where(F.col("id") == commit["id"]).drop("id")
+    metrics = _metrics_of(spark, path, [commit["id"]]).drop("id")
     models = {name: _KINDS[kind].load(f"{path}/models/{commit['id']}/{name}") for name, kind in commit["models"].items()}
     return Version(commit["version"], commit["description"], commit["parameters"], metrics, models)
 
