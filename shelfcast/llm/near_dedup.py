@@ -17,17 +17,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfcast.llm.batches import small_batches
+from shelfcast.llm.spread import salted_left_join
 from shelfcast.llm.words import SHINGLE, counted, mixed, shingle_hashes, sliced, word_hashes
 from shelfcast.sources.storage import stage
 
 BANDS = 36
 ROWS = 6  # registers of a band; a pair at 0.8 is in no common band with probability (1 - 0.8^6)^36 = 2e-5
 THRESHOLD = 0.8
-BROADCAST_ROWS = 1_000_000  # largest table of ids that is broadcast, after counting it
 BLOCK = 64  # documents of one bucket compared in one task at a time
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -77,8 +77,8 @@ def _weighted(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(_id, _text) to (_id, content, bands): a digest of the words in order, and the hash of each band;
-    null for texts without words."""
+    """(_id, _key, _text) to (_id, _key, content, bands): a digest of the words in order, and the hash of each
+    band; null for texts without words."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in sliced(frames, "_text"):
@@ -97,12 +97,13 @@ def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
             yield pd.DataFrame(
                 {
                     "_id": frame["_id"].to_numpy(),
+                    "_key": frame["_key"].to_numpy(),
                     "content": [f"{a:016x}{b:016x}" if s else None for a, b, s in zip(*map(np.ndarray.tolist, digest), some, strict=True)],
                     "bands": [x if s else None for x, s in zip(band.view(np.int64), some, strict=True)],
                 }
             )
 
-    return docs.mapInPandas(run, "_id long, content string, bands array<long>")
+    return docs.mapInPandas(run, "_id long, _key binary, content string, bands array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -146,12 +147,6 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
             return label
 
 
-def _sized(table: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """A stored table of one or two integers a row, broadcast if it is counted to be small; a larger one
-    is shuffled, and adaptive execution splits its hot keys."""
-    return F.broadcast(table) if table.count() <= most else table
-
-
 def _ordered(met: DataFrame) -> DataFrame:
     """Distinct pairs (a < b) of the members with their leaders."""
     return met.select(F.least("_id", "leader").alias("a"), F.greatest("_id", "leader").alias("b")).distinct()
@@ -161,7 +156,7 @@ def _open(members: DataFrame, label: DataFrame) -> DataFrame:
     """Members with their label, of buckets whose members are not all in one class."""
     parted = stage(members.join(label, "_id"), "parted")
     split = parted.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-    return stage(parted.join(_sized(stage(split, "split")), "key"), "open")
+    return stage(parted.join(stage(split, "split"), "key"), "open")
 
 
 def _remaining_links(rows: DataFrame, texts: DataFrame, bands: DataFrame, registers: int, threshold: float) -> DataFrame:
@@ -218,7 +213,7 @@ def _remaining_links(rows: DataFrame, texts: DataFrame, bands: DataFrame, regist
         ),
         "main_classes",
     )
-    placed = rows.join(_sized(main), "key")
+    placed = rows.join(main, "key")
     hashed = F.xxhash64("_id")
 
     def dealt(own: str, others: str, i: str, j: str) -> list:
@@ -229,32 +224,42 @@ def _remaining_links(rows: DataFrame, texts: DataFrame, bands: DataFrame, regist
         .unionByName(placed.select("key", "_id", "label", F.lit(False).alias("outside"), *dealt("every", "away", "j", "i")))
     )
     involved = stage(rows.select("_id").distinct(), "open_ids")
-    signed = texts.join(_sized(involved), "_id").mapInPandas(sign, "_id long, _text string, signature binary")
+    signed = texts.join(involved, "_id").mapInPandas(sign, "_id long, _text string, signature binary")
     signed = stage(signed.join(bands, "_id"), "signatures")
     return meets.join(signed, "_id").groupBy("key", "i", "j").applyInPandas(compare, "a long, b long").distinct()
 
 
-def near_duplicates(
+def _text_key(text: Column) -> Column:
+    return F.unhex(F.sha2(text.cast("binary"), 256))
+
+
+def marked_rows(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS
 ) -> DataFrame:
-    """One row per document: the id column, copy_id (the smallest id with the same words in the same
-    order), group_id (the smallest id of its class), group_size and kept.
-
-    Classes are the components of the links between documents of similarity `threshold` or more. Of each
-    class the smallest id is kept. Texts that are null or without words are alone in their class; texts
-    of fewer than five words have one shingle. Rows that repeat an id count as one document per id if
-    their words are equal, else as linked documents; rows without an id take no part and are kept, with
-    null ids. Other columns are ignored; an empty table gives an empty result.
-    """
-    docs = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text"))
-    live = docs.where(F.col("_id").isNotNull())
+    """One row per document: doc_id, _key (a digest of the text), copy_id, group_id, group_size and kept. What
+    is compared and linked are contents, the distinct texts by their words, whatever ids they have."""
+    docs = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text")).withColumn("_key", _text_key(F.col("_text")))
+    live = docs.where("_id is not null and _text is not null")
     with small_batches(docs.sparkSession):
-        sketched = stage(sketch(live.where(F.col("_text").isNotNull()), bands, rows), "sketches").where("content is not null")
-    copies = stage(sketched.groupBy("content").agg(F.min("_id").alias("copy_id"), F.any_value("bands").alias("bands")), "contents")
+        sketched = stage(sketch(live, bands, rows), "sketches")
+    alone = sketched.where("content is null").select("_id", "_key").unionByName(docs.where("_id is null or _text is null").select("_id", "_key"))
+    sketched = sketched.where("content is not null")
+    # of the rows of a content one gives the text that it is compared by
+    first = F.min(F.struct("_id", "_key")).alias("first")
+    contents = sketched.groupBy("content").agg(first, F.any_value("bands").alias("bands"))
+    # a number for each content, fixed as it is stored
+    contents = contents.select(F.monotonically_increasing_id().alias("_id"), "content", F.col("first._id").alias("copy_id"), F.col("first._key").alias("_key"), "bands")
+    contents = stage(contents, "contents")
+    label = _classes(contents, live, threshold, bands, rows)
+    return _with_classes(sketched, alone, contents, label)
+
+
+def _classes(copies: DataFrame, live: DataFrame, threshold: float, bands: int, rows: int) -> DataFrame:
+    """(_id, label) of the contents that share a bucket with others."""
     # one row per distinct content; buckets of one content hold no pair
-    banded = copies.select(F.col("copy_id").alias("_id"), F.explode("bands").alias("key"))
+    banded = copies.select("_id", F.explode("bands").alias("key"))
     shared = stage(banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
-    members = stage(banded.join(_sized(shared), "key"), "members")
+    members = stage(banded.join(shared, "key"), "members")
     # first the member of each bucket that meets most others is compared with all of it: what copies are
     # made from is nearer to them than they are to each other
     degree = stage(members.groupBy("_id").agg(F.sum("n").alias("degree")), "degrees")
@@ -262,15 +267,16 @@ def near_duplicates(
     hub = F.min(F.struct((-F.col("degree")).alias("d"), "_id"))["_id"].alias("leader")
     leaders = stage(members.join(degree, "_id").groupBy("key").agg(hub), "leaders")
     # of its leaders, each member first meets the one with most others around it
-    led = stage(members.join(_sized(leaders), "key").where("_id <> leader").select("_id", "leader").distinct(), "led")
+    led = stage(members.join(leaders, "key").where("_id <> leader").select("_id", "leader").distinct(), "led")
     nearest = led.join(degree.select(F.col("_id").alias("leader"), "degree"), "leader").groupBy("_id").agg(
         F.min(F.struct((-F.col("degree")).alias("d"), "leader"))["leader"].alias("leader")
     )
     pairs = stage(_ordered(nearest), "pairs")
     involved = stage(members.select("_id").distinct(), "involved")
-    # of rows that repeat an id one text goes on, the smallest
-    texts = stage(live.join(_sized(involved), "_id").groupBy("_id").agg(F.min("_text").alias("_text")), "texts")
-    with small_batches(docs.sparkSession):
+    wanted = copies.join(involved, "_id").select(F.col("_id").alias("node"), F.col("copy_id").alias("_id"), "_key")
+    texts = live.join(wanted, ["_id", "_key"]).groupBy("node").agg(F.any_value("_text").alias("_text"))
+    texts = stage(texts.select(F.col("node").alias("_id"), "_text"), "texts")
+    with small_batches(live.sparkSession):
         links = stage(verified(pairs, texts, threshold), "links")
     ids = texts.select("_id")
     label = components(ids, links)
@@ -279,51 +285,72 @@ def near_duplicates(
     apart = led.join(label, "_id").join(its, "leader").where("label <> its").select("_id", "leader")
     apart = stage(_ordered(apart).join(pairs, ["a", "b"], "left_anti"), "pairs")
     if not apart.isEmpty():
-        with small_batches(docs.sparkSession):
+        with small_batches(live.sparkSession):
             links = stage(links.union(verified(apart, texts, threshold)), "links")
         label = components(ids, links)
     # then, in buckets that are not of one class, a member drawn by hash
-    rest = stage(members.join(_sized(leaders), "key").where("_id <> leader").drop("leader"), "rest")
+    rest = stage(members.join(leaders, "key").where("_id <> leader").drop("leader"), "rest")
     rows_left = _open(rest, label)
     if not rows_left.isEmpty():
         drawn = F.min(F.struct(F.xxhash64("key", "_id").alias("h"), "_id", "label")).alias("m")
         drawn = stage(rows_left.groupBy("key").agg(drawn).select("key", F.col("m._id").alias("leader"), F.col("m.label").alias("its")), "drawn")
-        met = rows_left.join(_sized(drawn), "key").where("label <> its")
-        with small_batches(docs.sparkSession):
+        met = rows_left.join(drawn, "key").where("label <> its")
+        with small_batches(live.sparkSession):
             links = links.union(stage(verified(stage(_ordered(met), "pairs"), texts, threshold), "links"))
         label = components(ids, links)
-        rest = stage(rest.join(_sized(drawn.select("key", "leader")), "key", "left").where("leader is null or _id <> leader").drop("leader"), "rest")
+        rest = stage(rest.join(drawn.select("key", "leader"), "key", "left").where("leader is null or _id <> leader").drop("leader"), "rest")
         # and at last all pairs that are still open
         rows_left = _open(rest, label)
         if not rows_left.isEmpty():
-            every_band = copies.select(F.col("copy_id").alias("_id"), "bands")
-            with small_batches(docs.sparkSession):
+            every_band = copies.select("_id", "bands")
+            with small_batches(live.sparkSession):
                 found = stage(_remaining_links(rows_left, texts, every_band, bands * rows, threshold), "links")
             label = components(ids, links.union(found))
-    return _with_classes(docs, sketched, copies, label)
+    return label
 
 
-def _with_classes(docs: DataFrame, sketched: DataFrame, copies: DataFrame, label: DataFrame) -> DataFrame:
-    classes = copies.select("content", "copy_id").join(label, copies["copy_id"] == label["_id"], "left").select(
-        "content", "copy_id", F.coalesce("label", "copy_id").alias("class")
-    )
-    member = stage(
-        sketched.select("_id", "content").distinct().join(stage(classes, "classes"), "content").groupBy("_id").agg(
-            F.min("copy_id").alias("copy_id"), F.min("class").alias("class")
-        ),
-        "classed",
-    )
-    # the ids of one class with different contents each count once
-    sizes = stage(member.groupBy("class").agg(F.count("*").alias("group_size"), F.min("_id").alias("group_id")), "class_sizes")
-    known = stage(member.join(sizes, "class").select("_id", "copy_id", "group_id", "group_size"), "members_of_classes")
-    return docs.select("_id").join(known, "_id", "left").select(
-        F.col("_id").alias("doc_id"), F.coalesce("copy_id", "_id").alias("copy_id"), F.coalesce("group_id", "_id").alias("group_id"),
-        F.coalesce("group_size", F.lit(1)).alias("group_size"), (F.coalesce("group_id", "_id").eqNullSafe(F.col("_id"))).alias("kept"),
+def _with_classes(sketched: DataFrame, alone: DataFrame, contents: DataFrame, label: DataFrame) -> DataFrame:
+    classes = contents.select("_id", "content", "copy_id").join(label, "_id", "left").select(
+        "content", "copy_id", F.coalesce("label", "_id").alias("class")
     )
+    # a third of all rows may be copies of one content
+    row = F.xxhash64("_id", "_key")
+    member = stage(salted_left_join(sketched.select("_id", "_key", "content"), stage(classes, "classes"), ["content"], row), "classed")
+    # rows that repeat id and words count once
+    each = member.groupBy("class", "_id", "content").agg(F.min("_key").alias("_key"))
+    sizes = each.groupBy("class").agg(F.count("*").alias("group_size"), F.min(F.struct("_id", "_key")).alias("first"))
+    sizes = sizes.select("class", "group_size", F.col("first._id").alias("group_id"), F.col("first._key").alias("first_key"))
+    known = salted_left_join(member, stage(sizes, "class_sizes"), ["class"], row)
+    kept = (F.col("_id") == F.col("group_id")) & (F.col("_key") == F.col("first_key"))
+    marked = known.select(F.col("_id").alias("doc_id"), "_key", "copy_id", "group_id", "group_size", kept.alias("kept"))
+    single = alone.select(
+        F.col("_id").alias("doc_id"), "_key", F.col("_id").alias("copy_id"), F.col("_id").alias("group_id"),
+        F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"),
+    )
+    return marked.unionByName(single)
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """One row per document: doc_id, copy_id (the smallest id with the same words in the same order),
+    group_id (the smallest id of its class), group_size and kept.
+
+    Classes are the components of the links between texts of similarity `threshold` or more. Of each class
+    one document is kept, that with the smallest id, and of rows that repeat that id the one with the first
+    digest; rows that repeat id and text are kept or dropped together. Rows that repeat an id with other words
+    are documents of their own: each is linked by its own words only. Texts that are null or without words
+    are alone in their class; texts of fewer than five words have one shingle. Rows without an id take no
+    part and are kept, with null ids. Other columns are ignored; an empty table gives an empty result.
+
+    A pair at the threshold shares no band with probability 2e-5; of the pairs that are still open in the last
+    round those whose signatures agree four standard deviations below the threshold are not verified, which
+    costs a pair at the threshold with probability 3e-5.
+    """
+    return marked_rows(docs, doc_id, text, **options).drop("_key")
 
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of `docs` that stay: one document of each class, and rows without an id."""
-    marked = near_duplicates(docs, doc_id, text, **options)
-    gone = stage(marked.where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "near_copies")
-    return docs.join(_sized(gone), docs[doc_id] == gone["_gone"], "left_anti")
+    marked = marked_rows(docs, doc_id, text, **options)
+    gone = stage(marked.where("not kept").select(F.col("doc_id").alias("_gone"), "_key").distinct(), "near_copies")
+    same = (docs[doc_id].cast("long") == gone["_gone"]) & (_text_key(docs[text]) == gone["_key"])
+    return docs.join(gone, same, "left_anti")

@@ -71,6 +71,22 @@ def test_near_duplicates_edge_cases(spark):
     assert near_dedup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_rows_that_repeat_an_id_with_other_words(spark):
+    """An id may have several texts: each is kept unless its own words are those of another."""
+    a, b = (" ".join(f"{w}{i}" for i in range(80)) for w in "ab")
+    schema = "doc_id long, text string"
+    docs = spark.createDataFrame([(5, a), (5, b), (2, a + " tail")], schema)
+    assert {(r.doc_id, r.text) for r in near_dedup.drop_near_duplicates(docs).collect()} == {(5, b), (2, a + " tail")}
+    for one, two in ((a, b), (b, a)):  # the link of b is found whichever text is the smaller
+        docs = spark.createDataFrame([(1, one), (1, two), (2, two + " tail"), (3, None), (3, "")], schema)
+        marked = sorted((r.doc_id, r.group_id, r.group_size, r.kept) for r in near_dedup.near_duplicates(docs).collect())
+        assert marked == [(1, 1, 1, True), (1, 1, 2, True), (2, 1, 2, False), (3, 3, 1, True), (3, 3, 1, True)]
+        assert near_dedup.drop_near_duplicates(docs).count() == 4
+    docs = spark.createDataFrame([(4, a), (4, a + " tail"), (4, a.upper()), (4, a)], schema)
+    kept = near_dedup.drop_near_duplicates(docs).collect()
+    assert len(kept) in (1, 2) and len({r.text for r in kept}) == 1
+
+
 def test_members_of_a_bucket_that_only_match_each_other_are_linked(spark):
     """b and c are alike, a is their leader in shared buckets but like neither: its passage is theirs."""
     passage = [f"p{i}" for i in range(100)]
