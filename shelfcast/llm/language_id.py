@@ -36,21 +36,36 @@ SCRIPTS = (
     (0x3190, "other"), (0x31F0, "Kana"), (0x3200, "other"), (0x3400, "Han"), (0xA000, "other"), (0xA720, "Latin"),
     (0xA800, "other"), (0xAC00, "Hangul"), (0xD7B0, "other"), (0xF900, "Han"), (0xFB00, "Latin"), (0xFB13, "other"),
     (0xFF21, "Latin"), (0xFF66, "Kana"), (0xFFA0, "other"), (0x20000, "Han"),
+    (0x40000, "other"),
 )
 NAMES = sorted({name for _, name in SCRIPTS})
 
 
 @lru_cache(maxsize=1)
-def script_table() -> np.ndarray:
-    """The script of each letter below U+30000, as 1 + its place in NAMES; 0 for what is no letter.
-    Marks count as letters of what they follow."""
+def script_table() -> tuple[np.ndarray, np.ndarray]:
+    """For every code point: the script of a letter, as 1 + its place in NAMES, 0 for what is no letter; and
+    whether it is a mark."""
     starts = np.array([s for s, _ in SCRIPTS])
     codes = np.array([0, *(1 + NAMES.index(name) for _, name in SCRIPTS)], np.uint8)
-    table = codes[np.searchsorted(starts, np.arange(0x30000), side="right")]
-    for cp in range(0x30000):
-        if unicodedata.category(chr(cp))[0] not in "LM":
-            table[cp] = 0
-    return table
+    table = codes[np.searchsorted(starts, np.arange(0x110000), side="right")]
+    kinds = "".join(unicodedata.category(chr(cp))[0] for cp in range(0x110000))
+    kind = np.frombuffer(kinds.encode("ascii"), "S1")
+    table[kind != b"L"] = 0
+    return table, kind == b"M"
+
+
+def scripts_of(code: np.ndarray) -> np.ndarray:
+    """The script of each character of a text, 0 where it is in no word. A mark is of the word, and the
+    script, of the letter that it follows, with only marks between; it makes no word by itself."""
+    table, mark = script_table()
+    script, marks = table[code], mark[code]
+    if marks.any():
+        place = np.arange(len(code))
+        letter = np.maximum.accumulate(np.where(script > 0, place, -1))
+        other = np.maximum.accumulate(np.where((script == 0) & ~marks, place, -1))
+        follows = marks & (letter > other)
+        script[follows] = script[letter[follows]]
+    return script
 
 
 def lowered(text: str) -> str:
@@ -75,9 +90,7 @@ class Words:
 def split_words(texts: list[str]) -> Words:
     size = np.array([len(t) + 1 for t in texts], np.int64)
     code = np.frombuffer(("\n" + "\n".join(map(lowered, texts)) + "\n").encode("utf-32-le", "replace"), np.uint32)
-    table = script_table()
-    script = table[np.minimum(code, len(table) - 1)]
-    script[code >= len(table)] = 0
+    script = scripts_of(code)
     letter = np.flatnonzero(script)
     joined = np.r_[False, (np.diff(letter) == 1) & (script[letter[1:]] == script[letter[:-1]])] if len(letter) else np.zeros(0, bool)
     head = np.flatnonzero(~joined)

@@ -3,6 +3,7 @@
 import hashlib
 import io
 import random
+import unicodedata
 
 import numpy as np
 import pytest
@@ -221,3 +222,17 @@ def test_language_edge_cases_and_spans(spark):
     assert language_id.with_language(asked.limit(0), model).count() == 0
     nothing = language_id.fit_model(docs.limit(0))
     assert {r.lang_pred for r in language_id.with_language(asked, nothing).collect()} == {"und"}
+
+
+def test_a_text_has_a_language_exactly_if_it_has_a_letter(spark):
+    known = spark.createDataFrame([("der Hund und die Katze", "de"), ("the dog and the cat", "en")], "text string, lang string")
+    model = language_id.fit_model(known)
+    texts = ["❤️ 123 !", "́̂", "\U00030000\U00030001\U00030002", "\U0002ebf0", "ё", "á", "1́", "\U000e0100", "٣", "ª", "the️ dog"]
+    asked = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.lang_pred for r in language_id.with_language(asked, model).collect()}
+    for i, text in enumerate(texts):
+        has_letter = any(unicodedata.category(c)[0] == "L" for c in text)
+        assert (got[i] != "und") == has_letter, text
+    assert got[10] == "en"
+    words = language_id.split_words(["été ́x"])
+    assert list(zip(words.start.tolist(), words.end.tolist(), strict=True)) == [(0, 5), (7, 8)]
