@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfcast.operators.quantiles import exact_quantiles, exact_quantiles_by
+from shelfcast.sources.storage import stage
 
 CELL_BITS = 14
 MAGNITUDE_SCHEMA = (
@@ -23,9 +24,10 @@ def error_by_magnitude(
 ) -> DataFrame:
     """Error statistics per quantile bin of the positive actuals. Bins are right-closed, the
     first also holds its lower edge, equal edges are merged; fewer than two edges give no bins."""
-    data = df.where(F.col(actual) > 0).select(
+    narrow = df.where(F.col(actual) > 0).select(
         F.col(actual).alias("actual"), F.abs(F.col(actual) - F.col(predicted)).alias("error")
     )
+    data = stage(narrow, "errors")  # two columns that five passes read
     found = exact_quantiles(data, "actual", [i / bins for i in range(bins + 1)])
     edges = sorted(set(found.values))
     if len(edges) < 2:
@@ -33,7 +35,7 @@ def error_by_magnitude(
     # the bin of a value is the number of edges after the first that lie below it
     below = [(F.col("actual") > F.lit(e)).cast("int") for e in edges[1:]]
     binned = data.withColumn("bin", reduce(add, below))
-    medians = exact_quantiles_by(binned, "bin", "error", [0.5])
+    medians = exact_quantiles_by(binned, "bin", "error", [0.5]).select(F.col("g").alias("bin"), F.col("values")[0].alias("median_error"))
     stats = binned.groupBy("bin").agg(
         F.count(F.lit(1)).alias("n"),
         F.avg("actual").alias("avg_actual"),
@@ -41,17 +43,15 @@ def error_by_magnitude(
         F.stddev_samp("error").alias("std_error"),
     )
 
-    def by_bin(values: dict[int, float]) -> Column:
-        return F.create_map(*[F.lit(x) for kv in values.items() for x in kv])[F.col("bin")]
-
-    return stats.select(
+    lower, upper = (F.array(*[F.lit(e) for e in x])[F.col("bin")] for x in (edges[:-1], edges[1:]))
+    return stats.join(medians, "bin").select(
         "bin",
-        by_bin(dict(enumerate(edges[:-1]))).alias("lower_edge"),
-        by_bin(dict(enumerate(edges[1:]))).alias("upper_edge"),
+        lower.alias("lower_edge"),
+        upper.alias("upper_edge"),
         "n",
         "avg_actual",
         "mean_error",
-        by_bin({b: q.values[0] for b, q in medians.items()}).alias("median_error"),
+        "median_error",
         "std_error",
         (F.col("mean_error") / F.col("avg_actual")).alias("rel_error"),
     )

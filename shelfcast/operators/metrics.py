@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfcast.functions.scalar import clip, col, ratio
-from shelfcast.operators.quantiles import exact_quantiles
+from shelfcast.operators.quantiles import exact_quantiles_by
+from shelfcast.sources.storage import stage
 
 INF = float("inf")
 
@@ -148,9 +149,13 @@ def evaluate(
 ) -> DataFrame:
     """All evaluation metrics in one row, quantiles exact (and computed on the call)."""
     probs = (0.5, 0.9, 0.95, 0.99)
-    error = F.abs(F.col(actual) - F.col(predicted))
-    tails = exact_quantiles(df, error, probs).values
-    median = exact_quantiles(df, F.col(predicted) - F.col(actual), [0.5]).values[0]
+    df = stage(df.select(*dict.fromkeys([actual, predicted, *series, *order])), "evaluated")  # four passes read it
+    bias = F.col(predicted) - F.col(actual)
+    # both measures in the same passes, as two groups
+    measures = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("g"), m.alias("v")) for i, m in enumerate((F.abs(bias), bias))])).alias("m"))
+    found = {r["g"]: r["values"] for r in exact_quantiles_by(measures, "m.g", "m.v", probs).collect()}
+    nothing = [float("nan")] * len(probs)
+    tails, median = found.get(0, nothing), found.get(1, nothing)[0]
     direction = directional_accuracy(df, actual, predicted, series, order).scalar()
     return aggregate(df, evaluator_metrics(actual, predicted)).withColumns(
         {

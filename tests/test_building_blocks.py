@@ -107,9 +107,28 @@ def test_quantiles_by_group(spark):
         (F.col("id") % 3).cast("int").alias("g"), F.pmod(F.xxhash64("id"), F.lit(997)).cast("double").alias("v")
     )
     rows = df.collect()
-    got = exact_quantiles_by(df, "g", "v", [0.25, 0.5])
+    got = {r.g: r["values"] for r in exact_quantiles_by(df, "g", "v", [0.25, 0.5]).collect()}
     for g in range(3):
-        assert got[g].values == pytest.approx(list(np.quantile([r.v for r in rows if r.g == g], [0.25, 0.5])))
+        assert got[g] == pytest.approx(list(np.quantile([r.v for r in rows if r.g == g], [0.25, 0.5])))
+
+
+def test_quantiles_of_a_hundred_thousand_groups(spark):
+    df = spark.range(300_000).select((F.col("id") % 100_000).alias("g"), F.pmod(F.xxhash64("id"), F.lit(97)).cast("double").alias("v"))
+    got = exact_quantiles_by(df, "g", "v", [0.5, 1.0])
+    want = df.groupBy("g").agg(F.sort_array(F.collect_list("v")).alias("all"))
+    wrong = got.join(want, "g").where("n <> 3 or values[0] <> all[1] or values[1] <> all[2]")
+    assert got.count() == 100_000 and wrong.count() == 0
+
+
+@pytest.mark.parametrize("slack", [0.0, 0.02])
+def test_a_bracket_that_misses_is_found_and_widened(spark, slack):
+    """With a coarse sketch and no slack most brackets miss their rank."""
+    values = [(None if i % 5 == 0 else i % 5, float(random.Random(i).randint(0, 4000)) if i % 11 else None) for i in range(4000)]
+    df = spark.createDataFrame(values, "g int, v double")
+    got = {r.g: (r.n, r["values"]) for r in exact_quantiles_by(df, "g", "v", PROBS, accuracy=4, slack=slack).collect()}
+    for g in (None, 1, 2, 3, 4):
+        own = [v for k, v in values if k == g and v is not None]
+        assert got[g][0] == len(own) and got[g][1] == pytest.approx(list(np.quantile(own, PROBS)))
 
 
 def test_quantiles_of_nothing(spark):
