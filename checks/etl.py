@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from checks.base import Tables, check
 from shelfcast.operators import etl
 from shelfcast.operators.fill import densify_daily
-from shelfcast.sources import adapter, readers, sinks
+from shelfcast.sources import adapter, quarantine, readers, sinks
 from shelfcast.sources.storage import new_path
 
 FACT_COLUMNS = """date, store_nbr, family, sales, onpromotion, is_zero_sales, city, state, store_type, cluster,
@@ -109,6 +109,38 @@ def _(t: Tables):
     return etl.quality_row(t.sales)
 
 
+@check("src1_quarantine", """
+WITH r AS (SELECT (store_nbr * 31 + CAST(epoch(date) / 86400 AS BIGINT)) % 97 AS k, sales FROM sales),
+n AS (SELECT count(*) AS total, count(*) FILTER (k IN (3, 4, 5)) AS bad, count(*) FILTER (k = 3) AS bad_sales, count(*) FILTER (k = 4) AS bad_date,
+             count(*) FILTER (k = 5) AS bad_cells, sum(sales) FILTER (k NOT IN (3, 4, 5)) AS good_sales FROM r)
+SELECT total, total - bad AS n_good, bad AS n_bad, bad_sales, bad_date, bad_cells, good_sales FROM n""", views=("sales",))
+def _(t: Tables):
+    """The sales as CSV lines, some of them damaged: a word for a number, a day that is none, a cell too many."""
+    folder = new_path(t.spark, "raw_with_faults")
+    k = (F.col("store_nbr") * 31 + F.unix_date("date")) % 97
+    cells = [
+        F.when(k == 4, "1995-02-30").otherwise(F.col("date").cast("string")), F.col("store_nbr").cast("string"), F.col("family"),
+        F.when(k == 3, "many").otherwise(F.col("sales").cast("string")), F.when(k == 5, F.concat(F.col("onpromotion").cast("string"), F.lit(",1"))).otherwise(F.col("onpromotion").cast("string")),
+    ]
+    lines = t.sales.select(F.array_join(F.array(*cells), ",").alias("line"))
+    # every file begins with a header, as those of a CSV export do
+    headed = lines.mapInPandas(lambda frames: _headed(frames), "line string")
+    headed.write.text(f"{folder}/train.csv")
+    checked = quarantine.read_checked(t.spark, f"{folder}/train.csv", readers.schemas.SALES, f"{folder}/checked")
+    reason = {"bad_sales": "sales is no double", "bad_date": "date is no date", "bad_cells": "number of cells"}
+    bad = checked.bad.agg(*[F.count_if(F.array_contains("reasons", r)).alias(c) for c, r in reason.items()])
+    good = checked.good.agg(F.sum("sales").alias("good_sales"))
+    counts = [F.lit(v).cast("long").alias(c) for c, v in (("total", checked.total), ("n_good", checked.n_good), ("n_bad", checked.n_bad))]
+    return bad.select(*counts, *reason, good.scalar().alias("good_sales"))
+
+
+def _headed(frames):
+    import pandas as pd
+
+    yield pd.DataFrame({"line": ["date,store_nbr,family,sales,onpromotion"]})
+    yield from frames
+
+
 @check("jn1_sales_stores", "SELECT c.date, c.store_nbr, c.family, s.city, s.state, s.store_type, s.cluster FROM clean c LEFT JOIN stores s USING (store_nbr)", views=("clean", "stores"))
 def _(t: Tables):
     return t.sales.select("date", "store_nbr", "family").join(t.stores, "store_nbr", "left")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.base import VIEWS, Tables, check
+from shelfcast.operators import day_frames as df
 from shelfcast.operators import features as f
 from shelfcast.plans.features import build_features
 from shelfcast.sources import sinks
@@ -188,6 +189,54 @@ def _(t: Tables):
     return f.add_lag_features(clean_sales(t.sales), lags=()).select(*KEYS, "sales_rolling_mean_7", "sales_rolling_mean_28")
 
 
+@check("win1_day_lags", "SELECT c.date, c.store_nbr, c.family, " + ", ".join(f"l{k}.sales AS sales_day_lag_{k}" for k in (7, 14, 28)) + " FROM clean c " + " ".join(
+    f"LEFT JOIN clean l{k} ON l{k}.store_nbr = c.store_nbr AND l{k}.family = c.family AND l{k}.date = c.date - {k}" for k in (7, 14, 28)), views=("clean",))
+def _(t: Tables):
+    from shelfcast.operators.etl import clean_sales
+    return df.add_day_lags(clean_sales(t.sales), windows=()).select(*KEYS, "sales_day_lag_7", "sales_day_lag_14", "sales_day_lag_28")
+
+
+@check("win2_day_means", "SELECT date, store_nbr, family, " + ", ".join(
+    f"AVG(sales) OVER (PARTITION BY store_nbr, family ORDER BY date RANGE BETWEEN INTERVAL {k} DAYS PRECEDING AND INTERVAL 1 DAYS PRECEDING) AS sales_day_mean_{k}" for k in (7, 28)) + " FROM clean",
+    {"sales_day_mean_7": 6, "sales_day_mean_28": 6}, ("clean",))
+def _(t: Tables):
+    from shelfcast.operators.etl import clean_sales
+    return df.add_day_lags(clean_sales(t.sales), lags=()).select(*KEYS, "sales_day_mean_7", "sales_day_mean_28")
+
+
+def _past(column: str) -> str:
+    before = "(PARTITION BY store_nbr ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    return f"""p AS (SELECT store_nbr, date, SUM(s) OVER w / SUM(n) OVER w AS m
+  FROM (SELECT store_nbr, date, SUM({column}) AS s, COUNT({column}) AS n FROM fact GROUP BY 1, 2) d WINDOW w AS {before})"""
+
+
+@check("scl10_promo_vs_past", f"""
+WITH {_past("onpromotion")}
+SELECT date, store_nbr, family, LEAST(GREATEST(COALESCE(CASE WHEN m <> 0 THEN onpromotion / m END, 0), 0), 10) AS promo_vs_store_past
+FROM fact JOIN p USING (store_nbr, date)""", {"promo_vs_store_past": 6}, ("fact",))
+def _(t: Tables):
+    return df.add_ratios_to_the_past(t.sales).select(*KEYS, "promo_vs_store_past")
+
+
+@check("scl11_transactions_vs_past", f"""
+WITH {_past("transactions")}
+SELECT date, store_nbr, family, LEAST(GREATEST(COALESCE(CASE WHEN m <> 0 THEN transactions / m END, 1), 0), 5) AS txn_vs_store_past
+FROM fact JOIN p USING (store_nbr, date)""", {"txn_vs_store_past": 6}, ("fact",))
+def _(t: Tables):
+    return df.add_ratios_to_the_past(t.fact.select(*KEYS, "transactions")).select(*KEYS, "txn_vs_store_past")
+
+
+@check("snk3_bucketed_lags", "SELECT date, store_nbr, family, sales_lag_7, sales_lag_14, sales_lag_28 FROM lag_features", views=("lag_features",))
+def _(t: Tables):
+    """Row lags over the fact as it is stored for this: bucketed by series, one year written again."""
+    path = new_path(t.spark, "bucketed_fact")
+    name = "fact_by_series_" + path.split("/")[-2]
+    fact = stage(t.fact, "fact")
+    sinks.write_bucketed(fact, name, path, buckets=8)
+    sinks.overwrite_years(fact.where(F.year("date") == 1995), name)
+    return f.add_lag_features(t.spark.table(name), windows=()).select(*KEYS, "sales_lag_7", "sales_lag_14", "sales_lag_28")
+
+
 @check("lim1_series_order", "SELECT date, store_nbr, family, CAST(row_number() OVER (PARTITION BY store_nbr, family ORDER BY date) AS INT) AS series_row FROM clean", views=("clean",))
 def _(t: Tables):
     w = f.Window.partitionBy("store_nbr", "family").orderBy("date")

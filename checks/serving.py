@@ -40,6 +40,26 @@ def _(t: Tables):
     return _anomalies(t)
 
 
+_LEVEL = "CASE WHEN n2 >= 30 THEN {0}2 WHEN n1 >= 30 THEN {0}1 ELSE {0}0 END"
+
+
+@check("dom12_segment_anomalies", f"""
+WITH d AS (SELECT store_nbr, family, date, sales, forecast_ensemble, sales - forecast_ensemble AS deviation,
+                  CASE WHEN forecast_ensemble > 0 THEN (sales - forecast_ensemble) / forecast_ensemble ELSE 0 END AS pct_deviation FROM forecasts),
+s AS (SELECT *, count(deviation) OVER a AS n2, avg(deviation) OVER a AS m2, stddev_samp(deviation) OVER a AS d2,
+             count(deviation) OVER b AS n1, avg(deviation) OVER b AS m1, stddev_samp(deviation) OVER b AS d1,
+             count(deviation) OVER () AS n0, avg(deviation) OVER () AS m0, stddev_samp(deviation) OVER () AS d0
+      FROM d WINDOW a AS (PARTITION BY store_nbr, family), b AS (PARTITION BY store_nbr)),
+z AS (SELECT *, CASE WHEN {_LEVEL.format("d")} > 0 THEN (deviation - {_LEVEL.format("m")}) / {_LEVEL.format("d")} ELSE 0 END AS z,
+             CASE WHEN n2 >= 30 THEN 'store_nbr, family' WHEN n1 >= 30 THEN 'store_nbr' ELSE 'all' END AS baseline, {_LEVEL.format("n")} AS baseline_n FROM s)
+SELECT store_nbr, family, date, sales, forecast_ensemble, deviation, pct_deviation, baseline, baseline_n,
+       LEAST(GREATEST(ABS(pct_deviation) * 100 + ABS(z) * 10, 0), 100) AS severity,
+       CASE WHEN deviation > 0 THEN 'Spike' WHEN deviation < 0 THEN 'Drop' ELSE 'Normal' END AS anomaly_type
+FROM z WHERE ABS(pct_deviation) > 0.5 OR ABS(z) > 3""", {c: 4 for c in ANOMALY}, ("forecasts",))
+def _(t: Tables):
+    return an.detect_anomalies(t.forecasts, segment_cols=["store_nbr", "family"], levels=[["store_nbr", "family"], ["store_nbr"]], min_samples=30)
+
+
 @check("agg15_anomaly_summary", """
 SELECT COUNT(*) AS total, COUNT(*) FILTER (WHERE anomaly_type = 'Spike') AS spikes, COUNT(*) FILTER (WHERE anomaly_type = 'Drop') AS drops,
        COALESCE(AVG(severity), 0) AS avg_severity, COALESCE(MAX(severity), 0) AS max_severity FROM anomalies""", {"avg_severity": 6, "max_severity": 6}, ("anomalies",))
