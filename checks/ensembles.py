@@ -93,7 +93,7 @@ def _(t: Tables):
 
 @check("ens5_segment_weights", "SELECT segment, 'prophet' AS model, prophet AS weight FROM sw UNION ALL SELECT segment, 'rf', rf FROM sw UNION ALL SELECT segment, 'xgboost', xgboost FROM sw", {"weight": 8}, ("sw",))
 def _(t: Tables):
-    return ens.weights_long(ens.segment_weights(t.forecasts, "sales", MODELS, "store_nbr"))
+    return ens.weights_long(ens.segment_weights(t.forecasts, "sales", MODELS, "store_nbr")).drop("enough_rows")
 
 
 @check("ens6_combine_weighted", "SELECT date, store_nbr, family, combined AS point FROM combined", POINT, ("combined",))

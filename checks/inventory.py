@@ -95,12 +95,12 @@ SELECT store_nbr AS segment, COUNT(*) AS n_rows, AVG(CASE WHEN p <= n // 2 THEN
 FROM (SELECT *, row_number() OVER (PARTITION BY store_nbr ORDER BY date, family) AS p, COUNT(*) OVER (PARTITION BY store_nbr) AS n FROM forecasts) x
 GROUP BY store_nbr""", ("forecasts",))
 VIEWS["risk"] = ("""
-WITH j AS (SELECT ss.*, h.n_rows, (second_half - first_half) / (first_half + 1e-6::DOUBLE) * 100 AS trend FROM ss JOIN halves h USING (segment)),
+WITH j AS (SELECT ss.*, h.n_rows, (second_half - first_half) / (first_half + 1e-6::DOUBLE) * 100 AS trend FROM ss JOIN halves h ON h.segment IS NOT DISTINCT FROM ss.segment),
 c AS (SELECT segment, avg_daily_demand, safety_stock,
              LEAST(100, CASE WHEN avg_daily_demand > 0 THEN forecast_error_std / avg_daily_demand ELSE 1 END * 100) AS variability_risk,
              GREATEST(0, 100 - safety_stock / (forecast_error_std + 1e-6::DOUBLE) * 30) AS adequacy_risk,
              CASE WHEN n_rows >= 7 THEN GREATEST(0, LEAST(100, trend * 2)) ELSE 50 END AS trend_risk,
-             LEAST(100, avg_daily_demand / 500 * 100) AS volume_risk, CASE WHEN n_rows >= 7 THEN trend ELSE 0 END AS demand_trend_pct FROM j),
+             LEAST(100, avg_daily_demand / 500 * 100) AS volume_risk, CASE WHEN n_rows >= 7 THEN trend ELSE 0 END AS demand_trend_pct, n_rows >= 7 AS trend_known FROM j),
 s AS (SELECT *, variability_risk * 0.35::DOUBLE + adequacy_risk * 0.30::DOUBLE + trend_risk * 0.20::DOUBLE + volume_risk * 0.15::DOUBLE AS composite_risk_score FROM c)
 SELECT *, CASE WHEN composite_risk_score >= 70 THEN 'HIGH' WHEN composite_risk_score >= 40 THEN 'MEDIUM' ELSE 'LOW' END AS risk_category,
        CASE WHEN composite_risk_score >= 70 THEN 'Increase safety stock by 20-30%' WHEN composite_risk_score >= 40 THEN 'Monitor closely, consider 10% buffer' ELSE 'Current levels adequate' END AS recommendation,

@@ -52,12 +52,13 @@ s AS (SELECT *, count(deviation) OVER a AS n2, avg(deviation) OVER a AS m2, stdd
       FROM d WINDOW a AS (PARTITION BY store_nbr, family), b AS (PARTITION BY store_nbr)),
 z AS (SELECT *, CASE WHEN {_LEVEL.format("d")} > 0 THEN (deviation - {_LEVEL.format("m")}) / {_LEVEL.format("d")} ELSE 0 END AS z,
              CASE WHEN n2 >= 30 THEN 'store_nbr, family' WHEN n1 >= 30 THEN 'store_nbr' ELSE 'all' END AS baseline, {_LEVEL.format("n")} AS baseline_n FROM s)
-SELECT store_nbr, family, date, sales, forecast_ensemble, deviation, pct_deviation, baseline, baseline_n,
+SELECT store_nbr, family, date, baseline, baseline_n,
        LEAST(GREATEST(ABS(pct_deviation) * 100 + ABS(z) * 10, 0), 100) AS severity,
        CASE WHEN deviation > 0 THEN 'Spike' WHEN deviation < 0 THEN 'Drop' ELSE 'Normal' END AS anomaly_type
-FROM z WHERE ABS(pct_deviation) > 0.5 OR ABS(z) > 3""", {c: 4 for c in ANOMALY}, ("forecasts",))
+FROM z WHERE ABS(pct_deviation) > 0.5 OR ABS(z) > 3""", {"severity": 6}, ("forecasts",))
 def _(t: Tables):
-    return an.detect_anomalies(t.forecasts, segment_cols=["store_nbr", "family"], levels=[["store_nbr", "family"], ["store_nbr"]], min_samples=30)
+    found = an.detect_anomalies(t.forecasts, segment_cols=["store_nbr", "family"], levels=[["store_nbr", "family"], ["store_nbr"]], min_samples=30)
+    return found.select("store_nbr", "family", "date", "baseline", "baseline_n", "severity", "anomaly_type")
 
 
 @check("agg15_anomaly_summary", """

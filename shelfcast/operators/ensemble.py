@@ -69,12 +69,15 @@ def inverse_error_weights(df: DataFrame, actual: str, models: Models) -> DataFra
     return df.agg(_inverse_errors(actual, models).alias("weights"))
 
 
-def segment_weights(df: DataFrame, actual: str, models: Models, segment_col: str) -> DataFrame:
-    """Weights per segment from one pre-aggregated pass; small segments weigh all models alike."""
+def segment_weights(
+    df: DataFrame, actual: str, models: Models, segment_col: str, min_rows: int = MIN_SEGMENT_ROWS
+) -> DataFrame:
+    """Weights per segment from one pre-aggregated pass. A segment of fewer than `min_rows` rows weighs all
+    models alike; `enough_rows` says which way it went."""
     fitted, even = _inverse_errors(actual, models), weight_map(equal_weights(models))
-    enough = F.count(F.lit(1)) >= MIN_SEGMENT_ROWS
+    enough = F.count(F.lit(1)) >= min_rows
     return df.groupBy(F.col(segment_col).alias("segment")).agg(
-        F.when(enough, fitted).otherwise(even).alias("weights")
+        enough.alias("enough_rows"), F.when(enough, fitted).otherwise(even).alias("weights")
     )
 
 

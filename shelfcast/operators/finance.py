@@ -22,6 +22,7 @@ RISK_LEVELS = [
     ("MEDIUM", 40.0, "Monitor closely, consider 10% buffer"),
     ("LOW", None, "Current levels adequate"),
 ]
+MIN_TREND_ROWS = 7
 HIGH_VOLUME = 500.0
 MEASURES = [
     "mape",
@@ -198,13 +199,15 @@ def stockout_risk(
     segment_col: str = "store_nbr",
     order: tuple[str, ...] = ("date", "family"),
     settings: FinanceSettings = FinanceSettings(),
+    min_rows: int = MIN_TREND_ROWS,
 ) -> DataFrame:
-    """Risk score, category and exposure of the segments present in both tables."""
+    """Risk score, category and exposure of the segments present in both tables, NULL among them. A segment
+    of fewer than `min_rows` forecast rows has no trend: its trend risk is 50, and `trend_known` is false."""
     halves = half_means(forecasts, segment_col, forecast_col, order)
-    df = stock.join(halves, "segment")
+    df = null_safe_join(stock, halves, ["segment"], "inner")
     demand, std = F.col("avg_daily_demand"), F.col("forecast_error_std")
     cv = F.when(demand > 0, ratio(std, demand, 1.0)).otherwise(1.0)
-    known = F.col("n_rows") >= 7
+    known = F.col("n_rows") >= min_rows
     trend = (F.col("second_half") - F.col("first_half")) / (F.col("first_half") + 1e-6) * 100
     scored = df.select(
         "segment",
@@ -215,6 +218,7 @@ def stockout_risk(
         F.when(known, clip(trend * 2, 0, 100)).otherwise(50.0).alias("trend_risk"),
         F.least(F.lit(100.0), demand / HIGH_VOLUME * 100).alias("volume_risk"),
         F.when(known, trend).otherwise(0.0).alias("demand_trend_pct"),
+        known.alias("trend_known"),
     )
     score = sum((F.col(c) * w for c, w in RISK_WEIGHTS.items()), F.lit(0.0))
     scored = scored.withColumn("composite_risk_score", score)
@@ -222,7 +226,7 @@ def stockout_risk(
     s = F.col("composite_risk_score")
     exposure = demand * settings.margin
     return scored.select(
-        *[c for c in scored.columns if c != "demand_trend_pct"],
+        *[c for c in scored.columns if c not in ("demand_trend_pct", "trend_known")],
         F.when(s >= high_from, high).when(s >= mid_from, mid).otherwise(low).alias("risk_category"),
         F.when(s >= high_from, high_text)
         .when(s >= mid_from, mid_text)
@@ -231,6 +235,7 @@ def stockout_risk(
         exposure.alias("daily_revenue_at_risk"),
         (exposure * 7).alias("weekly_revenue_at_risk"),
         "demand_trend_pct",
+        "trend_known",
     )
 
 

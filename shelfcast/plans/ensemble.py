@@ -109,7 +109,7 @@ class EnsembleModel:
         by_segment = None
         if config["segment_col"] is not None:
             long = spark.read.parquet(f"{folder}/segment_weights")
-            by_segment = long.groupBy("segment").agg(
+            by_segment = long.groupBy("segment", "enough_rows").agg(
                 F.map_from_entries(F.collect_list(F.struct("model", "weight"))).alias("weights")
             )
         return EnsembleModel(

@@ -39,7 +39,7 @@ RISK = (
     "segment int, avg_daily_demand double, safety_stock double, variability_risk double, "
     "adequacy_risk double, trend_risk double, volume_risk double, composite_risk_score double, "
     "risk_category string, recommendation string, daily_revenue_at_risk double, "
-    "weekly_revenue_at_risk double, demand_trend_pct double"
+    "weekly_revenue_at_risk double, demand_trend_pct double, trend_known boolean"
 )
 _METHOD = (
     "struct<mape double, forecast_accuracy double, total_over_forecast_units double, "

@@ -97,7 +97,7 @@ def _files(path):
 def test_anomaly_levels_against_a_plain_version(spark):
     draw = random.Random(8)
     rows = [(s, f, D0 + dt.timedelta(days=i), draw.gauss(100, 5 + 30 * (f == "B")) * (3 if draw.random() < 0.02 else 1), 100.0) for s in (1, 2, None) for f, n in (("A", 60), ("B", 35), ("C", 4)) for i in range(n)]
-    rows += [(9, "A", D0, 500.0, 100.0), (9, "A", D0, None, 100.0)]
+    rows += [(1, "C", D0 + dt.timedelta(days=50), 400.0, 100.0), (9, "A", D0, 500.0, 100.0), (9, "A", D0, None, 100.0)]
     df = spark.createDataFrame(rows, "store_nbr int, family string, date date, sales double, forecast_ensemble double")
     levels = [["store_nbr", "family"], ["store_nbr"]]
     got = anomaly.detect_anomalies(df, segment_cols=["store_nbr", "family"], levels=levels, min_samples=30, pct_threshold=9.0, z_threshold=2.0).collect()

@@ -170,3 +170,10 @@ def test_risk_categories_without_rows(spark):
 
 def test_settings_hold_cost():
     assert ReorderSettings().holding_cost == 2.5
+
+
+def test_the_null_segment_keeps_its_risk(spark):
+    rows = [(dt.date(2024, 1, 1) + dt.timedelta(days=i), s, "f", 20.0 + i % 3, 21.0) for s, n in ((1, 20), (None, 20), (2, 4)) for i in range(n)]
+    df = spark.createDataFrame(rows, "date date, store_nbr int, family string, sales double, forecast_ensemble double")
+    got = {r.segment: r.trend_known for r in fin.stockout_risk(df, safety_stock(df)).collect()}
+    assert got == {1: True, None: True, 2: False}
