@@ -12,6 +12,7 @@ from shelfcast.operators import seasonal as se
 from shelfcast.operators.etl import clean_sales, effective_holidays
 from shelfcast.operators.model_store import train_once
 from shelfcast.plans.features import build_features
+from shelfcast.plans.forecast import run_forecasts
 from shelfcast.sources.storage import model_folder, new_path, stage
 
 KEYS = ["date", "store_nbr", "family"]
@@ -189,6 +190,38 @@ def _(t: Tables):
 _NAMED = "(VALUES " + ", ".join(f"('{c}')" for c in FEATURE_NAMES) + ") AS f(feature)"
 
 
+def _run(t: Tables):
+    built = stage(build_features(stage(t.fact, "fact")), "features")
+    numeric = sorted(c for c, kind in built.dtypes if c not in LEFT_OUT and kind not in ("string", "date"))
+    days = stage(effective_holidays(t.holidays).select("date"), "holidays")
+    # mod1 and mod2 train the full models; the plan is the same with smaller ones
+    learners = {"xgboost": ln.BoostedTrees(trees=30, depth=6), "rf": ln.RandomForest(trees=40, depth=10), "prophet": se.SeasonalForecaster()}
+    return run_forecasts(built, numeric, learners, STOP_DAYS, HOLDOUT_DAYS, days, registry=new_path(t.spark, "registry"))
+
+
+@check("ens13_features_to_forecasts", "SELECT date, store_nbr, family, sales, true AS complete, true AS blended, true AS bounded FROM held_out", views=("held_out",))
+def _(t: Tables):
+    """From features over trained models to the forecast table: every forecast is there and not negative, the
+    ensemble lies between the models, and the bounds around it."""
+    rows = _run(t).forecasts
+    models = [f"forecast_{n}" for n in ("xgboost", "rf", "prophet")]
+    complete = F.coalesce(F.least(*models, "forecast_ensemble") >= 0, F.lit(False))
+    for c in models:
+        complete = complete & F.col(c).isNotNull()
+    blended = F.col("forecast_ensemble").between(F.least(*models) - 1e-9, F.greatest(*models) + 1e-9)
+    bounded = (F.col("forecast_lower") <= F.col("forecast_ensemble")) & (F.col("forecast_ensemble") <= F.col("forecast_upper"))
+    return rows.select(*KEYS, "sales", complete.alias("complete"), blended.alias("blended"), bounded.alias("bounded"))
+
+
+@check("ens11_trained_contribution", """
+SELECT model, true AS weighed, true AS timed, n_features FROM (VALUES ('xgboost', 5), ('rf', 5), ('prophet', NULL)) AS m(model, n_features)""")
+def _(t: Tables):
+    table = _run(t).contributions
+    total = table.agg(F.sum("weight")).scalar()
+    weighed = F.col("weight").between(0, 1) & (F.abs(total - 1) < 1e-9) & (F.col("standalone_rmse") > 0)
+    return table.select("model", weighed.alias("weighed"), (F.col("training_time_s") > 0).alias("timed"), F.size("top_features").alias("n_features"))
+
+
 @check("mod6_feature_importance", f"SELECT feature, true AS share, true AS sums_to_one FROM {_NAMED}")
 def _(t: Tables):
     rows = _model(t, "rf")[0].importance()

@@ -2,6 +2,8 @@
 
 import datetime as dt
 import math
+import random
+import statistics
 
 import numpy as np
 import pytest
@@ -422,3 +424,26 @@ def test_seasonal_intervals_widen_and_holidays_count(spark):
     assert plain[-1] > plain[0] > width[0]
     short = se.fit_seasonal(train.limit(10), [], days, min_days=11).first()
     assert not short.seasonal and short.bend == 0
+
+
+def test_features_to_forecasts_as_one_run(spark):
+    from shelfcast.plans.forecast import run_forecasts
+
+    draw = random.Random(4)
+    rows = [(D0 + dt.timedelta(days=i), s, "f", 10.0 * s + 3 * (i % 7) + draw.random(), i % 7, float(s)) for i in range(120) for s in (1, 2)]
+    table = spark.createDataFrame(rows, "date date, store_nbr int, family string, sales double, weekday int, size double")
+    table = stage(table, "feature_table")
+    learners = {"xgboost": ln.BoostedTrees(trees=6, depth=3, learning_rate=0.5, patience=3, chunk=3, seed=1), "rf": ln.RandomForest(trees=5, depth=4, parts=2), "prophet": se.SeasonalForecaster()}
+    path = new_path(spark, "registry")
+    run = run_forecasts(table, ["weekday", "size"], learners, stop_days=20, holdout_days=14, registry=path)
+    got = run.forecasts.collect()
+    assert len(got) == 28 and run.version == "v1"
+    naive = statistics.pstdev([r.sales for r in got])
+    assert math.sqrt(statistics.mean((r.sales - r.forecast_ensemble) ** 2 for r in got)) < naive / 2
+    assert all(r.forecast_lower <= r.forecast_ensemble <= r.forecast_upper for r in got)
+    share = {r.model: r for r in run.contributions.collect()}
+    assert sum(r.weight for r in share.values()) == pytest.approx(1) and share["prophet"].top_features is None
+    assert set(share["rf"].top_features) == {"weekday", "size"} and share["rf"].training_time_s > 0
+    held = rg.load_version(spark, path)
+    assert set(held.models) == set(learners) and held.parameters["method"] == "inverse_error_weighted"
+    assert {r.model for r in held.metrics.collect()} == {"xgboost", "rf", "prophet", "ensemble"}
