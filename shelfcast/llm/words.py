@@ -8,7 +8,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 
-SLICE_BYTES = 2_000_000  # texts hashed at once; a longer text makes a slice of its own
+SLICE_BYTES = 1_000_000  # texts hashed at once; a longer text makes a slice of its own
 SHINGLE = 5
 
 _BASE = 0x9E3779B97F4A7C15
@@ -23,7 +23,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     up = np.full(n, _BASE, np.uint64)
     down = np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)
