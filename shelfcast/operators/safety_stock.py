@@ -75,7 +75,7 @@ def safety_stock(
     """Safety stock of every segment from one pre-aggregated pass over the forecasts.
     `service_levels` is a mapping or a table (segment, service_level) of exceptions."""
     if method not in METHODS:
-        raise ValueError(f"Unknown method: {method}")
+        raise ValueError(f"{method!r} is none of {', '.join(METHODS)}")
     actual, error = F.col(actual_col), F.col(actual_col) - F.col(forecast_col)
     stats = forecasts.groupBy(F.col(segment_col).alias("segment")).agg(
         F.avg(actual).alias("avg_daily_demand"),
