@@ -196,6 +196,56 @@ def test_wrapped_and_embedded_notices_are_found(spark, tmp_path):
     assert got == want
 
 
+def _licence_text(name):
+    return max((t for n, t in license_scan.TEMPLATES if n == name), key=len)
+
+
+def _prose(n):
+    """Files without a notice, in which words of notices occur now and then."""
+    return [f"the work of day {i} and its source may be of use, as the {'license' if i % 9 == 0 else 'notice' if i % 7 == 0 else 'paper'} says" for i in range(n)]
+
+
+def test_licences_that_contain_one_another_are_told_apart(spark):
+    mit, bsd2, bsd3, isc, zero = (_licence_text(n) for n in ("MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC", "0BSD"))
+    as_is = 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE.'
+    gpl3 = next(t for n, t in license_scan.TEMPLATES if n == "GPL-3.0" and "published" in t)
+    texts = [
+        (f"Copyright 2020 A\n\n{bsd2}\n\n{as_is}", "BSD-2-Clause"),
+        (f"Copyright 2020 A\n\n{bsd3}\n\n{as_is}", "BSD-3-Clause"),
+        (f"Copyright (C) 2020 by A <a@b.c>\n\n{zero}\n\n{as_is}", "0BSD"),
+        (f"Copyright 2020 A\n\n{isc}\n\n{as_is}", "ISC"),
+        (f"MIT License\n\nCopyright 2020 A\n\n{mit}\n\n{as_is}", "MIT"),
+        ("Copyright 2020 The Authors. All rights reserved.\nLicensed under the Apache License 2.0, see LICENSE\nimport x", "Apache-2.0"),
+        ("Copyright 2020 The Authors. All rights reserved. Use of this is governed. Licensed under the Apache License 2.0, see LICENSE", "Apache-2.0"),
+        ("The agency said on Monday: All rights reserved. The paper then closed for the day.", None),
+        ("Copyright (c) 2020 Foo Inc. All rights reserved.\nimport x", "Proprietary"),
+        ("// SPDX-License-Identifier: BSD-2-Clause\nx", "BSD-2-Clause"),
+        ("/* SPDX-License-Identifier: GPL-2.0+ */\nx", "GPL-2.0-or-later"),
+        ("# SPDX-License-Identifier: GPL-2.0-only\nx", "GPL-2.0"),
+        ("# SPDX-License-Identifier: (MIT OR Apache-2.0)\nx", "Apache-2.0"),
+        ("# SPDX-License-Identifier: BSD-4-Clause\nx", None),
+        ("This page is under Creative Commons Attribution-ShareAlike 4.0 International and free to share", "CC-BY-SA-4.0"),
+        ("This page is under Creative Commons Attribution 4.0 International and free to share", "CC-BY-4.0"),
+        ("This page is under Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International", "CC-BY-NC-SA-4.0"),
+        ("                  Apache License\n           Version 2.0, January 2004\n        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n\n 1. Definitions.", "Apache-2.0"),
+        ("GNU AFFERO GENERAL PUBLIC LICENSE\nVersion 3, 19 November 2007\n\nCopyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>\nEveryone is permitted", "AGPL-3.0"),
+        ("/*\n * " + gpl3.replace("Foundation, ", "Foundation,\n * ") + "\n *\n * This program is distributed in the hope that it will be useful\n */", "GPL-3.0"),
+    ]
+    files = [(i, f"d{i}/f.txt", t) for i, (t, _) in enumerate(texts)]
+    files += [(1000 + i, f"p/{i}.txt", t) for i, t in enumerate(_prose(300))]
+    table = spark.createDataFrame(files, "key int, path string, text string")
+    got = {r.key: r.licence for r in license_scan.scan_licences(table, windows=True).collect()}
+    assert [got[i] for i in range(len(texts))] == [name for _, name in texts]
+    assert all(got[1000 + i] is None for i in range(300))
+
+
+def test_equal_notices_of_many_files_are_found_in_each(spark):
+    notice = _licence_text("Apache-2.0")
+    files = [(i, f"d{i}/a.txt", f"line of file {i}\n{notice}" if i % 3 == 0 else f"line of file {i}") for i in range(600)]
+    got = license_scan.scan_licences(spark.createDataFrame(files, "key int, path string, text string"), windows=True).collect()
+    assert {r.key: (r.licence, r.licence_line) for r in got} == {i: ("Apache-2.0", 2) if i % 3 == 0 else (None, None) for i in range(600)}
+
+
 def test_pipeline_stages_take_effect(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{FOLDER}/labels.parquet").collect()}
