@@ -199,48 +199,61 @@ def scan_licences(
     )
 
 
-def _windows(texts: DataFrame, anchors: dict[str, set[tuple[int, int]]]) -> DataFrame:
-    """_file, line, first, size and part of every run of words that has an anchor word where a template
+def _windows(anchors: dict[str, set[tuple[int, int]]]) -> Column:
+    """From `_words`, the words of every line: all runs of words that have an anchor word where a template
     of that size has it. Runs that would begin before the text or end after it are cut there."""
-    tokens = F.flatten(
-        F.transform(F.split("_low", "\n"), lambda part, i: F.transform(words_of(part), lambda w: F.struct(w.alias("word"), (i + 1).alias("line"))))
-    )
     places = F.create_map(
         *[x for w, to in sorted(anchors.items()) for x in (F.lit(w), F.array(*[F.struct(F.lit(at).alias("at"), F.lit(n).alias("size")) for at, n in sorted(to)]))]
     )
-    held = texts.select("_file", tokens.alias("t"))
-    hits = F.filter(
-        F.transform("t", lambda t, i: F.when(t.word.isin(*sorted(anchors)), F.struct(i.alias("i"), t.word.alias("word")))), lambda h: h.isNotNull()
-    )
-    runs = F.array_distinct(
-        F.flatten(F.transform(hits, lambda h: F.transform(places[h.word], lambda p: F.struct(F.greatest(h.i - p["at"], F.lit(0)).alias("first"), p["size"].alias("size")))))
-    )
-    cut = held.select("_file", "t", runs.alias("runs")).where(F.size("runs") > 0)
-    part = F.transform("runs", lambda r: F.struct(
-        F.col("t")[r["first"]]["line"].alias("line"), r["first"].alias("first"), r["size"].alias("size"),
-        F.array_join(F.transform(F.slice("t", r["first"] + 1, r["size"]), lambda t: t.word), " ").alias("part"),
-    ))
-    return cut.select("_file", F.explode(part).alias("r")).select("_file", "r.line", "r.first", "r.size", "r.part")
+    lines = F.transform("_words", lambda words, i: F.transform(words, lambda w: F.struct(w.alias("word"), (i + 1).alias("line"))))
+
+    def runs(tokens: Column) -> Column:
+        hits = F.filter(
+            F.transform(tokens, lambda t, i: F.when(t.word.isin(*sorted(anchors)), F.struct(i.alias("i"), t.word.alias("word")))), lambda h: h.isNotNull()
+        )
+        around = F.transform(hits, lambda h: F.transform(places[h.word], lambda p: F.struct(F.greatest(h.i - p["at"], F.lit(0)).alias("first"), p["size"].alias("size"))))
+        return F.transform(
+            F.array_distinct(F.flatten(around)),
+            lambda r: F.struct(tokens[r["first"]]["line"].alias("line"), F.transform(F.slice(tokens, r["first"] + 1, r["size"]), lambda t: t.word).alias("words")),
+        )
+
+    # a list of one, so that the tokens are made once
+    return F.flatten(F.transform(F.array(F.flatten(lines)), runs))
 
 
 def _segments(rows: DataFrame, path: str, text: str, gate: set, anchors: dict) -> DataFrame:
-    """_file, line and words of all segments with a prefix word, and of all tags."""
-    pattern = r"(?<![a-z0-9])(" + "|".join(re.escape(w) for w in sorted(gate)) + r")(?![a-z0-9])" if gate else "(?!)"
+    """_file, line and words of all segments with a prefix word, and of all tags; each text is read once."""
+    known = F.array(*[F.lit(w) for w in sorted(gate)]) if gate else F.array().cast("array<string>")
     low = F.lower(F.coalesce(F.col(text), F.lit("")))
-    texts = rows.select("_file", F.col(path).alias("_path"), low.alias("_low")).where(F.col("_low").rlike(pattern + "|" + TAG))
+    tagged = F.col("_low").contains("spdx-license-identifier:")
+    texts = rows.select("_file", F.col(path).alias("_path"), low.alias("_low")).where(F.arrays_overlap(words_of(F.col("_low")), known) | tagged)
     is_licence = F.coalesce(F.regexp_extract("_path", r"([^/]*)$", 1).rlike(LICENCE_FILE), F.lit(False))
-    lines = texts.select("_file", F.posexplode(F.split("_low", "\n")).alias("line", "part")).withColumn("line", F.col("line") + 1)
-    held = F.array(F.col("part"), F.when(F.col("part").rlike(HOLDER), F.regexp_replace("part", HOLDER, "")))
-    # a tag names licences between words of its expression and marks of the comment that it stands in
-    named = F.filter(F.split(F.regexp_extract("part", TAG, 1), r"[^a-z0-9.+-]+"), lambda x: ~x.isin("", "or", "and", "with", "-", "--"))
-    tag = F.transform(named, lambda x: F.concat(F.lit("spdx"), F.regexp_replace(F.replace(x, F.lit("+"), F.lit("plus")), "[^a-z0-9]", "")))
-    of_lines = lines.where(F.col("part").rlike(pattern)).select("_file", "line", F.explode(F.filter(held, lambda x: x.rlike(pattern))).alias("part"))
-    of_tags = lines.where(F.col("part").rlike(TAG)).select("_file", "line", F.explode(tag).alias("part"))
-    whole = texts.where(is_licence & F.col("_low").rlike(pattern)).select("_file", F.lit(0).alias("line"), F.col("_low").alias("part"))
-    parts = of_lines.union(of_tags).union(whole).select("_file", "line", F.array_join(words_of(F.col("part")), " ").alias("words"))
-    if anchors:
-        parts = parts.union(_windows(texts, anchors).select("_file", "line", "part"))
-    return parts
+    parts = texts.select("_file", is_licence.alias("_whole"), F.split("_low", "\n").alias("_lines"))
+    parts = parts.withColumn("_words", F.transform("_lines", words_of))
+
+    def segment(line: Column, words: Column) -> Column:
+        return F.struct(line.alias("line"), words.alias("words"))
+
+    def held(line: Column, i: Column) -> Column:
+        reserved = line.contains("all rights reserved") & line.rlike(HOLDER)
+        return F.when(reserved, segment(i + 1, words_of(F.regexp_replace(line, HOLDER, ""))))
+
+    def tags(line: Column, i: Column) -> Column:
+        # a tag names licences between words of its expression and marks of the comment that it stands in
+        named = F.filter(F.split(F.regexp_extract(line, TAG, 1), r"[^a-z0-9.+-]+"), lambda x: ~x.isin("", "or", "and", "with", "-", "--"))
+        word = lambda x: F.concat(F.lit("spdx"), F.regexp_replace(F.replace(x, F.lit("+"), F.lit("plus")), "[^a-z0-9]", ""))
+        return F.when(line.contains("spdx-license-identifier:"), F.transform(named, lambda x: segment(i + 1, F.array(word(x)))))
+
+    none = F.array().cast("array<struct<line:int,words:array<string>>>")
+    plain = [
+        F.transform("_words", lambda words, i: segment(i + 1, words)),
+        F.filter(F.transform("_lines", held), lambda x: x.isNotNull()),
+        F.when(F.col("_whole"), F.array(segment(F.lit(0), F.flatten("_words")))).otherwise(none),
+    ]
+    with_prefix = F.filter(F.concat(*plain), lambda x: F.arrays_overlap(x.words, known))
+    of_tags = F.flatten(F.filter(F.transform("_lines", tags), lambda x: x.isNotNull()))
+    found = F.concat(with_prefix, of_tags, *([_windows(anchors)] if anchors else []))
+    return parts.select("_file", F.explode(found).alias("s")).select("_file", "s.line", F.array_join("s.words", " ").alias("words"))
 
 
 def _matches(rows: DataFrame, path: str, text: str, postings: list, gate: set, anchors: dict, idf: dict, unknown: float, threshold: float) -> DataFrame:
