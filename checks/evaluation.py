@@ -75,6 +75,15 @@ def _(t: Tables):
     return m.directional_accuracy(t.forecasts, "sales", "forecast_ensemble")
 
 
+@check("win12_table_direction", """
+WITH d AS (SELECT sign(sales - LAG(sales) OVER w) AS da, sign(forecast_ensemble - LAG(forecast_ensemble) OVER w) AS dp
+           FROM forecasts WINDOW w AS (ORDER BY date, store_nbr, family))
+SELECT AVG(CASE WHEN da = dp THEN 1.0::DOUBLE ELSE 0 END) AS directional_accuracy FROM d WHERE da IS NOT NULL AND dp IS NOT NULL""",
+       {"directional_accuracy": 6}, ("forecasts",))
+def _(t: Tables):
+    return m.directional_accuracy(t.forecasts, "sales", "forecast_ensemble", series=(), order=KEYS)
+
+
 @check("met4_segment_metrics", "SELECT * FROM segment_metrics", SEGMENT, ("segment_metrics",))
 def _(t: Tables):
     return m.segment_metrics(t.forecasts, "store_nbr")

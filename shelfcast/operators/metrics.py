@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfcast.functions.scalar import clip, col, ratio
+from shelfcast.operators.ordinal import lag_by_position, with_global_position
 from shelfcast.operators.quantiles import exact_quantiles_by
 from shelfcast.sources.storage import stage
 
@@ -131,11 +132,18 @@ def directional_accuracy(
     order: Sequence[str] = ("date",),
 ) -> DataFrame:
     """Share of consecutive rows of a series where actual and prediction move the same way,
-    over all pairs of all series: one row."""
-    w = Window.partitionBy(*series).orderBy(*order)
-    moves = df.select(
-        F.signum(F.col(actual) - F.lag(actual).over(w)).alias("_a"),
-        F.signum(F.col(predicted) - F.lag(predicted).over(w)).alias("_p"),
+    over all pairs of all series: one row. Without `series` the whole table is one, which is cut
+    into ranges of `order`; rows that are equal in it stand in order of actual and prediction."""
+    now = F.struct(F.col(actual).alias("a"), F.col(predicted).alias("p"))
+    if series:
+        w = Window.partitionBy(*series).orderBy(*order)
+        pairs = df.select(now.alias("now"), F.lag(now).over(w).alias("then"))
+    else:
+        ranked = with_global_position(df.select(*order, now.alias("now")), [*order, "now"])
+        pairs = lag_by_position(ranked.select("pos", "now"), [], "pos", "now", 1, "then")
+    moves = pairs.select(
+        F.signum(F.col("now.a") - F.col("then.a")).alias("_a"),
+        F.signum(F.col("now.p") - F.col("then.p")).alias("_p"),
     )
     return moves.agg(F.avg((F.col("_a") == F.col("_p")).cast("double")).alias("directional_accuracy"))
 

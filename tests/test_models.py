@@ -82,6 +82,17 @@ def test_directional_accuracy_per_series(spark):
     assert m.directional_accuracy(df, "sales", "p").first()[0] == pytest.approx(3 / 4)
 
 
+def test_directional_accuracy_of_a_whole_table(spark):
+    rng = random.Random(3)
+    rows = [(i // 7, i % 7, None if i % 50 == 0 else float(rng.randrange(6)), float(rng.randrange(6))) for i in range(3000)]
+    df = spark.createDataFrame(rows, "d int, s int, sales double, p double").repartition(5)
+    sign = lambda x: (x > 0) - (x < 0)
+    same = [sign(b[2] - a[2]) == sign(b[3] - a[3]) for a, b in zip(rows, rows[1:]) if a[2] is not None and b[2] is not None]
+    got = m.directional_accuracy(df, "sales", "p", series=(), order=("d", "s"))
+    assert got.first()[0] == pytest.approx(sum(same) / len(same))
+    assert m.directional_accuracy(df.limit(0), "sales", "p", series=(), order=("d", "s")).first()[0] is None
+
+
 def test_magnitude_bins_of_few_rows_and_merged_edges(spark):
     few = spark.createDataFrame([(float(i), 1.0) for i in range(99)], "sales double, p double")
     assert sorted(r.n for r in dg.error_by_magnitude(few, predicted="p").collect()) == [9] * 2 + [10] * 8
