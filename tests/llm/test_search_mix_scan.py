@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import tokenizers
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -246,6 +247,66 @@ def test_equal_notices_of_many_files_are_found_in_each(spark):
     assert {r.key: (r.licence, r.licence_line) for r in got} == {i: ("Apache-2.0", 2) if i % 3 == 0 else (None, None) for i in range(600)}
 
 
+def test_mixing_query_meets_its_quotas(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "source", mixing.token_count(F.col("text")).alias("tokens")).toPandas()
+    docs["source"] = docs["source"].fillna("-")
+    rows = QUERIES["op5_temperature_mixing"](spark, FOLDER).toPandas().drop(columns="source").merge(docs, on="doc_id")
+    have, got = docs.groupby("source").tokens.sum(), rows.groupby("source").tokens.sum()
+    p = have / have.sum()
+
+    def at(a):
+        w = p**a / (p**a).sum()
+        budget = (have / w).max()
+        return w, budget, -(w * np.log(w)).sum() / math.log(len(w)), (w * budget / have).max()
+
+    a = next(x for x in np.linspace(0, 8, 80_001) if at(x)[2] <= 0.95)
+    if at(a)[3] > 4.0:
+        a = next((x for x in np.linspace(a, 1.0, 20_001) if at(x)[3] <= 4.0), 1.0)
+    w, budget, *_ = at(a)
+    longest = docs.groupby("source").tokens.max()
+    for s in have.index:
+        assert w[s] * budget * 0.999 - longest[s] - 2 <= got.get(s, 0) <= w[s] * budget * 1.001 + 2
+    assert set(rows.doc_id) == set(docs.doc_id) and not rows.duplicated(["doc_id", "mix_pass"]).any()
+
+
+def test_pipeline_stages_against_brute_force(spark):
+    """Copies, near copies, a repeated id, null and empty texts, through all stages but the learned one."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for g in range(12):
+        words = [f"w{x}" for x in rng.integers(0, 5000, 60)]
+        near = [*words[:-1], "changed"]  # 55 of 57 shingles in common
+        rows += [(10 * g, " ".join(words), "a"), (10 * g + 1, " ".join(near), "b"), (10 * g + 2, " ".join(words), "a")]
+        rows.append((10 * g + 3, " ".join(words[:30] + [f"v{x}" for x in rng.integers(0, 5000, 30)]), "b"))
+    rows += [(500, None, "a"), (501, "", "b"), (0, "an id that another text has", None), (502, "It's  caf\u00e9 \u4f60\u597d\n\n  12345", "b")]
+    now = spark.createDataFrame([(i, t, s, "en", len(t or ""), "x") for i, t, s in rows], "doc_id long, text string, source string, lang string, n_chars long, extra string")
+    shingles = lambda t: {tuple(t.split()[i : i + 5]) for i in range(max(len(t.split()) - 4, 1))} if t.split() else set()
+    columns = now.columns
+    for name, apply in corpus_pipeline.STAGES[1:]:
+        before = [(r.doc_id, r.text) for r in now.collect()]
+        now = apply(spark, now, FOLDER).persist()
+        after = now.collect()
+        texts = Counter(r.text or "" for r in after)
+        if name == "exact dedup":
+            assert set(texts) == {t or "" for _, t in before} and max(texts.values()) == 1
+        elif name == "MinHash near-dedup":
+            left = [shingles(t) for t in texts]
+            gone = [shingles(t or "") for _, t in before if (t or "") not in texts]
+            like = lambda x, y: bool(x | y) and len(x & y) / len(x | y) >= 0.8
+            assert len(gone) == 12 and all(any(like(x, y) for y in left) for x in gone)
+            assert not any(like(x, y) for i, x in enumerate(left) for y in left[:i])
+        elif name.startswith("mixing"):
+            assert set(texts) == {t or "" for _, t in before} and max(texts.values()) <= 2
+        else:
+            known = tokenizers.Tokenizer.from_file(byte_vocabulary())
+            assert len(after) == len(before)
+            for r in after:
+                ids = known.encode(r.text or "", add_special_tokens=False).ids
+                assert bytes(r.token_ids) == np.array(ids, dtype="<u4").tobytes() and r.n_tokens == len(ids)
+        if not name.startswith("BPE"):
+            assert now.columns == columns
+
+
 def test_pipeline_stages_take_effect(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{FOLDER}/labels.parquet").collect()}
