@@ -83,6 +83,42 @@ def test_a_forest_takes_few_jobs_however_deep_it_is(spark):
     assert _jobs(spark, lambda: forest.train(rows, rows, ["a", "b", "c"])) < 40
 
 
+def test_trees_shuffle_no_rows(spark):
+    blocks, _ = _blocks(_rows(spark))
+    blocks.count()
+    tracker, group = spark.sparkContext.statusTracker(), f"stages-{np.random.default_rng().integers(1 << 40)}"
+    spark.sparkContext.setJobGroup(group, "counted")
+    try:
+        assert len(gr.Growth(8, 5, 2, 7, 1.0, True, 3).by_groups(blocks, 3000, list(range(40)), 0.0)) == 40
+        assert [len(tracker.getJobInfo(i).stageIds) for i in tracker.getJobIdsForGroup(group)] == [1]
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+
+
+def test_nodes_are_dealt_to_tasks_by_their_rows():
+    growth = gr.Growth(8, 5, 2, 7, 1.0, True, 3, group_rows=100)
+    tasks = growth._tasks([(0, 1, 1, 60), (0, 2, 1, 40), (1, 0, 0, 50), (2, 0, 0, 20), (2, 5, 3, 99)], 1)
+    assert tasks == [{0: {1: 1, 2: 1}}, {1: {0: 0}, 2: {0: 0}}, {2: {5: 3}}]
+    assert len(growth._tasks([(i, 0, 0, 5) for i in range(40)], 8)) == 8
+    assert growth._tasks([(0, 0, 0, 900)], 8) == [{0: {0: 0}}]
+
+
+def test_slices_do_not_change_a_tree(spark, monkeypatch):
+    blocks, _ = _blocks(_rows(spark))
+    bins, label = _whole(blocks)
+    weight = np.random.default_rng(3).integers(1, 4, len(label))
+    trees = []
+    for sizes in ((128, 1 << 14, 1 << 11), (3, 100, 50), (1000, 1 << 20, 1 << 20)):
+        for name, size in zip(("_SLICE", "_SLICE_ROWS", "_LONE_ROWS"), sizes, strict=True):
+            monkeypatch.setattr(gr, name, size)
+        trees.append(gr.finish(bins, label, weight, 7, 2, 5, [4]))
+    for tree in trees[1:]:
+        assert tree.left.tolist() == trees[0].left.tolist() and tree.forecast(bins) == pytest.approx(trees[0].forecast(bins))
+    leaf = trees[0].leaf_of(bins)
+    means = np.bincount(leaf, weight * label) / np.maximum(np.bincount(leaf, weight), 1)
+    assert trees[0].forecast(bins) == pytest.approx(means[leaf])
+
+
 def test_a_boosted_tree_takes_a_pass_a_level(spark):
     rows = _rows(spark)
     boosted = ln.BoostedTrees(trees=12, depth=3, patience=50)
