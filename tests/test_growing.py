@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark import RDD, SparkContext
 from pyspark.sql import functions as F
 
 from shelfcast.operators import growing as gr
@@ -83,6 +84,39 @@ def test_a_forest_takes_few_jobs_however_deep_it_is(spark):
     assert _jobs(spark, lambda: forest.train(rows, rows, ["a", "b", "c"])) < 40
 
 
+def test_the_trees_of_a_forest_stay_with_the_tasks(spark, monkeypatch, tmp_path):
+    rows, names, collected, tasks = _rows(spark), ["a", "b", "c"], [], []
+    collect, union = RDD.collect, SparkContext.union
+
+    def collecting(self):
+        found = collect(self)
+        collected.extend(x for x in found if isinstance(x, tuple) and any(isinstance(y, gr.Tree) for y in x))
+        return found
+
+    def uniting(self, rdds):
+        tasks.append(len(rdds))
+        return union(self, rdds)
+
+    monkeypatch.setattr(RDD, "collect", collecting)
+    monkeypatch.setattr(SparkContext, "union", uniting)
+    model = ln.RandomForest(trees=150, depth=4).train(rows, rows, names)
+    model.save(f"{tmp_path}/model")
+    scored = model.predict(rows).orderBy("a", "b", "c", "sales").toPandas()
+    # no tree comes to the driver, and few tasks read all blocks
+    assert collected == [] and tasks == [4 * spark.sparkContext.defaultParallelism]
+    monkeypatch.undo()
+    again = ln.TrainedForecaster.load(f"{tmp_path}/model")
+    assert again.predict(rows).orderBy("a", "b", "c", "sales").toPandas().equals(scored)
+    assert again.importance().collect() == model.importance().collect()
+    cuts = gr.all_cut_points(rows, names, 3000, 42)
+    mean = rows.agg(F.avg("sales")).first()[0]
+    growth = gr.Growth(4, 5, gr.features_per_node("sqrt", 3), 42, 1.0, True, 3)
+    blocks = gr.to_blocks(rows, names, "sales", cuts, mean).persist()
+    bins = _whole(blocks)[0]
+    for one, other in zip(growth.by_groups(blocks, 3000, [0, 77], mean), [g[1] for g in sorted(growth.whole(blocks, [0, 77], mean).collect())], strict=True):
+        assert one.forecast(bins).tobytes() == other.forecast(bins).tobytes() and one.gains.tobytes() == other.gains.tobytes()
+
+
 def test_trees_shuffle_no_rows(spark):
     blocks, _ = _blocks(_rows(spark))
     blocks.count()
